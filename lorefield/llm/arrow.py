@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text that an operator holds as Python strings at a time.
 BLOCK_CHARS = 4 << 20
@@ -16,7 +17,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[list
     A single longer text makes a block of its own.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text_at)).to_pylist()
+        sizes = pc.binary_length(batch.column(text_at)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + (n or 0) > BLOCK_CHARS:

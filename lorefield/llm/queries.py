@@ -8,8 +8,14 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .dedup import exact_dedup
+from .fingerprint import fingerprint_pairs, fingerprint_text, likeness
+from .langid import LanguageModel, fit_language_model, label_languages
 from .packing import pack_best_fit
+from .sharding import hilbert_shards
 from .tokens import encode_tree, prefix_token_counts
+from .toxicity import fit_severity, grade_severity
+from .warc import archive_round_trip
 
 #: The token that closes a document in packed sequences.
 END_ID = 2
@@ -24,6 +30,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "cut_chars")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grade_severity(docs, model).select("doc_id", "toxic", "grade", "severity", "p_toxic")
+
+
+def held_out() -> F.Column:
+    """Documents that language models do not learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> LanguageModel:
+    return fit_language_model(docs.where(~held_out()))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labelled = label_languages(docs, language_model(docs), spans=False)
+    return labelled.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_tree(_documents(spark, sf_dir), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN)
     return coded.select(
@@ -34,14 +61,69 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert_shards(_documents(spark, sf_dir), 40, numeric=["doc_id"], categorical=["lang", "source"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprint_pairs(_documents(spark, sf_dir))
+    return prints.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint_text(F.col("anchors")).alias("fingerprint"),
+        fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_best_fit(_documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"), vocab.PATTERN, END_ID, capacity=1024)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(_documents(spark, sf_dir))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = (
+    op2_token_counts,
+    op3_toxicity,
+    op4_language_id,
+    op5_bpe_tree,
+    op6_hilbert_shards,
+    op7_syncmer_fingerprints,
+    op8_best_fit_packing,
+    op9_exact_dedup,
+    op10_warc,
+)
+
+OP9_SQL = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') norm from documents),
+     g as (select norm, min(doc_id) keep_id, count(*) group_size from n group by norm)
+select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(g.norm) text_sha256
+from n join g on n.norm = g.norm
+"""
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') body from pages),
+     g as (select body, min(page_id) first_id from p where octet_length(encode(body)) >= 100 group by body)
+select page_id, cast(octet_length(encode(p.body)) as bigint) payload_bytes, sha256(p.body) payload_digest,
+       case when first_id < page_id then 'revisit' else 'response' end record_type,
+       case when first_id < page_id then first_id end refers_to
+from p left join g on p.body = g.body
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op5_bpe_tree, op8_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL, "op10_warc": OP10_SQL}
