@@ -23,7 +23,7 @@ def words_of(text: Column) -> Column:
     return let(words, lambda w: F.when(F.char_length(text) > 64 * F.size(w) + 64, F.regexp_extract_all(text, F.lit("(?s).{1,8}"), F.lit(0))).otherwise(w))
 
 
-def closed_syncmers(text: Column, k: int = 8, s: int = 3) -> Column:
+def closed_syncmers(text: Column, k: int = 6, s: int = 2) -> Column:
     """Hashes, in order, of the ``k``-word runs whose least ``s``-word run is their first or last.
 
     Whether a run is chosen depends on its own words only, so an edit changes no
@@ -89,7 +89,7 @@ def with_next_text(df: DataFrame, rows_per_bucket: int = 4_000, id_col: str = "d
     return held.withColumn("next", F.lead("text").over(follow)).where("guest = -1").select("id", "text", "next")
 
 
-def fingerprint_pairs(df: DataFrame, k: int = 8, s: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_pairs(df: DataFrame, k: int = 6, s: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of whole texts, of edited ones, and their likeness.
 
     The edited text has its last half replaced by as much of the next document's
