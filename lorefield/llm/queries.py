@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .dedup import exact_dedup
 from .fingerprint import fingerprint_pairs, fingerprint_text, likeness
+from .jaccard import jaccard_components
 from .langid import LanguageModel, fit_language_model, label_languages
 from .packing import pack_best_fit
 from .sharding import hilbert_shards
@@ -25,6 +26,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = prefix_token_counts(_documents(spark, sf_dir), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, limit=512, special="<|endoftext|>")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "cut_chars")
@@ -93,6 +98,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_jaccard_join,
     op2_token_counts,
     op3_toxicity,
     op4_language_id,
