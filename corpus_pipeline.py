@@ -1,12 +1,79 @@
-"""The corpus pipeline: documents through five operators of ``lorefield.llm``."""
+"""The corpus pipeline: ``documents`` through five operators of ``lorefield.llm``.
+
+Every stage works on all that the one before it kept, as written to Parquet and read
+again.  The first four return the columns of ``documents``; the last the sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorefield.llm.dedup import exact_dedup, normalised
+from lorefield.llm.jaccard import jaccard_components
+from lorefield.llm.langid import UNDETERMINED, label_languages
+from lorefield.llm.packing import pack_best_fit
+from lorefield.llm.queries import END_ID, language_model
+from lorefield.llm.shared import shared_folder
+from lorefield.llm.toxicity import fit_severity, grade_severity
 
-STAGES: list = []
+#: Stages learn, cluster and pack, which SQL cannot express; tests hold each against a plain version.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null texts and texts without a letter."""
+    labelled = label_languages(docs, language_model(docs), spans=False, carry=tuple(docs.columns))
+    return labelled.where(F.col("lang_pred") != UNDETERMINED).select("carried.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are more likely than not of a grade over 0."""
+    model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grade_severity(docs, model, carry=tuple(docs.columns)).where(~F.col("toxic")).select("carried.*")
+
+
+def _without(spark: SparkSession, docs: DataFrame, dropped: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` names; its size on disk decides whether it is broadcast."""
+    path = shared_folder(spark, name)
+    dropped.write.parquet(path)
+    return docs.join(spark.read.parquet(path), keys, "left_anti")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the least id of equal texts."""
+    dropped = exact_dedup(docs).where("not kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    marked = docs.withColumn("sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    return _without(spark, marked, dropped, ["doc_id", "sha"], "copies").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each component of near copies."""
+    dropped = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return _without(spark, docs, dropped, ["doc_id"], "near-copies").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens."""
+    packed = pack_best_fit(docs, vocab.path("byte_bpe_50k.json"), vocab.PATTERN, END_ID, capacity=1024)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("toxicity", toxicity),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("best-fit packing", packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        path = shared_folder(spark, f"stage-{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

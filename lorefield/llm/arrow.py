@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Characters of text that an operator holds as Python strings at a time.
 BLOCK_CHARS = 4 << 20
@@ -26,3 +28,13 @@ def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[list
             held += n or 0
         if start < len(sizes):
             yield [c.slice(start) for c in batch.columns]
+
+
+def map_carrying(df: DataFrame, run, schema: str, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``run`` over id, text and the carried columns, which come back in one struct ``carried``."""
+    named = [F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)]
+    extra = "".join(f", carry{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *named).mapInArrow(run, schema + extra).withColumnRenamed("id", id_col)
+    if carry:
+        out = out.withColumn("carried", F.struct(*(F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)))).drop(*(f"carry{k}" for k in range(len(carry))))
+    return out

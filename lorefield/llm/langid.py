@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks
+from .arrow import blocks, map_carrying
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -184,7 +184,7 @@ def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
     return label
 
 
-def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, spans: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, spans: bool = True, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labels the words of whole texts, and each text by the language of most of its letters.
 
     Returns ``id, lang_pred, score`` (the share of letters in words of that language,
@@ -192,7 +192,7 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
     as (start, end, lang), by code points.  A null text, or one without a letter, is
     ``und`` with score 0 and no spans; of languages that tie, the first by name wins.
     Repeated rows each get a row; an empty table gives none; other columns are not
-    read.  One narrow pass; the model's size is fixed and travels with the tasks.
+    read, but for those in ``carry``, which pass through as ``carried``.  One narrow pass; the model's size is fixed and travels with the tasks.
     """
     kind = df.schema[id_col].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
@@ -201,7 +201,7 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
     def run(batches):
         model = shared.value
         scores = WordScores(model)
-        for ids, texts in blocks(batches):
+        for ids, texts, *others in blocks(batches):
             scores.start_block()
             texts = [lowered(t or "") for t in texts.to_pylist()]
             held, sizes, letters = [], [], []
@@ -226,10 +226,10 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
                 if spans:
                     runs.append(_runs(text, own, model.languages))
             columns = [ids, pa.array(preds), pa.array(shares, pa.float64()), pa.array(sizes, pa.int64())] + ([pa.array(runs, pa.list_(span))] if spans else [])
-            yield pa.RecordBatch.from_arrays(columns, ["id", "lang_pred", "score", "n_words", "spans"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([*columns, *others], [*["id", "lang_pred", "score", "n_words", "spans"][: len(columns)], *(f"carry{k}" for k in range(len(others)))])
 
     schema = f"id {kind}, lang_pred string, score double, n_words bigint" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_carrying(df, run, schema, id_col, text_col, carry)
 
 
 def _runs(text: str, label: np.ndarray, languages: list[str]) -> list[dict]:

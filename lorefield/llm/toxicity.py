@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks
+from .arrow import blocks, map_carrying
 from .langid import WORD, lowered
 
 #: Lengths of the word beginnings that are features beside whole words.
@@ -134,7 +134,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     return model
 
 
-def grade_severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade_severity(df: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Severity of whole texts.
 
     Returns ``id, grade`` (the most likely one), ``severity`` (the expected grade),
@@ -142,7 +142,7 @@ def grade_severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
     ``evidence`` (features with a weight of 1 or more that the text holds, by name).
     A null or empty text has no features and gets what the thresholds alone say;
     repeated rows each get a row; an empty table gives none; other columns are not
-    read.  One narrow pass.
+    read, but for those in ``carry``, which pass through as ``carried``.  One narrow pass.
     """
     kind = df.schema[id_col].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most max_features names and weights
@@ -151,7 +151,7 @@ def grade_severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
         model = shared.value
         at, known = model.at, {}
         telling = {k for k, w in enumerate(model.weights) if w >= 1}
-        for ids, texts in blocks(batches):
+        for ids, texts, *others in blocks(batches):
             if len(known) > 400_000:
                 known.clear()
             scores, evidence = [], []
@@ -167,9 +167,9 @@ def grade_severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", t
             above = model.above(np.array(scores, np.float64))
             mass = np.column_stack([np.ones(len(above)), above]) - np.column_stack([above, np.zeros(len(above))])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(mass.argmax(axis=1), pa.int32()), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5), pa.array(evidence, pa.list_(pa.string()))],
-                ["id", "grade", "severity", "p_toxic", "toxic", "evidence"],
+                [ids, pa.array(mass.argmax(axis=1), pa.int32()), pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5), pa.array(evidence, pa.list_(pa.string())), *others],
+                ["id", "grade", "severity", "p_toxic", "toxic", "evidence", *(f"carry{k}" for k in range(len(others)))],
             )
 
     schema = f"id {kind}, grade int, severity double, p_toxic double, toxic boolean, evidence array<string>"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_carrying(df, run, schema, id_col, text_col, carry)
