@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .arrow import blocks, map_carrying
 from .langid import WORD, lowered
+from .shared import materialise
 
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
@@ -43,7 +44,7 @@ class OrdinalModel:
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, steps: int = 400, l2: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, n_features: int, steps: int = 600, l2: float = 1e-5, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood.
 
     Thresholds stay in order because their gaps are exponentials.
@@ -93,20 +94,28 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id", "grade").limit(sample)  # the bound that the broadcast below relies on
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = text.join(F.broadcast(chosen), "id").select("grade", "text").dropDuplicates(["text", "grade"])
+    rows = materialise(rows)  # sample rows at most, read three times
 
     def count(batches):
-        docs_with, positive, seen = Counter(), Counter(), [0, 0]
+        docs_with, positive = Counter(), Counter()
+
+        def flush():
+            names = list(docs_with)
+            for k in range(0, len(names), 20_000):
+                part = names[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([docs_with[f] for f in part], pa.int64()), pa.array([positive[f] for f in part], pa.int64())], ["feature", "n", "pos"])
+            docs_with.clear()
+            positive.clear()
+
         for grades, texts in blocks(batches):
             for grade, body in zip(grades.to_pylist(), texts.to_pylist()):
-                held = {f for w in set(WORD.findall(lowered(body))) for f in word_features(w)}
+                held = {f for w in set(WORD.findall(lowered(body))) for f in word_features(w)} | {""}  # "" counts the rows
                 docs_with.update(held)
-                seen[0] += 1
                 if grade > 0:
-                    seen[1] += 1
                     positive.update(held)
-        docs_with[""], positive[""] = seen
-        names = list(docs_with)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([docs_with[f] for f in names], pa.int64()), pa.array([positive[f] for f in names], pa.int64())], ["feature", "n", "pos"])
+                if len(docs_with) > 200_000:
+                    yield from flush()
+        yield from flush()
 
     counted = rows.mapInArrow(count, "feature string, n bigint, pos bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     counted = counted.where((F.col("feature") == "") | (F.col("n") >= min_docs))
