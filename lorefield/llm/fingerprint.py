@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import let
+
 #: Buckets of ids at most, so that their bounds fit in an expression.
 MAX_BUCKETS = 10_000
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """Words; of texts with hardly any white space, pieces of eight code points."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")

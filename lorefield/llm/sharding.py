@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import let, materialise
 
 #: Bits of a position inside a partition in ``monotonically_increasing_id``.
 POSITION_BITS = 33
@@ -45,17 +45,22 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     x = fold(point, [(level << 8) + k for level in range(bits - 1, 0, -1) for k in range(n)], swap)
     x = fold(x, list(range(1, n)), lambda x, k: F.transform(x, lambda v, i: F.when(i == k, v.bitwiseXOR(F.get(x, k - 1))).otherwise(v)))
 
-    def gray(acc, level):
-        return F.when(_right(F.get(x, F.lit(n - 1)), level).bitwiseAND(1) == 1, acc.bitwiseXOR(_left(F.lit(1), level) - 1)).otherwise(acc)
+    def flip(x: Column) -> Column:
+        """What Gray encoding inverts at the bits of all coordinates."""
+        last = F.get(x, F.lit(n - 1))
+        levels = F.array(*(F.lit(level) for level in range(bits - 1, 0, -1)))
+        return let(last, lambda v: F.aggregate(levels, F.lit(0), lambda acc, level: F.when(_right(v, level).bitwiseAND(1) == 1, acc.bitwiseXOR(_left(F.lit(1), level) - 1)).otherwise(acc))) if bits > 1 else F.lit(0)
 
-    flip = F.aggregate(F.array(*(F.lit(k) for k in range(bits - 1, 0, -1))), F.lit(0), gray) if bits > 1 else F.lit(0)
-    pairs = F.array(*(F.lit((level << 8) + k) for level in range(bits - 1, -1, -1) for k in range(n)))
+    def interleaved(x: Column) -> Column:
+        pairs = F.array(*(F.lit((level << 8) + k) for level in range(bits - 1, -1, -1) for k in range(n)))
 
-    def push(acc, pair):
-        bit = _right(F.get(x, pair.bitwiseAND(0xFF)).bitwiseXOR(flip), _right(pair, 8)).bitwiseAND(1)
-        return _left(acc, 1).bitwiseOR(bit.cast("bigint"))
+        def push(turn, acc, pair):
+            bit = _right(F.get(x, pair.bitwiseAND(0xFF)).bitwiseXOR(turn), _right(pair, 8)).bitwiseAND(1)
+            return _left(acc, 1).bitwiseOR(bit.cast("bigint"))
 
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), push)
+        return let(flip(x), lambda turn: F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, pair: push(turn, acc, pair)))
+
+    return let(x, interleaved)
 
 
 def _quantised(value: Column, low, high, bits: int) -> Column:
