@@ -1,31 +1,177 @@
-"""Census family: how often each type occurs over papers."""
+"""Census family over orders x lineitem x part and over events."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import pairs, percent
+from ..operators import census as C
+from ..sources.tables import table
 from .registry import register
 
+PRES = "pres as (select l_orderkey stem, p_brand type_id, count(*) n from lineitem join part on l_partkey = p_partkey group by 1, 2)"
+EV = "ev as (select concat(cast(user_id as string), '-', cast(cast(ts as date) as string)) paper, event_type type_id, count(*) n from events group by 1, 2)"
 
-@register(
-    "agg_type_frequency",
-    """with pres as (select l_orderkey stem, p_brand type_id, count(*) n
-              from lineitem join part on l_partkey = p_partkey group by 1, 2),
-     ann as (select count(distinct stem) c from pres),
+
+def presence(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("stem"), F.col("p_brand").alias("type_id")).agg(F.count("*").alias("n"))
+
+
+def event_presence(spark, sf_dir):
+    paper = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("ts").cast("date").cast("string"))
+    return table(spark, sf_dir, "events").groupBy(paper.alias("paper"), F.col("event_type").alias("type_id")).agg(F.count("*").alias("n"))
+
+
+@register("agg_type_frequency", f"""with {PRES}, ann as (select count(distinct stem) c from pres),
      st as (select type_id, count(*) paper_count, cast(sum(n) as bigint) question_count from pres group by 1)
 select cast(row_number() over (order by paper_count desc, question_count desc, type_id) as int) rank_no, type_id,
-       paper_count, question_count, cast(paper_count as double) / c appearance_rate,
-       cast(paper_count as double) / c >= 0.6 must_know
-from st cross join ann""",
-)
-def agg_type_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    present = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("stem"), F.col("p_brand").alias("type_id")).agg(F.count("*").alias("n"))
-    papers = present.select("stem").distinct().agg(F.count("*").alias("c"))
-    stats = present.groupBy("type_id").agg(F.count("*").alias("paper_count"), F.sum("n").alias("question_count"))
-    rate = F.col("paper_count") / F.col("c")
-    order = W.orderBy(F.desc("paper_count"), F.desc("question_count"), "type_id")
-    return stats.crossJoin(F.broadcast(papers)).select(F.row_number().over(order).alias("rank_no"), "type_id", "paper_count", "question_count", rate.alias("appearance_rate"), (rate >= 0.6).alias("must_know"))
+       paper_count, question_count, cast(paper_count as double) / c appearance_rate, cast(paper_count as double) / c >= 0.6 must_know
+from st cross join ann""")
+def agg_type_frequency(spark, sf_dir):
+    return C.type_frequency(presence(spark, sf_dir), "stem", "type_id", "n")
+
+
+@register("rank_types", f"""with {EV}, ann as (select count(distinct paper) c from ev),
+     st as (select type_id, count(*) paper_count, cast(sum(n) as bigint) question_count from ev group by 1)
+select cast(row_number() over (order by paper_count desc, question_count desc, type_id) as int) rank_no, type_id,
+       paper_count, question_count, cast(paper_count as double) / c appearance_rate, cast(paper_count as double) / c >= 0.401 must_know
+from st cross join ann""")
+def rank_types(spark, sf_dir):
+    return C.type_frequency(event_presence(spark, sf_dir), "paper", "type_id", "n", threshold=0.401)
+
+
+@register("agg_cooccurrence", f"with {PRES} select a.type_id left_type, b.type_id right_type, count(*) papers from pres a join pres b on a.stem = b.stem and a.type_id < b.type_id group by 1, 2")
+def agg_cooccurrence(spark, sf_dir):
+    return C.cooccurrence(presence(spark, sf_dir), "stem", "type_id")
+
+
+@register("join_cooccurrence", f"with {EV} select a.paper, a.type_id left_type, b.type_id right_type from ev a join ev b on a.paper = b.paper and a.type_id < b.type_id")
+def join_cooccurrence(spark, sf_dir):
+    by_paper = event_presence(spark, sf_dir).groupBy("paper").agg(F.sort_array(F.collect_set("type_id")).alias("types"))
+    return by_paper.select("paper", F.explode(pairs(F.col("types"))).alias("p")).select("paper", F.col("p.left").alias("left_type"), F.col("p.right").alias("right_type"))
+
+
+@register("fn_pairs", f"with {EV} select a.type_id left_type, b.type_id right_type, count(*) n from ev a join ev b on a.paper = b.paper and a.type_id < b.type_id group by 1, 2")
+def fn_pairs(spark, sf_dir):
+    by_paper = event_presence(spark, sf_dir).groupBy("paper").agg(F.sort_array(F.collect_set("type_id")).alias("types"))
+    return by_paper.select(F.explode(pairs(F.col("types"))).alias("p")).groupBy(F.col("p.left").alias("left_type"), F.col("p.right").alias("right_type")).agg(F.count("*").alias("n"))
+
+
+@register("agg_coverage", "select count(*) total, count(l.doc_id) annotated, cast(count(l.doc_id) as double) / count(*) coverage from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
+def agg_coverage(spark, sf_dir):
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("hit", F.lit(1))
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(labelled, "doc_id", "left")
+    return joined.agg(F.count("*").alias("total"), F.count("hit").alias("annotated")).select("total", "annotated", F.try_divide(F.col("annotated").cast("double"), "total").alias("coverage"))
+
+
+@register("agg_format_freq", "select coalesce(cast(quality as string), 'unspecified') format, count(*) n from documents d left join labels l on d.doc_id = l.doc_id group by 1")
+def agg_format_freq(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unspecified")).alias("format")).agg(F.count("*").alias("n"))
+
+
+@register("agg_count_value", """with r as (select event_id, event_type, cast(json_extract_string(props, '$.k') as string) v from events)
+select event_id, case when event_type = 'view' then 1 when regexp_matches(v, '^[1-9][0-9]*$') then cast(v as int) else 0 end questions from r""")
+def agg_count_value(spark, sf_dir):
+    value = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").select("event_id", C.question_count(F.col("event_type") != "view", value).alias("questions"))
+
+
+@register("cls_confidence", """select doc_id, case when doc_id % 5 = 0 then 'high' when doc_id % 5 = 1 then 'invalid' when doc_id % 5 = 2 then 'invalid' when doc_id % 5 = 3 then 'medium' else 'invalid' end confidence from documents""")
+def cls_confidence(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    made = F.when(k == 1, F.lit(None).cast("string")).when(k == 2, F.lit(" ")).when(k == 3, F.lit(" Medium ")).otherwise(F.lit("kinda-sure"))
+    fields = F.when(k == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("confidence"), made))
+    return table(spark, sf_dir, "documents").select("doc_id", C.confidence(F.map_contains_key(fields, F.lit("confidence")), F.element_at(F.when(F.map_contains_key(fields, F.lit("confidence")), fields), "confidence")).alias("confidence"))
+
+
+@register("fn_map_get_default", "select event_id, coalesce(json_extract_string(props, '$.k'), 'none') k, coalesce(json_extract_string(props, '$.missing'), 'none') missing from events")
+def fn_map_get_default(spark, sf_dir):
+    fields = F.from_json("props", "map<string,string>")
+    get = lambda k: F.when(F.map_contains_key(fields, F.lit(k)), fields[k]).otherwise(F.lit("none"))
+    return table(spark, sf_dir, "events").select("event_id", get("k").alias("k"), get("missing").alias("missing"))
+
+
+@register("topk_samples", f"""with {PRES}, r as (select *, row_number() over (partition by type_id order by n desc, stem) rn from pres)
+select type_id, stem, n, cast(rn as int) rn from r where rn <= 3""")
+def topk_samples(spark, sf_dir):
+    order = W.partitionBy("type_id").orderBy(F.desc("n"), "stem")
+    return presence(spark, sf_dir).withColumn("rn", F.row_number().over(order)).where("rn <= 3").select("type_id", "stem", "n", "rn")
+
+
+@register("topk_deep_dive", f"with {PRES} select stem, count(*) types from pres group by stem order by types desc, stem limit 10")
+def topk_deep_dive(spark, sf_dir):
+    return presence(spark, sf_dir).groupBy("stem").agg(F.count("*").alias("types")).orderBy(F.desc("types"), "stem").limit(10)
+
+
+@register("join_missing", "select o_orderkey from orders o where not exists (select 1 from lineitem l where l_orderkey = o_orderkey and l_returnflag = 'R')")
+def join_missing(spark, sf_dir):
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(returned, "o_orderkey", "left_anti")
+
+
+@register("join_known_types", """with k as (select p_partkey, p_brand from part where p_size > 25)
+select l_orderkey, l_linenumber, case when exists (select 1 from k where p_partkey = l_partkey) then 'known' else 'unknown' end state from lineitem""")
+def join_known_types(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    both = [line.join(known, "l_partkey", how).select("l_orderkey", "l_linenumber", F.lit(state).alias("state")) for how, state in (("left_semi", "known"), ("left_anti", "unknown"))]
+    return both[0].union(both[1])
+
+
+@register("join_source_mismatch", "select a.l_orderkey, a.l_linenumber, a.l_suppkey from lineitem a join (select l_orderkey, min(l_suppkey) s from lineitem group by 1) b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.s")
+def join_source_mismatch(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    first = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"))
+    return line.join(first, "l_orderkey").where("l_suppkey <> s").select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@register("join_type_instances", f"with {PRES} select type_id, stem, cast(unnest(range(1, n + 1)) as int) question from pres")
+def join_type_instances(spark, sf_dir):
+    return presence(spark, sf_dir).select("type_id", "stem", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("question"))
+
+
+@register("agg_canonical_exam", """with s as (select sha256(text) grp, doc_id, concat(source, '/', lpad(cast(doc_id as string), 12, '0')) path, case doc_id % 6 when 0 then 'problem' when 1 then 'combined' when 2 then 'problem_review' when 3 then 'answer_review' when 4 then 'answer' else 'unknown' end role from documents),
+ r as (select *, case role when 'problem' then 0 when 'combined' then 1 when 'problem_review' then 2 when 'answer_review' then 3 when 'answer' then 4 else 5 end pr, case role when 'combined' then 0 when 'answer_review' then 1 when 'answer' then 2 when 'problem_review' then 3 when 'problem' then 4 else 5 end ar from s)
+select grp, arg_min(path, concat(cast(pr as string), path)) problem_source, arg_min(path, concat(cast(ar as string), path)) answer_source, count(*) source_count, string_agg(distinct role, ',' order by role) roles,
+ count(*) > 1 and (count(*) filter (role = 'problem') > 1 or count(*) filter (role = 'combined') > 1 or count(*) filter (role = 'unknown') > 1) ambiguous from r group by grp""")
+def agg_canonical_exam(spark, sf_dir):
+    names = ["problem", "combined", "problem_review", "answer_review", "answer", "unknown"]
+    role = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 6 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("grp"), F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), role.alias("role"))
+    rank = lambda order: F.array_position(F.array(*map(F.lit, order)), F.col("role"))
+    return C.canonical_groups(docs, "grp", "path", rank(names), rank(["combined", "answer_review", "answer", "problem_review", "problem", "unknown"]), "role")
+
+
+@register("join_annotation_cascade", """with p as (select o_orderkey paper, o_orderkey seq, concat('p/', cast(o_orderkey as string)) path, case when o_orderkey % 3 = 1 then concat('n', cast(o_orderkey as string)) end alias_key from orders),
+ n as (select o_orderkey note, case when o_orderkey % 3 = 0 then concat('p/', cast(o_orderkey as string)) end src, case when o_orderkey % 3 = 1 then concat('n', cast(o_orderkey as string)) end name from orders where o_orderkey % 5 <> 0)
+select p.paper, case when n.note is null then 'missing' else 'bound' end state, case when n.note is null then 0 when p.path = n.src then 1 else 2 end tier, n.note
+from p left join n on p.path = n.src or p.alias_key = n.name""")
+def join_annotation_cascade(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    name = F.when(key % 3 == 1, F.concat(F.lit("n"), text))
+    papers = orders.select(key.alias("paper"), key.alias("seq"), F.concat(F.lit("p/"), text).alias("path"), name.alias("alias_key"))
+    notes = orders.where("o_orderkey % 5 <> 0").select(key.alias("note"), F.when(key % 3 == 0, F.concat(F.lit("p/"), text)).alias("src"), name.alias("name"))
+    return C.bind_cascade(papers, notes, [("path", "src"), ("alias_key", "name")]).select("paper", "state", "tier", "note")
+
+
+@register("batch_chunk", "with d as (select doc_id, row_number() over (partition by source order by doc_id) rn from documents) select doc_id, cast((rn - 1) // 6 as bigint) batch from d")
+def batch_chunk(spark, sf_dir):
+    at = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.floor((at - 1) / 6).alias("batch"))
+
+
+@register("cls_display_label", "select conv_id, turn, case role when 'user' then 'Learner' when 'assistant' then 'Tutor' when 'system' then 'Setup' else role end display from conversations")
+def cls_display_label(spark, sf_dir):
+    names = F.create_map(*(F.lit(x) for x in ("user", "Learner", "assistant", "Tutor", "system", "Setup")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(names, F.lower("role")), "role").alias("display"))
+
+
+@register("fn_percent", f"with {EV}, ann as (select count(distinct paper) c from ev), st as (select type_id, count(*) n from ev group by 1) select type_id, concat(cast(cast(round_even(100.0 * n / c, 0) as int) as string), '%') shown from st cross join ann")
+def fn_percent(spark, sf_dir):
+    stats = C.type_frequency(event_presence(spark, sf_dir), "paper", "type_id", "n")
+    return stats.select("type_id", percent(F.col("appearance_rate")).alias("shown"))
