@@ -29,9 +29,11 @@ def closed_syncmers(text: Column, k: int = 6, s: int = 2) -> Column:
 
     def anchors(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
-        chosen = let(inner, lambda o: F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.least(F.get(o, i), F.get(o, i + last)) <= F.array_min(F.slice(o, i + 1, last + 1))))
+        edge = lambda o, i: F.least(F.get(o, i), F.get(o, i + last))
+        between = lambda o, i: F.least(edge(o, i), *(F.get(o, i + j) for j in range(1, last)))
+        chosen = let(inner, lambda o: F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: edge(o, i) <= between(o, i)))
         whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(h) >= k, F.transform(chosen, lambda i: F.xxhash64(F.slice(h, i + 1, k)))).otherwise(whole)
+        return F.when(F.size(h) >= k, F.transform(chosen, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(whole)
 
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), anchors)
 
@@ -55,8 +57,11 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.greatest(F.coalesce(found, F.lit(0)), F.lit(0))
 
 
-def with_next_text(df: DataFrame, rows_per_bucket: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text, next``: each row with the text of the next one by ascending id, the last with the first's.
+def with_next(df: DataFrame, derive: dict[str, Column], rows_per_bucket: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text, next`` and, for each derived column ``c``, ``c`` and ``next_c``.
+
+    Each row has the text of the next one by ascending id, the last one the first's.
+    Derived columns are computed once for each row, after the exchange.
 
     Ids are cut into ranges by percentiles; each range is ordered on its own, and the
     first row of a range also goes, as a guest, to the range before, so one exchange
@@ -81,7 +86,9 @@ def with_next_text(df: DataFrame, rows_per_bucket: int = 4_000, id_col: str = "d
     held = held.withColumn("bucket", F.when(F.col("guest") == -1, F.col("own")).when(F.col("guest") < -1, -2 - F.col("guest")).otherwise(F.col("guest")))
     rank = F.when(F.col("guest") == -1, 0).when(F.col("guest") >= 0, 1).otherwise(2)
     follow = W.partitionBy("bucket").orderBy(rank, "place", F.xxhash64("text"))
-    return held.withColumn("next", F.lead("text").over(follow)).where("guest = -1").select("id", "text", "next")
+    held = held.repartition("bucket").withColumns(derive)
+    ahead = {f"next_{c}": F.lead(c).over(follow) for c in derive}
+    return held.withColumns({"next": F.lead("text").over(follow)} | ahead).where("guest = -1").select("id", "text", "next", *derive, *ahead)
 
 
 def fingerprint_pairs(df: DataFrame, k: int = 6, s: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,9 +99,7 @@ def fingerprint_pairs(df: DataFrame, k: int = 6, s: int = 2, id_col: str = "doc_
     Null texts count as empty and repeated rows each get a row; equal texts have equal
     anchors; an empty table gives none; other columns are not read.
     """
-    pairs = with_next_text(df, id_col=id_col, text_col=text_col)
+    pairs = with_next(df, {"anchors": closed_syncmers(F.col("text"), k, s)}, id_col=id_col, text_col=text_col)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.char_length("text") - half), F.left("next", half))
-    return pairs.select(
-        "id", "text", edited.alias("edited"), closed_syncmers(F.col("text"), k, s).alias("anchors"), closed_syncmers(edited, k, s).alias("edited_anchors"), closed_syncmers(F.col("next"), k, s).alias("next_anchors")
-    )
+    return pairs.withColumn("edited", edited).withColumn("edited_anchors", closed_syncmers(F.col("edited"), k, s)).select("id", "text", "edited", "anchors", "edited_anchors", "next_anchors")
