@@ -69,7 +69,7 @@ def pairs(xs: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Text without fenced blocks; the fence that opened one closes it."""
-    return F.regexp_replace(text, "(?msd)^[ \\t]{0,3}(`{3,}|~{3,})[^\\n]*\\n.*?(?:^[ \\t]{0,3}\\1[ \\t]*$|\\z)", "")
+    return F.regexp_replace(text, "(?msd)^[ \\t]{0,3}(`{3,}|~{3,})[^\\n]*\\n.*?(?:^[ \\t]{0,3}\\1[ \\t]*(?:\\n|\\z)|\\z)", "")
 
 
 def visible_html(html: Column) -> Column:

@@ -10,18 +10,17 @@ from ..sources.sidecars import LINES_CTE, SIDECARS_CTE, lines, sidecars
 from ..sources.tables import table
 from .registry import register
 
-MD = F.col("md")
 
 
 @register("fm_governance", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^import_method: (.*)$', 1) import_method, regexp_extract(md, '(?m)^language: (.*)$', 1) language, nullif(regexp_extract(md, '(?m)^repair_risk: (.*)$', 1), '') repair_risk from sidecars")
 def fm_governance(spark, sf_dir):
-    fields = sidecars(spark, sf_dir).select("doc_id", X.front_matter_map(MD).alias("fm"))
+    fields = sidecars(spark, sf_dir).select("doc_id", X.front_matter_map(F.col("md")).alias("fm"))
     return fields.select("doc_id", *(F.try_element_at("fm", F.lit(k)).alias(k) for k in ("import_method", "language", "repair_risk")))
 
 
 @register("fm_has", f"with {SIDECARS_CTE} select doc_id, starts_with(md, concat('---', chr(10))) has_fm, starts_with(substr(md, 5), '---') body_fm from sidecars")
 def fm_has(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.front_matter(MD).isNotNull().alias("has_fm"), X.front_matter(F.substring("md", 5, 1 << 30)).isNotNull().alias("body_fm"))
+    return sidecars(spark, sf_dir).select("doc_id", X.front_matter(F.col("md")).isNotNull().alias("has_fm"), X.front_matter(F.substring("md", 5, 1 << 30)).isNotNull().alias("body_fm"))
 
 
 @register("fm_week_plan", f"with {SIDECARS_CTE} select doc_id, len(string_split(string_split(md, concat('---', chr(10)))[2], chr(10))) - 1 n_lines from sidecars")
@@ -32,22 +31,22 @@ def fm_week_plan(spark, sf_dir):
 
 @register("fm_scalar_field", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^repair_status: (.*)$', 1) repair_status, regexp_extract(md, '(?m)^verify_status: (.*)$', 1) verify_status from sidecars")
 def fm_scalar_field(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.field(MD, "repair_status").alias("repair_status"), X.field(MD, "verify_status").alias("verify_status"))
+    return sidecars(spark, sf_dir).select("doc_id", X.field(F.col("md"), "repair_status").alias("repair_status"), X.field(F.col("md"), "verify_status").alias("verify_status"))
 
 
 @register("md_title", f"with {SIDECARS_CTE} select doc_id, concat('Doc ', cast(doc_id as string)) title from sidecars")
 def md_title(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.title(MD, F.col("path")).alias("title"))
+    return sidecars(spark, sf_dir).select("doc_id", X.title(F.col("md"), F.col("path")).alias("title"))
 
 
 @register("md_detail", f"with {SIDECARS_CTE} select doc_id, trim(regexp_extract(md, '(?m)^- Area: (.*)$', 1)) area, trim(regexp_extract(md, '(?m)^- Due: (.*)$', 1)) due from sidecars")
 def md_detail(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.detail(MD, "AREA").alias("area"), X.detail(MD, "due").alias("due"))
+    return sidecars(spark, sf_dir).select("doc_id", X.detail(F.col("md"), "AREA").alias("area"), X.detail(F.col("md"), "due").alias("due"))
 
 
 @register("proj_read_task", f"with {SIDECARS_CTE} select doc_id, try_cast(nullif(trim(regexp_extract(md, '(?m)^- Due: (.*)$', 1)), '') as date) due, trim(regexp_extract(md, '(?m)^- Area: (.*)$', 1)) area, trim(regexp_extract(md, '(?m)^- Priority: (.*)$', 1)) priority from sidecars")
 def proj_read_task(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.iso_date(X.detail(MD, "Due")).alias("due"), X.detail(MD, "Area").alias("area"), X.detail(MD, "Priority").alias("priority"))
+    return sidecars(spark, sf_dir).select("doc_id", X.iso_date(X.detail(F.col("md"), "Due")).alias("due"), X.detail(F.col("md"), "Area").alias("area"), X.detail(F.col("md"), "Priority").alias("priority"))
 
 
 @register("fn_headings", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(md, '(?m)^#{{1,6}} +(.+)$', 1), '|') headings from sidecars")

@@ -24,8 +24,12 @@ def actionable(df):
     return df.where(~F.col("status").isin("done", "archived"))
 
 
-_today = F.lit(TODAY).cast("date")
-_horizon = F.date_add(_today, DAYS)
+def _today():
+    return F.lit(TODAY).cast("date")
+
+
+def _horizon():
+    return F.date_add(_today(), DAYS)
 
 
 @register("filt_actionable", f"with {TASKS} select id, status from tasks where status not in ('done', 'archived')")
@@ -35,22 +39,22 @@ def filt_actionable(spark, sf_dir):
 
 @register("filt_due_window", f"with {TASKS} select id, due from tasks where status = 'active' and (due < date '{TODAY}' or due between date '{TODAY}' and date '{TODAY}' + {DAYS})")
 def filt_due_window(spark, sf_dir):
-    return actionable(tasks(spark, sf_dir)).where((F.col("due") < _today) | F.col("due").between(_today, _horizon)).select("id", "due")
+    return actionable(tasks(spark, sf_dir)).where((F.col("due") < _today()) | F.col("due").between(_today(), _horizon())).select("id", "due")
 
 
 @register("filt_overdue", f"with {TASKS} select id, due, cast(date '{TODAY}' - due as int) late from tasks where status = 'active' and due < date '{TODAY}'")
 def filt_overdue(spark, sf_dir):
-    return actionable(tasks(spark, sf_dir)).where(F.col("due") < _today).select("id", "due", F.date_diff(_today, "due").alias("late"))
+    return actionable(tasks(spark, sf_dir)).where(F.col("due") < _today()).select("id", "due", F.date_diff(_today(), "due").alias("late"))
 
 
 @register("filt_upcoming", f"with {TASKS} select id, due from tasks where status = 'active' and due between date '{TODAY}' and date '{TODAY}' + {DAYS}")
 def filt_upcoming(spark, sf_dir):
-    return actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today, _horizon)).select("id", "due")
+    return actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today(), _horizon())).select("id", "due")
 
 
 @register("filt_exam", f"with {TASKS} select id, due, course from tasks where status = 'active' and due <= date '{TODAY}' + {max(DAYS, 14)} and (contains(lower(priority), 'urgent') or course = 'MACHINERY')")
 def filt_exam(spark, sf_dir):
-    near = F.col("due") <= F.date_add(_today, max(DAYS, 14))
+    near = F.col("due") <= F.date_add(_today(), max(DAYS, 14))
     return actionable(tasks(spark, sf_dir)).where(near & (F.lower("priority").contains("urgent") | (F.col("course") == "MACHINERY"))).select("id", "due", "course")
 
 
@@ -67,7 +71,7 @@ def filt_recent(spark, sf_dir):
 
 @register("argmin_nearest", f"with {TASKS} select course, arg_min(id, concat(cast(due as string), lpad(cast(id as string), 12, '0'))) id, min(due) due from tasks where status = 'active' and due >= date '{TODAY}' group by course")
 def argmin_nearest(spark, sf_dir):
-    due = actionable(tasks(spark, sf_dir)).where(F.col("due") >= _today)
+    due = actionable(tasks(spark, sf_dir)).where(F.col("due") >= _today())
     return due.groupBy("course").agg(F.min_by("id", F.struct("due", "id")).alias("id"), F.min("due").alias("due"))
 
 
@@ -76,7 +80,7 @@ def argmin_nearest(spark, sf_dir):
 select title, count(distinct id) n_tasks, min(due) nearest from hit group by title""")
 def join_course_tasks(spark, sf_dir):
     courses = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("title"), F.lower("c_mktsegment").alias("slug")).distinct()
-    open_ = actionable(tasks(spark, sf_dir)).where(F.col("due") >= _today).select("id", "due", "course")
+    open_ = actionable(tasks(spark, sf_dir)).where(F.col("due") >= _today()).select("id", "due", "course")
     # an OR of two equalities as a union of two equi joins
     hits = [courses.join(open_, courses[k] == open_["course"]).select("title", "id", "due") for k in ("title", "slug")]
     once = hits[0].union(hits[1]).dropDuplicates(["title", "id"])
@@ -102,9 +106,9 @@ def topk_recent(spark, sf_dir):
 
 @register("merge_sorted", f"with {TASKS} select due as day, 'task' kind, id from tasks where status = 'active' and due between date '{TODAY}' and date '{TODAY}' + {DAYS} union all select cast(l_shipdate as date), 'exam', l_orderkey from lineitem where l_linenumber = 1 and cast(l_shipdate as date) between date '{TODAY}' and date '{TODAY}' + 7")
 def merge_sorted(spark, sf_dir):
-    due = actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today, _horizon)).select(F.col("due").alias("day"), F.lit("task").alias("kind"), "id")
+    due = actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today(), _horizon())).select(F.col("due").alias("day"), F.lit("task").alias("kind"), "id")
     ship = F.col("l_shipdate").cast("date")
-    exams = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & ship.between(_today, F.date_add(_today, 7))).select(ship.alias("day"), F.lit("exam").alias("kind"), F.col("l_orderkey").alias("id"))
+    exams = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & ship.between(_today(), F.date_add(_today(), 7))).select(ship.alias("day"), F.lit("exam").alias("kind"), F.col("l_orderkey").alias("id"))
     return due.union(exams).orderBy("day", "kind", "id")
 
 
@@ -113,7 +117,7 @@ def agg_counts_payload(spark, sf_dir):
     is_ = lambda s: F.col("status") == s
     return tasks(spark, sf_dir).agg(
         F.count("*").alias("total"), F.count_if(is_("active")).alias("active"), F.count_if(is_("done")).alias("done"), F.count_if(is_("archived")).alias("archived"),
-        F.count_if(is_("active") & (F.col("due") < _today)).alias("overdue"), F.count_if(is_("active") & F.col("due").between(_today, _horizon)).alias("upcoming"),
+        F.count_if(is_("active") & (F.col("due") < _today())).alias("overdue"), F.count_if(is_("active") & F.col("due").between(_today(), _horizon())).alias("upcoming"),
     )
 
 
@@ -131,7 +135,7 @@ def agg_dup_course_keys(spark, sf_dir):
 
 @register("fn_date_plus", f"with {TASKS} select id, due + {DAYS} horizon, case when due < date '{TODAY}' then 'overdue' when due <= date '{TODAY}' + {DAYS} then 'window' else 'later' end bucket from tasks")
 def fn_date_plus(spark, sf_dir):
-    bucket = F.when(F.col("due") < _today, "overdue").when(F.col("due") <= _horizon, "window").otherwise("later")
+    bucket = F.when(F.col("due") < _today(), "overdue").when(F.col("due") <= _horizon(), "window").otherwise("later")
     return tasks(spark, sf_dir).select("id", F.date_add("due", DAYS).alias("horizon"), bucket.alias("bucket"))
 
 
@@ -150,7 +154,7 @@ def fmt_task_line(spark, sf_dir):
 
 @register("sink_week_plan", f"with {TASKS}, l as (select course, concat('- ', cast(due as string), ' ', cast(id as string)) line, due, id from tasks where status = 'active' and due between date '{TODAY}' and date '{TODAY}' + {DAYS}) select course, concat('## ', course, chr(10), string_agg(line, chr(10) order by due, id)) page from l group by course")
 def sink_week_plan(spark, sf_dir):
-    due = actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today, _horizon))
+    due = actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today(), _horizon()))
     line = F.concat(F.lit("- "), F.col("due").cast("string"), F.lit(" "), F.col("id").cast("string"))
     rows = due.groupBy("course").agg(F.sort_array(F.collect_list(F.struct("due", "id", line.alias("line")))).alias("rows"))
     return rows.select("course", F.concat(F.lit("## "), "course", F.lit("\n"), F.array_join("rows.line", "\n")).alias("page"))
@@ -158,5 +162,5 @@ def sink_week_plan(spark, sf_dir):
 
 @register("inc_status_machine", f"with {TASKS} select id, status, case status when 'active' then case when due < date '{TODAY}' then 'triaged' else 'raw' end when 'done' then 'resolved' else 'archived' end next_status from tasks")
 def inc_status_machine(spark, sf_dir):
-    step = F.when(F.col("status") == "active", F.when(F.col("due") < _today, "triaged").otherwise("raw")).when(F.col("status") == "done", "resolved").otherwise("archived")
+    step = F.when(F.col("status") == "active", F.when(F.col("due") < _today(), "triaged").otherwise("raw")).when(F.col("status") == "done", "resolved").otherwise("archived")
     return tasks(spark, sf_dir).select("id", "status", step.alias("next_status"))

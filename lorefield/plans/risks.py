@@ -11,7 +11,6 @@ from ..sources.sidecars import LINES_CTE, SIDECARS_CTE, lines, sidecars
 from ..sources.tables import table
 from .registry import register
 
-MD = F.col("md")
 #: The detectors that occur in the tables, without lookbehind.
 RISKS = LINES_CTE + r""",
  flat as (select doc_id, line_no, line, replace(line, '\$', '') bare from lines),
@@ -75,7 +74,7 @@ def topk_queue(spark, sf_dir):
 
 @register("topk_next_repairable", f"with {RISKS}, s as (select doc_id, cast(sum(pts) as bigint) score from points group by 1) select s.doc_id, score from s join sidecars using (doc_id) where not contains(md, 'verify_status: verified') order by score desc, doc_id limit 1")
 def topk_next_repairable(spark, sf_dir):
-    open_ = sidecars(spark, sf_dir).where(X.field(MD, "verify_status") != "verified").select("doc_id")
+    open_ = sidecars(spark, sf_dir).where(X.field(F.col("md"), "verify_status") != "verified").select("doc_id")
     return agg_risk_score(spark, sf_dir).join(open_, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(1)
 
 
@@ -95,13 +94,13 @@ def set_blocking_codes(spark, sf_dir):
 
 @register("risk_left_right", f"with {SIDECARS_CTE} select doc_id, len(regexp_extract_all(md, '\\\\left')) n_left, len(regexp_extract_all(md, '\\\\right')) n_right from sidecars where len(regexp_extract_all(md, '\\\\left')) <> len(regexp_extract_all(md, '\\\\right'))")
 def risk_left_right(spark, sf_dir):
-    both = sidecars(spark, sf_dir).select("doc_id", X.count_of(MD, r"\\left").cast("bigint").alias("n_left"), X.count_of(MD, r"\\right").cast("bigint").alias("n_right"))
+    both = sidecars(spark, sf_dir).select("doc_id", X.count_of(F.col("md"), r"\\left").cast("bigint").alias("n_left"), X.count_of(F.col("md"), r"\\right").cast("bigint").alias("n_right"))
     return both.where("n_left <> n_right")
 
 
 @register("risk_low_cjk", f"with {SIDECARS_CTE}, b as (select doc_id, md, length(md) n, len(regexp_extract_all(md, '[㐀-䶿一-鿿]')) cjk from sidecars) select doc_id, cjk from b where contains(md, concat('language: zh', chr(10))) and n > 2000 and cjk * 100 < n")
 def risk_low_cjk(spark, sf_dir):
-    found = sidecars(spark, sf_dir).where((X.field(MD, "language") == "zh") & (F.char_length("md") > 2000)).select("doc_id", X.count_of(MD, "[㐀-䶿一-鿿]").cast("bigint").alias("cjk"), F.char_length("md").alias("n"))
+    found = sidecars(spark, sf_dir).where((X.field(F.col("md"), "language") == "zh") & (F.char_length("md") > 2000)).select("doc_id", X.count_of(F.col("md"), "[㐀-䶿一-鿿]").cast("bigint").alias("cjk"), F.char_length("md").alias("n"))
     return found.where("cjk * 100 < n").select("doc_id", "cjk")
 
 
@@ -125,7 +124,7 @@ def fn_formula_density(spark, sf_dir):
  d as (select doc_id, regexp_replace(t, '\\n{{3,}}', concat(chr(10), chr(10)), 'g') t from c)
 select doc_id, regexp_replace(t, '(?m)^[-*][ \\t]{{2,}}', '- ', 'g') repaired from d""")
 def fix_repair_text(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", P.repair(MD).alias("repaired"))
+    return sidecars(spark, sf_dir).select("doc_id", P.repair(F.col("md")).alias("repaired"))
 
 
 @register("fix_frontmatter", "select doc_id, concat('---', chr(10), 'source: ', source, chr(10), '---', chr(10), chr(10), text) fixed from documents")
@@ -135,12 +134,12 @@ def fix_frontmatter(spark, sf_dir):
 
 @register("fix_govern", f"with {SIDECARS_CTE} select doc_id, regexp_replace(md, '(?m)^repair_status: .*$', 'repair_status: auto-repaired') fixed from sidecars")
 def fix_govern(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", P.set_field(MD, "repair_status", F.lit("auto-repaired")).alias("fixed"))
+    return sidecars(spark, sf_dir).select("doc_id", P.set_field(F.col("md"), "repair_status", F.lit("auto-repaired")).alias("fixed"))
 
 
 @register("fn_score_noise", f"with {SIDECARS_CTE} select doc_id, cast(len(regexp_extract_all(md, '\\\\nonumber')) as int) nonumber, cast(len(regexp_extract_all(md, '(?m)^#+[^# \\n]')) as int) tight_heads from sidecars")
 def fn_score_noise(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.count_of(MD, r"\\nonumber").alias("nonumber"), X.count_of(MD, r"(?md)^#+[^# \n]").alias("tight_heads"))
+    return sidecars(spark, sf_dir).select("doc_id", X.count_of(F.col("md"), r"\\nonumber").alias("nonumber"), X.count_of(F.col("md"), r"(?md)^#+[^# \n]").alias("tight_heads"))
 
 
 @register("fn_brace_balance", "with b as (select doc_id, length(text) - length(replace(text, '(', '')) opened, length(text) - length(replace(text, ')', '')) closed from documents) select doc_id, cast(opened - closed as int) depth from b")
