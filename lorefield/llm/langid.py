@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import blocks, map_carrying
+from .shingles import SEEDS, mix
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -27,15 +26,11 @@ SCRIPTS = [
     (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE70, "arabic"), (0xFF00, "other"),
     (0x20000, "han"),
 ]
-_STARTS = [s for s, _ in SCRIPTS]
+_STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
-
-
-def script_of(word: str) -> str:
-    """The script of most letters; the first one seen wins a tie."""
-    if word.isascii():
-        return "latin"
-    return Counter(SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1] for c in word).most_common(1)[0][0]
+_KINDS = np.array([_NAMES.index(name) for _, name in SCRIPTS])
+#: Words that are looked at together.
+SCORED_WORDS = 20_000
 
 
 def lowered(text: str) -> str:
@@ -44,10 +39,35 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
 
 
-def _buckets(word: str, buckets: int) -> list[int]:
-    """Hashes of a word's letter pairs, triples and the whole, the same in every process."""
-    padded = f"<{word[:60]}>".encode("utf-32-le")
-    return [crc32(padded[i : i + 4 * n]) % buckets for n in (2, 3) for i in range(0, len(padded) - 4 * n + 1, 4)] + [crc32(padded) % buckets]
+class Letters:
+    """Words as one array of code points, each word between marks, for work on all at once."""
+
+    def __init__(self, words: list[str]):
+        text = "".join([f"<{w[:60]}>" for w in words])
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.sizes = np.array([min(len(w), 60) + 2 for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.owner = np.repeat(np.arange(len(words)), self.sizes)
+
+    def grams(self, buckets: int):
+        """(bucket of each letter pair, triple and word; the words' numbers), the same in every process."""
+        c, n = self.codes, np.uint64(buckets)
+        for width in (2, 3):
+            h = sum(c[k : len(c) - width + 1 + k] * SEEDS[k] for k in range(width)) + np.uint64(width)
+            yield (mix(h) % n).astype(np.int64), self.owner[: len(h)], self.owner[: len(h)] == self.owner[width - 1 :]
+        place = (np.arange(len(c)) - self.starts[self.owner]).astype(np.uint64)
+        whole = np.add.reduceat(mix(c * SEEDS[0] + place * SEEDS[3]), self.starts)
+        yield (mix(whole) % n).astype(np.int64), np.arange(len(self.sizes)), np.ones(len(self.sizes), bool)
+
+    def scripts(self) -> np.ndarray:
+        """The script, by number, of most letters of each word; the first by name wins a tie."""
+        if not len(self.sizes) or self.codes.max() < _STARTS[1]:
+            return np.full(len(self.sizes), _NAMES.index("latin"))
+        kind = _KINDS[np.searchsorted(_STARTS, self.codes, side="right") - 1]
+        inside = np.ones(len(self.codes), bool)
+        inside[self.starts] = inside[self.starts + self.sizes - 1] = False
+        tally = np.bincount(self.owner[inside] * len(_NAMES) + kind[inside], minlength=len(self.sizes) * len(_NAMES))
+        return tally.reshape(-1, len(_NAMES)).argmax(axis=1)
 
 
 @dataclass
@@ -58,14 +78,18 @@ class LanguageModel:
     weights: np.ndarray  # buckets x languages, float32
     scripts: dict[str, np.ndarray]  # candidates of a script, as a mask over languages
 
-    def word(self, word: str) -> np.ndarray:
-        """Score of a lower-cased word for each language; others than the script's candidates fall far behind."""
-        fits = self.scripts.get(script_of(word))
-        if fits is None:
-            return np.zeros(len(self.languages), np.float32)
-        grams = _buckets(word, len(self.weights))
-        score = self.weights[grams].sum(axis=0) / len(grams) ** 0.5
-        return np.where(fits, np.maximum(score - score.max(), -12), -30)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of lower-cased words, a row each; languages that a word's script rules out fall far behind."""
+        letters, n = Letters(words), len(words)
+        total = np.zeros((n, len(self.languages)))
+        for bucket, owner, valid in letters.grams(len(self.weights)):
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(owner[valid], self.weights[bucket[valid], k], n)
+        total /= np.sqrt(2 * letters.sizes - 2)[:, None]
+        fits = np.stack([self.scripts.get(name, np.zeros(len(self.languages), bool)) for name in _NAMES])[letters.scripts()]
+        scores = np.where(fits, np.maximum(total - np.where(fits, total, -np.inf).max(axis=1, keepdims=True, initial=-1e9), -12), -30)
+        scores[~fits.any(axis=1)] = 0
+        return scores.astype(np.float32)
 
 
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, buckets: int = 1 << 16) -> LanguageModel:
@@ -91,10 +115,15 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
             for lang, text in zip(langs.to_pylist(), texts.to_pylist()):
                 words.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
             for lang, counted in words.items():
-                for word, n in counted.items():
-                    scripts[at[lang], script_of(word)] += n
-                    # a word counts less and less with each time: templates must not drown the rest
-                    np.add.at(grams[at[lang]], _buckets(word, buckets), np.sqrt(n))
+                listed = list(counted)
+                for at_ in range(0, len(listed), SCORED_WORDS):
+                    part = listed[at_ : at_ + SCORED_WORDS]
+                    letters, n = Letters(part), np.array([counted[w] for w in part])
+                    for j, m in zip(*np.unique(letters.scripts(), return_counts=True)):
+                        scripts[at[lang], _NAMES[j]] += int(m)
+                    for bucket, owner, valid in letters.grams(buckets):
+                        # a word counts less and less with each time: templates must not drown the rest
+                        grams[at[lang]] += np.bincount(bucket[valid], np.sqrt(n)[owner[valid]], buckets)
         k, bucket = grams.nonzero()
         weight = np.rint(grams[k, bucket] * 1024).astype(np.int64)  # whole numbers add up alike in any order
         by_script = [(j, -1 - _NAMES.index(name), n * 1024) for (j, name), n in scripts.items()]
@@ -126,26 +155,18 @@ class WordScores:
 
     def _reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.rows = np.zeros((0, len(self.model.languages)), np.float32)
 
-    def start_block(self) -> None:
+    def block(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The rows' numbers for each list of words; words not met yet are scored together."""
         if len(self.at) > self.entries:
             self._reset()
-
-    def ids(self, words: list[str]) -> list[int]:
-        get = self.at.get
-        found = [get(w) for w in words]
-        if None in found:
-            for i, (w, k) in enumerate(zip(words, found)):
-                if k is None:
-                    k = self.at.get(w)
-                    if k is None:
-                        k = self.at[w] = len(self.at)
-                        if k == len(self.rows):
-                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                        self.rows[k] = self.model.word(w)
-                    found[i] = k
-        return found
+        fresh = sorted(set().union(*texts).difference(self.at))
+        parts = [fresh[k : k + SCORED_WORDS] for k in range(0, len(fresh), SCORED_WORDS)]
+        self.at.update(zip(fresh, range(len(self.at), len(self.at) + len(fresh))))
+        if parts:
+            self.rows = np.concatenate([self.rows, *map(self.model.words, parts)])
+        return [np.fromiter(map(self.at.__getitem__, words), np.int32, len(words)) for words in texts]
 
 
 def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -154,6 +175,8 @@ def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
     ``ids`` holds the lists one after another.  Step ``t`` handles word ``t`` of every
     list that has one; lists go longest first, so these are a prefix.
     """
+    if not len(ids):
+        return np.empty(0, np.uint8)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     n_lang = rows.shape[1]
@@ -202,14 +225,11 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
         model = shared.value
         scores = WordScores(model)
         for ids, texts, *others in blocks(batches):
-            scores.start_block()
             texts = [lowered(t or "") for t in texts.to_pylist()]
-            held, sizes, letters = [], [], []
-            for text in texts:
-                words = WORD.findall(text) if model.languages else []
-                held.append(np.array(scores.ids(words), np.int32))
-                letters.append(np.fromiter(map(len, words), np.int32, len(words)))
-                sizes.append(len(words))
+            words = [WORD.findall(t) if model.languages else [] for t in texts]
+            held = scores.block(words)
+            letters = [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
+            sizes = [len(w) for w in words]
             sizes = np.array(sizes, np.int64)
             starts = np.cumsum(sizes) - sizes
             label = viterbi(scores.rows, np.concatenate(held), starts, sizes, penalty)

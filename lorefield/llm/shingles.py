@@ -13,7 +13,7 @@ BLOCK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 
 
@@ -27,11 +27,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """One hash for each word, eight bytes after another; ``data`` ends with eight spare bytes."""
     lanes = np.lib.stride_tricks.as_strided(data[: len(data) - 7].view(), (len(data) - 7, 8), (1, 1))
-    h = mix(size.astype(np.uint64) * _SEEDS[0])
+    h = mix(size.astype(np.uint64) * SEEDS[0])
     rest, at, who = size.copy(), start.copy(), np.arange(len(start))
     while len(who):
         lane = np.ascontiguousarray(lanes[at]).view("<u8").ravel() & _LOW[np.minimum(rest, 8)]
-        h[who] = mix(h[who] ^ (lane * _SEEDS[1] + _SEEDS[2]))
+        h[who] = mix(h[who] ^ (lane * SEEDS[1] + SEEDS[2]))
         more = rest > 8
         who, at, rest = who[more], at[more] + 8, rest[more] - 8
     return h
@@ -55,15 +55,15 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     first = np.concatenate([[0], last[:-1]])
     runs = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        runs += words[k : k + len(runs)] * _SEEDS[k]
+        runs += words[k : k + len(runs)] * SEEDS[k]
     runs = mix(runs)
     sets = []
     for a, b in zip(first.tolist(), last.tolist()):
         if b - a >= WORDS:
             sets.append(np.unique(runs[a : b - WORDS + 1]))
         elif b > a:
-            short = (words[a:b] * _SEEDS[: b - a]).sum(dtype=np.uint64) + _U(b - a)
-            sets.append(mix(mix(np.array([short], np.uint64)) ^ _SEEDS[4]))
+            short = (words[a:b] * SEEDS[: b - a]).sum(dtype=np.uint64) + _U(b - a)
+            sets.append(mix(mix(np.array([short], np.uint64)) ^ SEEDS[4]))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -88,6 +88,6 @@ def set_digests(sets: list[np.ndarray]) -> np.ndarray:
     """128 bits for each set as two columns of signed numbers; equal sets have equal ones."""
     out = np.zeros((len(sets), 2), np.uint64)
     for i, s in enumerate(sets):
-        out[i, 0] = (mix(s ^ _SEEDS[1]) * _SEEDS[2]).sum(dtype=np.uint64)
-        out[i, 1] = mix(s + _SEEDS[3]).sum(dtype=np.uint64)
+        out[i, 0] = (mix(s ^ SEEDS[1]) * SEEDS[2]).sum(dtype=np.uint64)
+        out[i, 1] = mix(s + SEEDS[3]).sum(dtype=np.uint64)
     return mix(out).view(np.int64)
