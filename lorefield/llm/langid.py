@@ -31,6 +31,29 @@ _NAMES = sorted({name for _, name in SCRIPTS})
 _KINDS = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 #: Words that are looked at together.
 SCORED_WORDS = 20_000
+#: Letters of a piece at most: longer words are scored in several.
+PIECE_LETTERS = 60
+
+
+def _piece_pattern() -> re.Pattern:
+    """Matches up to PIECE_LETTERS letters of one script."""
+    ranges: dict[str, list[str]] = {}
+    for (start, name), (end, _) in zip(SCRIPTS, [*SCRIPTS[1:], (0x110000, "")]):
+        for m in WORD.finditer("".join(map(chr, range(start, end)))):
+            ranges.setdefault(name, []).append(f"{chr(start + m.start())}-{chr(start + m.end() - 1)}")
+    return re.compile("|".join(f"[{''.join(found)}]{{1,{PIECE_LETTERS}}}" for found in ranges.values()))
+
+
+PIECE = _piece_pattern()
+LATIN_PIECE = re.compile(rf"[^\W\d_]{{1,{PIECE_LETTERS}}}")
+#: The first code point that may belong to another script than Latin.
+_BEYOND_LATIN = re.compile(f"[{chr(SCRIPTS[1][0])}-{chr(0x10FFFF)}]")
+
+
+def piece_pattern(text: str) -> re.Pattern:
+    """The pattern whose matches are the pieces of ``text``: its words, cut where the
+    script changes and after every PIECE_LETTERS letters, so that each letter is in one."""
+    return PIECE if _BEYOND_LATIN.search(text) else LATIN_PIECE
 
 
 def lowered(text: str) -> str:
@@ -40,12 +63,12 @@ def lowered(text: str) -> str:
 
 
 class Letters:
-    """Words as one array of code points, each word between marks, for work on all at once."""
+    """Pieces of words as one array of code points, each between marks, for work on all at once."""
 
     def __init__(self, words: list[str]):
-        text = "".join([f"<{w[:60]}>" for w in words])
+        text = "".join([f"<{w}>" for w in words])
         self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        self.sizes = np.array([min(len(w), 60) + 2 for w in words], np.int64)
+        self.sizes = np.array([len(w) + 2 for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.owner = np.repeat(np.arange(len(words)), self.sizes)
 
@@ -113,7 +136,7 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
         for langs, texts in blocks(batches):
             words: dict[str, Counter] = {}
             for lang, text in zip(langs.to_pylist(), texts.to_pylist()):
-                words.setdefault(lang, Counter()).update(WORD.findall(lowered(text)))
+                words.setdefault(lang, Counter()).update(piece_pattern(low := lowered(text)).findall(low))
             for lang, counted in words.items():
                 listed = list(counted)
                 for at_ in range(0, len(listed), SCORED_WORDS):
@@ -210,8 +233,11 @@ def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
 def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, spans: bool = True, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Labels the words of whole texts, and each text by the language of most of its letters.
 
+    A word is a run of letters; it is scored in pieces, of one script and of
+    PIECE_LETTERS letters at most, each of which gets a label.  Most words are one piece.
+
     Returns ``id, lang_pred, score`` (the share of letters in words of that language,
-    0 to 1), ``n_words`` and, with ``spans``, ``spans``: runs of words of one language
+    0 to 1), ``n_words`` and, with ``spans``, ``spans``: runs of pieces of one language
     as (start, end, lang), by code points.  A null text, or one without a letter, is
     ``und`` with score 0 and no spans; of languages that tie, the first by name wins.
     Repeated rows each get a row; an empty table gives none; other columns are not
@@ -226,13 +252,14 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
         scores = WordScores(model)
         for ids, texts, *others in blocks(batches):
             texts = [lowered(t or "") for t in texts.to_pylist()]
-            words = [WORD.findall(t) if model.languages else [] for t in texts]
+            words = [piece_pattern(t).findall(t) if model.languages else [] for t in texts]
             held = scores.block(words)
             letters = [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
             sizes = [len(w) for w in words]
             sizes = np.array(sizes, np.int64)
             starts = np.cumsum(sizes) - sizes
             label = viterbi(scores.rows, np.concatenate(held), starts, sizes, penalty)
+            n_words = [len(WORD.findall(t)) if len(w) and (w.max() == PIECE_LETTERS or _BEYOND_LATIN.search(t)) else len(w) for t, w in zip(texts, letters)]
             preds, shares, runs = [], [], []
             for text, start, n, weight in zip(texts, starts.tolist(), sizes.tolist(), letters):
                 own = label[start : start + n]
@@ -245,7 +272,7 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
                     shares.append(0.0)
                 if spans:
                     runs.append(_runs(text, own, model.languages))
-            columns = [ids, pa.array(preds), pa.array(shares, pa.float64()), pa.array(sizes, pa.int64())] + ([pa.array(runs, pa.list_(span))] if spans else [])
+            columns = [ids, pa.array(preds), pa.array(shares, pa.float64()), pa.array(n_words, pa.int64())] + ([pa.array(runs, pa.list_(span))] if spans else [])
             yield pa.RecordBatch.from_arrays([*columns, *others], [*["id", "lang_pred", "score", "n_words", "spans"][: len(columns)], *(f"carry{k}" for k in range(len(others)))])
 
     schema = f"id {kind}, lang_pred string, score double, n_words bigint" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
@@ -253,9 +280,9 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
 
 
 def _runs(text: str, label: np.ndarray, languages: list[str]) -> list[dict]:
-    """Runs of words of one language; a span ends with its last word."""
+    """Runs of pieces of one language; a span ends with its last piece."""
     found: list[dict] = []
-    for m, k in zip(WORD.finditer(text), label.tolist()):
+    for m, k in zip(piece_pattern(text).finditer(text), label.tolist()):
         lang = languages[k]
         if found and found[-1]["lang"] == lang:
             found[-1]["end"] = m.end()

@@ -32,6 +32,26 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.label_languages(df, empty).collect()} == {"und"}
 
 
+def test_long_words_are_read_whole(spark):
+    lines = {"en": "the house and the garden", "fr": "la maison et le jardin", "ru": "дом и сад", "zh": "漢字文章"}
+    train = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate([*lines.items()] * 3)], "doc_id long, text string, lang string")
+    model = langid.fit_language_model(train)
+    texts = ["сад" * 20 + "house" * 2000, "house" * 20 + "漢字文章" * 500, "maison" * 10 + "house" * 100, "сад漢字", "я" * 60 + "é" * 61 + " дом1сад"]
+    got = {r.doc_id: r for r in langid.label_languages(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(3)] == ["en", "zh", "en"]
+    assert abs(got[0].score - 10000 / 10060) < 1e-9 and abs(got[1].score - 2000 / 2100) < 1e-9
+    assert [(s.start, s.end, s.lang) for s in got[0].spans] == [(0, 60, "ru"), (60, 10060, "en")]
+    assert [(s.start, s.end, s.lang) for s in got[3].spans] == [(0, 3, "ru"), (3, 5, "zh")]
+    assert [got[i].n_words for i in range(5)] == [1, 1, 1, 1, 3]
+
+
+def test_pieces_hold_each_letter_once():
+    every = "".join(c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000)
+    for text in (every, "a" * 130 + "b1" * 3, "ñ" * 61, "漢" * 200 + "かなabc々ー", "x_y 1", ""):
+        pieces = langid.piece_pattern(text).findall(text)
+        assert "".join(pieces) == "".join(langid.WORD.findall(text)) and all(len(p) <= 60 for p in pieces)
+
+
 def test_viterbi_equals_trying_all_paths():
     rng = np.random.default_rng(5)
     for _ in range(40):
