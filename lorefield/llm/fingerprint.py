@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 
 from .shared import let
 
+#: A longer run without white space counts as unspaced text.
+UNSPACED = 64
 #: Buckets of ids at most, so that their bounds fit in an expression.
 MAX_BUCKETS = 10_000
 
 
 def words_of(text: Column) -> Column:
-    """Words; of texts with hardly any white space, pieces of eight code points."""
+    """Words between white space; each code point is one in runs of more than UNSPACED.
+
+    Each run is told from its own length, so an edit changes the words of its own run only.
+    """
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(words, lambda w: F.when(F.char_length(text) > 64 * F.size(w) + 64, F.regexp_extract_all(text, F.lit("(?s).{1,8}"), F.lit(0))).otherwise(w))
+    long = lambda w: F.char_length(w) > UNSPACED
+    cut = lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))
+    return let(words, lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, cut))).otherwise(ws))
 
 
 def closed_syncmers(text: Column, k: int = 6, s: int = 2) -> Column:
     """Hashes, in order, of the ``k``-word runs whose least ``s``-word run is their first or last.
 
     Whether a run is chosen depends on its own words only, so an edit changes no
-    choice beyond ``k`` words from it.  A text of fewer than ``k`` words has one
-    anchor for all of it, an empty one none.
+    choice beyond ``k`` words from it.  A text of which no run is chosen, as all of
+    fewer than ``k`` words and some of up to ``2k - s - 2``, has one anchor for all of
+    it; one without a word has none.
     """
     last = k - s
 
@@ -32,8 +40,8 @@ def closed_syncmers(text: Column, k: int = 6, s: int = 2) -> Column:
         edge = lambda o, i: F.least(F.get(o, i), F.get(o, i + last))
         between = lambda o, i: F.least(edge(o, i), *(F.get(o, i + j) for j in range(1, last)))
         chosen = let(inner, lambda o: F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: edge(o, i) <= between(o, i)))
-        whole = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(h) >= k, F.transform(chosen, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(whole)
+        runs = F.when(F.size(h) >= k, F.transform(chosen, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
+        return let(runs, lambda r: F.when((F.size(r) == 0) & (F.size(h) > 0), F.array(F.xxhash64(h))).otherwise(r))
 
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), anchors)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorefield.llm.dedup import double_directory, exact_dedup
-from lorefield.llm.fingerprint import fingerprint_pairs, likeness
+from lorefield.llm.fingerprint import fingerprint_pairs, likeness, words_of
 from lorefield.llm.graph import components
 from lorefield.llm.jaccard import jaccard_components
 from lorefield.llm.sharding import hilbert_index, hilbert_shards
@@ -176,6 +176,26 @@ def test_an_edit_far_away_leaves_anchors(spark):
     assert len(set(a) & set(b)) > 0.8 * len(a)
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    rnd = random.Random(3)
+    texts = [None, "", " \n "] + [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in (1, 5, 6, 7, 8, 9) for _ in range(40)]
+    prints = [r.anchors for r in sorted(fingerprint_pairs(table(spark, texts)).collect(), key=lambda r: r.id)]
+    assert prints[:3] == [[]] * 3 and all(prints[3:])
+    assert len({tuple(p) for p in prints[3:]}) == len(prints) - 3
+
+
+def test_unspaced_runs_are_cut_by_themselves(spark):
+    rnd = random.Random(4)
+    run = "".join(rnd.choice("漢字文章語句読点我你他😀abc") for _ in range(600))
+    assert spark.range(1).select(words_of(F.lit("ab " + run + " cd"))).first()[0] == ["ab", *run, "cd"]
+    spaced = " ".join(f"w{i}" for i in range(300))
+    texts = [run, spaced, run[:10] + "新" + run[10:], spaced]
+    near = {r.id: r.near for r in fingerprint_pairs(table(spark, texts)).select("id", likeness(F.col("anchors"), F.col("edited_anchors")).alias("near")).collect()}
+    assert near[0] > 0.3 and near[1] > 0.1  # half of 120 anchors, and 240 from the unspaced half
+    prints = {r.id: set(r.anchors) for r in fingerprint_pairs(table(spark, texts)).collect()}
+    assert len(prints[0] & prints[2]) > 0.8 * len(prints[0])
+
+
 def pages(spark):
     long = "<p>" + "x" * 200 + "</p>"
     trap = f"<pre>{MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n{MAGIC}</pre>" + "y" * 120
