@@ -81,12 +81,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     should start.  Offsets come from running sums over one file's lengths.  Only
     candidates on the chain from the file's start are records: a magic string inside
     a payload is not on it.  Payloads are hashed where they are read; the few that
-    hold the magic string themselves are put together in a second reading.
+    hold the magic string themselves are put together in a second reading.  A file
+    whose chain does not reach its end is an error.
     """
     from pyspark.sql import Window as W
 
     scan = spark.read.option("lineSep", MAGIC).text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw"), "value")
-    header = F.substring_index(F.substring("value", 1, 65536), BLANK, 1)
+    # a header is of any length; its fields hold no line break, so its end is in the chunk it starts in
+    header = F.when(F.contains("value", F.lit(BLANK)), F.substring_index("value", BLANK, 1)).otherwise(F.lit(""))
     head = F.octet_length(header)
     length = F.try_to_number(F.coalesce(_field(header, "Content-Length", "[0-9]{1,17}"), F.lit("-1")), F.lit("S99999999999999999")).cast("bigint")
     complete = F.col("size") >= F.col("head") + 4 + F.col("length")
@@ -104,6 +106,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     placed = materialise(placed.withColumn("next", F.when(F.col("length") >= 0, F.col("start") + mark + F.col("head") + 4 + F.col("length") + 4)))
     starts = verified_starts(placed.where("start >= 0 and next is not null").select("file", "start", "next"))
     records = placed.join(starts, ["file", "start"])
+    ends = placed.groupBy("file").agg(F.max(F.col("start") + mark + F.col("size")).alias("end"))
+    broken = ends.join(records.groupBy("file").agg(F.max("next").alias("reached")), "file", "left").where("reached is null or reached <> end").count()
+    if broken:
+        raise ValueError(f"{broken} of the files below {path} have records that no chain from their start to their end reaches")
     if records.where("payload_sha256 is null").isEmpty():
         whole = records.withColumn("sha", F.col("payload_sha256"))
     else:

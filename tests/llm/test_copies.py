@@ -221,3 +221,20 @@ def test_magic_inside_payloads_is_no_record(spark, tmp_path):
     rows = read_warc(spark, f"file://{tmp_path}/w").collect()
     assert sorted(r.id for r in rows) == list(range(len(html)))
     assert all(r.digest == r.payload_sha256 for r in rows if r.type == "response")
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(i, f"http://x/{i}/" + "é" * (70_000 if i % 3 == 1 else 1), f"<p>{i}</p>") for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_warc(df.coalesce(1), f"file://{tmp_path}/w")
+    assert sorted((r.id, r.url, r.payload_bytes) for r in read_warc(spark, f"file://{tmp_path}/w").collect()) == [(i, u, len(h)) for i, u, h in rows]
+
+
+def test_a_chain_that_ends_early_is_an_error(spark, tmp_path):
+    write_warc(pages(spark)[0].coalesce(1), f"file://{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = file.read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "part-0").write_bytes(data.replace(b"Content-Length: 5", b"Content-Length: 6"))
+    with pytest.raises(ValueError, match="1 of the files"):
+        read_warc(spark, f"file://{tmp_path}/cut")
