@@ -53,3 +53,9 @@ def blockers(text: Column) -> Column:
 def gate(text: Column, check_only: bool = False) -> Column:
     """hold where a blocker fires; otherwise allow, or check where nothing may be published."""
     return F.when(F.size(blockers(text)) > 0, F.lit("hold")).otherwise(F.lit("check-only" if check_only else "allow"))
+
+
+def publishing_gate(text: Column, allow_warnings: bool = False) -> Column:
+    """hold where a blocker fires, or a warning unless warnings are allowed; otherwise allow."""
+    held = F.size(blockers(text)) > 0
+    return F.when(held if allow_warnings else held | (F.size(warnings(text)) > 0), F.lit("hold")).otherwise(F.lit("allow"))

@@ -43,6 +43,12 @@ def pii_gate(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").rlike(rule), "hold").otherwise("allow").alias("decision"))
 
 
+@register("pii_publishing_gate")
+def pii_publishing_gate(spark, sf_dir):
+    """All blockers and the warnings rule; ``pii_gate`` and its SQL have one rule, secret key=value."""
+    return _table(spark, sf_dir, "documents").select("doc_id", P.publishing_gate(F.col("text")).alias("decision"))
+
+
 @register("pii_turn_gate")
 def pii_turn_gate(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
