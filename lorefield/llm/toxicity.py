@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks, map_carrying
+from .arrow import blocks, map_carrying, small_batches
 from .langid import WORD, lowered
 from .shared import materialise
 
 #: Lengths of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6)
+#: Features that a task counts before it hands their counts on, and words whose features it keeps.
+HELD_FEATURES = 40_000
+HELD_WORDS = 60_000
 
 
 def word_features(word: str) -> list[str]:
@@ -94,15 +97,16 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
     chosen = chosen.orderBy(F.xxhash64(F.col("id").cast("string")), "id", "grade").limit(sample)  # the bound that the broadcast below relies on
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = text.join(F.broadcast(chosen), "id").select("grade", "text").dropDuplicates(["text", "grade"])
-    rows = materialise(rows)  # sample rows at most, read three times
+    small_batches(docs.sparkSession)
+    rows = materialise(rows)  # a row for each sampled label, but for repeated ids; read three times
 
     def count(batches):
         docs_with, positive = Counter(), Counter()
 
         def flush():
             names = list(docs_with)
-            for k in range(0, len(names), 20_000):
-                part = names[k : k + 20_000]
+            for k in range(0, len(names), 10_000):
+                part = names[k : k + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([docs_with[f] for f in part], pa.int64()), pa.array([positive[f] for f in part], pa.int64())], ["feature", "n", "pos"])
             docs_with.clear()
             positive.clear()
@@ -113,7 +117,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
                 docs_with.update(held)
                 if grade > 0:
                     positive.update(held)
-                if len(docs_with) > 200_000:
+                if len(docs_with) > HELD_FEATURES:
                     yield from flush()
         yield from flush()
 
@@ -133,7 +137,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", s
             ids = [sorted({at[f] for w in set(WORD.findall(lowered(body))) for f in word_features(w) if f in at}) for body in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([grades, pa.array(ids, pa.list_(pa.int32()))], ["grade", "ids"])
 
-    fitted = rows.mapInArrow(select, "grade int, ids array<int>").toArrow()
+    fitted = rows.mapInArrow(select, "grade int, ids array<int>").limit(sample).toArrow()  # the limit is reached only where ids repeat
     ids, grades = fitted.column("ids").to_pylist(), np.array(fitted.column("grade").to_pylist(), np.int64)
     if split_positive and grades.max(initial=0) == 1:
         telling = {k for k, r in enumerate(top) if r.lift > 0 and r.pos >= 0.5 * r.n}
@@ -161,15 +165,17 @@ def grade_severity(df: DataFrame, model: OrdinalModel, carry: tuple[str, ...] =
         at, known = model.at, {}
         telling = {k for k, w in enumerate(model.weights) if w >= 1}
         for ids, texts, *others in blocks(batches):
-            if len(known) > 400_000:
-                known.clear()
             scores, evidence = [], []
             for text in texts.to_pylist():
                 held: set[int] = set()
                 for w in set(WORD.findall(lowered(text or ""))):
                     own = known.get(w)
                     if own is None:
-                        own = known[w] = tuple(at[f] for f in word_features(w) if f in at)
+                        own = tuple(at[f] for f in word_features(w) if f in at)
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
+                        if len(w) <= 40:
+                            known[w] = own
                     held.update(own)
                 scores.append(sum(model.weights[k] for k in sorted(held)))
                 evidence.append(sorted(model.features[k] for k in held & telling))
