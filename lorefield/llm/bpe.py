@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import regex
@@ -22,7 +25,6 @@ LETTERS = regex.compile(r"\p{L}+")
 #: Unicode's White_Space, which the tokenizer libraries mean by ``\s``; Python's differs in U+001C-U+001F.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN_INSIDE = re.compile(rf"[{WHITE}]{{2,}}(?=[^{WHITE}])")
-RUN_AT_END = re.compile(rf"[{WHITE}]+\Z")
 #: Chunks longer than this are encoded on the spot and not cached.
 CACHED_CHARS = 48
 #: Entries of a cache before it is emptied.
@@ -70,7 +72,7 @@ class ByteBPE:
             ends.setdefault(token[-2:], set()).add(len(token))
         #: Lengths of the tokens that end in these two bytes, and of the single bytes.
         self.ending = {k: sorted(v | {1}, reverse=True) for k, v in ends.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.encoding.encode_ordinary(text)
@@ -79,7 +81,7 @@ class ByteBPE:
         return self.encoding._encode_single_piece(data)
 
     def valid(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= CACHE_ENTRIES:
@@ -105,6 +107,8 @@ class ByteBPE:
         if ids != sorted(ids) or len(set(ids)) != len(ids) or any(model["vocab"][c] > ids[0] for c in byte_of):
             raise ValueError("merges are not in the order of their ids")
         names = {t: i for t, i in model["vocab"].items() if all(c in byte_of for c in t) and (len(t) == 1 or i >= ids[0])}
+        if any(t[how] for t in file["added_tokens"] for how in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what stands beside them are not read")
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         own._set({bytes(byte_of[c] for c in t): i for t, i in names.items() if t not in special}, pattern)
         own.special = special
@@ -123,6 +127,12 @@ def load_json_bpe(path: str, pattern: str) -> ByteBPE:
     return ByteBPE.from_json(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def load_prefix_counter(path: str, pattern: str) -> PrefixCounter:
+    """One instance per Python worker: what one task has learnt serves the next."""
+    return PrefixCounter(load_json_bpe(path, pattern))
+
+
 @lru_cache(maxsize=4)
 def load_bpe(path: str, pattern: str) -> ByteBPE:
     """One instance per Python worker."""
@@ -167,117 +177,261 @@ class ChunkEncoder:
 # counts at every prefix
 
 
-def piece_prefix_counts(bpe: ByteBPE, data: bytes) -> list[int]:
-    """Token counts of ``data[:1] … data[:n]``, each as if encoded alone.
+def prefix_programs(bpe: ByteBPE, pieces: list[bytes]) -> Iterator[list[int]]:
+    """For each of the sorted pieces the token counts of ``data[:0] … data[:n]``, each as if encoded alone.
 
-    ``last[i]`` is the final token of the encoding of ``data[:i]``.  It is the
-    one token that ends there and may follow ``last[i - len(token)]``; the
-    count follows from the shorter prefix by adding one.
+    ``start[i]`` is where the final token of the encoding of ``data[:i]`` begins and
+    ``last[i]`` that token: the one that ends there and may follow ``last[start[i]]``.
+    The count follows from the shorter prefix by adding one.  No other token passes
+    that test, so the likeliest, the last one grown by a byte, is tried first.  A piece
+    goes on from the states of the prefix that it shares with the piece before it.
     """
-    ranks, ending = bpe.ranks, bpe.ending
-    last, count = [-1], [0]
-    for i in range(1, len(data) + 1):
-        for n in ending.get(data[max(0, i - 2) : i], (1,)):
-            j = i - n
-            token = ranks.get(data[j:i]) if j >= 0 else None
-            if token is not None and (j == 0 or bpe.valid(last[j], token)):
-                last.append(token)
-                count.append(count[j] + 1)
-                break
-        else:
-            raise ValueError("the rank file lacks a single byte")
-    return count[1:]
-
-
-def chunk_prefix_counts(bpe: ByteBPE, chunk: str) -> list[int]:
-    """Token counts of ``chunk[:1] … chunk[:n]`` by code points.
-
-    Inside a match the counts of its own prefixes hold.  A contraction (``'ll``)
-    cut short falls into a quote and letters, and a run of white space that ends
-    the prefix is one match even where the whole text splits it, so both are
-    counted as they stand.
+    ranks, ending, valid = bpe.ranks, bpe.ending, bpe.valid
+    last, start, count, before = [-1], [0], [0], b""
+    for data in pieces:
+        same = next((k for k, (x, y) in enumerate(zip(before, data)) if x != y), min(len(before), len(data)))
+        del last[same + 1 :], start[same + 1 :], count[same + 1 :]
+        for i in range(same + 1, len(data) + 1):
+            j = start[i - 1]
+            token = ranks.get(data[j:i])
+            if token is None or (j and not valid(last[j], token)):
+                grown = i - j
+                for n in ending.get(data[max(0, i - 2) : i], (1,)):
+                    if n == grown or n > i:
+                        continue
+                    j = i - n
+                    token = ranks.get(data[j:i])
+                    if token is not None and (j == 0 or valid(last[j], token)):
+                        break
+                else:
+                    raise ValueError("the rank file lacks a single byte")
+            last.append(token)
+            start.append(j)
+            count.append(count[j] + 1)
+        before = data
+        yield count
+
+
+#: Longer pieces go through the program one by one.
+TABLE_BYTES = 32
+_LOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class PrefixTables:
+    """The program of ``prefix_programs`` for many pieces at a time, a byte place after another.
+
+    Pieces are rows in order; at each place only rows that differ from the row before
+    are worked on, and the others take over its state.  Tokens are found by the hash of
+    their bytes, from running hashes of the rows; whether two tokens may stand side by
+    side is kept in a table of fixed size.
     """
-    counts: list[int] = []
-    before = 0
-    for m in bpe.pattern.finditer(chunk):
-        piece = m.group()
-        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
-            counts += [before + 1, before + (1 if len(piece) == 2 else 2), before + 1][: len(piece)]
-        else:
-            at = piece_prefix_counts(bpe, piece.encode("utf-8"))
-            end = 0
-            for ch in piece:
-                end += len(ch.encode("utf-8"))
-                counts.append(before + at[end - 1])
-        before = counts[-1]
-    for m in RUN_INSIDE.finditer(chunk):
-        base = counts[m.start() - 1] if m.start() else 0
-        counts[m.end() - 1] = base + piece_prefix_counts(bpe, m.group().encode("utf-8"))[-1]
-    return counts
 
+    def __init__(self, bpe: ByteBPE, slots: int = 1 << 20):
+        self.bpe = bpe
+        rng = np.random.default_rng(20260704)
+        self.letter = rng.integers(1, 1 << 63, 256, np.uint64)
+        self.power = np.cumprod(np.array([1] + [0x9E3779B97F4A7C15] * TABLE_BYTES, np.uint64))
+        self.longest = min(TABLE_BYTES, max(map(len, bpe.ranks)))
+        short = [(t, r) for t, r in bpe.ranks.items() if len(t) <= TABLE_BYTES]
+        keys = self._running([t for t, _ in short])[1]
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array([r for _, r in short], np.int64)[order]
+        self.pair_key, self.pair_ok = np.full(slots, _LOST), np.zeros(slots, bool)
+
+    def _running(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Running hashes of the rows, hashes of whole rows, their lengths, their bytes."""
+        size = np.array([len(p) for p in pieces])
+        data = np.array(pieces, f"S{TABLE_BYTES}").view(np.uint8).reshape(len(pieces), TABLE_BYTES)
+        running = np.zeros((len(pieces), TABLE_BYTES + 1), np.uint64)
+        for k in range(int(size.max())):
+            running[:, k + 1] = running[:, k] * self.power[1] + self.letter[data[:, k]]
+        return running, running[np.arange(len(pieces)), size], size, data
+
+    def _tokens(self, running: np.ndarray, rows: np.ndarray, begin: np.ndarray, end: int) -> np.ndarray:
+        """The token that the bytes from ``begin`` to ``end`` of each row are, or -1."""
+        key = running[rows, end] - running[rows, begin] * self.power[end - begin]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
+
+    def _valid(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = ((key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) & (len(self.pair_key) - 1)
+        missing = self.pair_key[slot] != key
+        if not missing.any():
+            return self.pair_ok[slot]
+        ok = self.pair_ok[slot]
+        fresh, back = np.unique(key[missing], return_inverse=True)
+        token, piece = self.bpe.token, self.bpe.piece
+        found = np.fromiter((len(got := piece(token[a] + token[b])) == 2 and got[0] == a for a, b in zip((fresh >> np.uint64(32)).tolist(), (fresh & np.uint64(0xFFFFFFFF)).tolist())), bool, len(fresh))
+        ok[missing] = found[back]
+        self.pair_key[slot[missing]] = key[missing]
+        self.pair_ok[slot[missing]] = ok[missing]
+        return ok
+
+    def counts(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token counts of each prefix (rows, places), the rows' lengths and bytes; ``pieces`` sorted, none empty or long."""
+        running, _, size, data = self._running(pieces)
+        n, width = len(pieces), int(size.max())
+        same = np.zeros(n, np.int64)
+        if n > 1:
+            apart = data[1:] != data[:-1]
+            same[1:] = np.minimum(np.where(apart.any(axis=1), apart.argmax(axis=1), TABLE_BYTES), np.minimum(size[1:], size[:-1]))
+        last, start, count = np.full((n, width + 1), -1, np.int32), np.zeros((n, width + 1), np.int8), np.zeros((n, width + 1), np.int16)
+        every = np.arange(n)
+        for end in range(1, width + 1):
+            own = (same < end) & (size >= end)
+            rows = np.flatnonzero(own)
+            begin = start[rows, end - 1].astype(np.int64)
+            grown = end - begin
+            token = self._fitting(running, last, rows, begin, end)
+            open_ = np.flatnonzero(token < 0)
+            for length in range(1, min(end, self.longest) + 1):
+                if not len(open_):
+                    break
+                tried = open_[grown[open_] != length]
+                at = np.full(len(tried), end - length)
+                got = self._fitting(running, last, rows[tried], at, end)
+                hit = tried[got >= 0]
+                token[hit], begin[hit] = got[got >= 0], end - length
+                open_ = open_[token[open_] < 0]
+            if len(open_):
+                raise ValueError("the rank file lacks a single byte")
+            last[rows, end], start[rows, end], count[rows, end] = token, begin, count[rows, begin] + 1
+            row = np.maximum.accumulate(np.where(own, every, 0))  # the others share this prefix with the row before
+            last[:, end], start[:, end], count[:, end] = last[row, end], start[row, end], count[row, end]
+        return count, size, data
+
+    def _fitting(self, running, last, rows, begin, end) -> np.ndarray:
+        """Tokens from ``begin`` to ``end`` that may follow the last token before ``begin``, or -1."""
+        token = self._tokens(running, rows, begin, end)
+        ask = np.flatnonzero((token >= 0) & (begin > 0))
+        if len(ask):
+            bad = ask[~self._valid(last[rows[ask], begin[ask]], token[ask])]
+            token[bad] = -1
+        return token
+
+    def steps(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """For each of the sorted pieces its steps by code points, packed as 16-bit numbers."""
+        count, size, data = self.counts(pieces)
+        begins = np.zeros((len(pieces), count.shape[1]), bool)  # a code point begins after this many bytes, or the piece ends
+        begins[:, :-1] = (data[:, : count.shape[1] - 1] & 0xC0) != 0x80
+        begins &= np.arange(count.shape[1])[None, :] < size[:, None]
+        begins[np.arange(len(pieces)), size] = True
+        begins[:, 0] = False
+        ends = count[begins]
+        letters = begins.sum(axis=1)
+        first = np.cumsum(letters) - letters
+        steps = np.diff(ends, prepend=0)
+        steps[first] = ends[first]
+        packed, edge = steps.astype(np.int16).tobytes(), (2 * np.append(first, len(ends))).tolist()
+        for a, b in zip(edge, edge[1:]):
+            yield packed[a:b]
+
+
+def _packed_steps(counts: list[int]) -> bytes:
+    return array("h", map(sub, counts[1:], counts)).tobytes()
 
-class PrefixCounter:
-    """Exact token counts for every prefix of a text.
 
-    Two levels of the same program: the count at a cut is the count at the cut
-    before it plus the tokens of the chunk between, and the prefixes that end inside
-    a chunk come from the program over the chunk's bytes.
+class PrefixCounter:
+    """Exact token counts for every prefix of a text, as steps from each prefix to the next.
+
+    A prefix of a text ends inside one match of the split pattern; the matches before
+    it stay as they are.  So a text's steps are those of its matches, one after another,
+    but for two cases: a contraction cut short falls into a quote and letters, and white
+    space that ends a prefix is one match where the whole text gives its last character
+    to what follows.  Steps of chunks are kept, so a text that is made of known chunks
+    takes lookups only; those of a block that are not known are worked out together.
     """
 
-    def __init__(self, bpe: ByteBPE):
-        self.bpe, self.encoder = bpe, ChunkEncoder(bpe)
-
-    def chunk_totals(self, text: str) -> list[int]:
-        return [len(x) // 4 for x in self.encoder.packed(text)]
-
-    def count(self, text: str) -> int:
-        return sum(map(len, self.encoder.packed(text))) // 4 if text else 0
-
-    def _local(self, parts: list[str], k: int, base: int) -> list[int]:
-        """Counts at each prefix that ends in chunk ``k``; ``base``: those before it."""
-        local = [base + c for c in chunk_prefix_counts(self.bpe, parts[k])]
-        if k and (m := RUN_AT_END.search(parts[k - 1])):
-            # white space that ends the last chunk joins this chunk's first space
-            tail = m.group()
-            without = parts[k - 1][: -len(tail)]
-            head = chunk_prefix_counts(self.bpe, without)[-1] if without else 0
-            whole = chunk_prefix_counts(self.bpe, parts[k - 1])[-1]
-            local[0] = base - whole + head + piece_prefix_counts(self.bpe, (tail + " ").encode("utf-8"))[-1]
-        return local
-
-    def _parts(self, text: str) -> tuple[list[str], list[int]]:
-        totals = self.chunk_totals(text) if text else []
-        parts = chunks(text) if text else []
-        return parts, totals[len(totals) - len(parts) :]
-
-    def table(self, text: str) -> list[int]:
-        """``n + 1`` counts, entry ``i`` for ``text[:i]``."""
-        parts, totals = self._parts(text)
-        out, base = [0], 0
-        for k, n in enumerate(totals):
-            out += self._local(parts, k, base)
-            base += n
+    def __init__(self, bpe: ByteBPE, entries: int = 400_000):
+        self.bpe, self.entries, self.tables = bpe, entries, PrefixTables(bpe)
+        self._known: dict[str, bytes] = {}  # chunks without their leading space
+
+    def _of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Steps of pieces by code points; in order, so that they share prefixes."""
+        listed = sorted(pieces)  # as strings: UTF-8 has the order of code points
+        coded = [p.encode("utf-8") for p in listed]
+        long = [k for k, d in enumerate(coded) if len(d) > TABLE_BYTES]
+        out = {}
+        for k, counts in zip(long, prefix_programs(self.bpe, [coded[k] for k in long])):
+            if len(coded[k]) > len(listed[k]):
+                ends, at = [0], 0
+                for ch in listed[k]:
+                    at += len(ch.encode("utf-8"))
+                    ends.append(at)
+                counts = [counts[e] for e in ends]
+            out[listed[k]] = _packed_steps(counts)
+        if long:
+            listed, coded = [p for p in listed if p not in out], [d for d in coded if len(d) <= TABLE_BYTES]
+        if listed:
+            out.update(zip(listed, self.tables.steps(coded)))
+        return out
+
+    def _contraction(self, piece: str) -> bytes:
+        quote, rest = len(self.bpe.piece(b"'")), piece[1:-1].encode("utf-8")
+        before = [len(self.bpe.piece(rest[:k])) for k in range(1, len(rest) + 1)]
+        return _packed_steps([0, quote, *(quote + n for n in before), len(self.bpe.piece(piece.encode("utf-8")))])
+
+    def _fill(self, fresh: list[str]) -> list[bytes]:
+        """Steps of chunks; one of a space and letters is a match by itself."""
+        found = self.bpe.pattern.findall
+        split = [None if c[1:].isalpha() and c[0] == " " else found(c) for c in fresh]
+        pieces = {c for c, ps in zip(fresh, split) if ps is None}
+        pieces.update(p for ps in split if ps is not None for p in ps)
+        known = self._of_pieces(pieces)
+        out = []
+        for chunk, ps in zip(fresh, split):
+            if ps is None:
+                out.append(known[chunk])
+            elif "'" in chunk:
+                out.append(b"".join([self._contraction(p) if p[0] == "'" and len(p) > 1 and p[1].isalpha() else known[p] for p in ps]))
+            else:
+                out.append(b"".join([known[p] for p in ps]))
         return out
 
-    def cut(self, text: str, limit: int) -> int:
-        """The most code points whose tokens number at most ``limit``."""
-        parts, totals = self._parts(text)
-        if sum(totals) <= limit:
-            return len(text)
-        base, start, k = 0, 0, 0
-        while k < len(parts) and base < limit:
-            base, start, k = base + totals[k], start + len(parts[k]), k + 1
-        # chunk k - 1 reaches the limit; a later prefix can only fit where white space merges
-        while k < len(parts) and RUN_AT_END.search(parts[k - 1]):
-            base, start, k = base + totals[k], start + len(parts[k]), k + 1
-        while k:
-            k -= 1
-            base, start = base - totals[k], start - len(parts[k])
-            local = self._local(parts, k, base)
-            for i in range(len(local), 0, -1):
-                if local[i - 1] <= limit:
-                    return start + i
-        return 0
+    def block(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text one number a code point: what it adds to the count of the prefix before it."""
+        split = [heads(t) for t in texts]
+        first = [parts.pop(0) for parts in split]
+        if len(self._known) > self.entries:
+            self._known.clear()
+        fresh = list(set().union(*split).difference(self._known))
+        firsts = list({x for x in first if x})
+        filled = self._fill([" " + c for c in fresh] + firsts)
+        at_first = dict(zip(firsts, filled[len(fresh) :])) | {"": b""}
+        long = {c: s for c, s in zip(fresh, filled) if len(c) > CACHED_CHARS}
+        self._known.update(zip(fresh, filled))
+        out = [self._whole(t, at_first[x] + b"".join(map(self._known.__getitem__, parts))) for t, x, parts in zip(texts, first, split)]
+        for c in long:
+            del self._known[c]
+        return out
+
+    def _whole(self, text: str, packed: bytes) -> np.ndarray:
+        steps = np.frombuffer(packed, np.int16)
+        runs = [m.span() for m in RUN_INSIDE.finditer(text)]
+        if runs:
+            steps = steps.copy()
+            whole = self._of_pieces({text[a:b] for a, b in runs})
+            for a, b in runs:  # as one match up to its end; what follows is then as before
+                more = sum(array("h", whole[text[a:b]])) - int(steps[a:b].sum())
+                steps[b - 1] += more
+                steps[b] -= more
+        return steps
+
+    def steps(self, text: str) -> np.ndarray:
+        return self.block([text])[0]
+
+
+class SpecialSplitter:
+    """Cuts a text at the special strings of a tokenizer file: the leftmost first, of those the longest."""
+
+    def __init__(self, special: dict[str, int]):
+        self.ids = special
+        self.pattern = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
+
+    def parts(self, text: str) -> list[str]:
+        """Ordinary text and special strings by turns, beginning and ending with ordinary text."""
+        return self.pattern.split(text) if self.pattern and any(s in text for s in self.ids) else [text]
 
 
 # --------------------------------------------------------------------------

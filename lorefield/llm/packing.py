@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks
-from .bpe import ChunkEncoder, load_json_bpe
+from .arrow import blocks, small_batches
+from .bpe import ChunkEncoder, SpecialSplitter, load_json_bpe
 
 
 class LibraryEncoder:
@@ -22,20 +22,19 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str, pattern: str):
-        self.path, self.bpe = path, load_json_bpe(path, pattern)
-        self.chunks = ChunkEncoder(self.bpe)
+        self.bpe = load_json_bpe(path, pattern)
+        self.chunks, self.splitter = ChunkEncoder(self.bpe), SpecialSplitter(self.bpe.special)
 
     def encode(self, text: str) -> bytes:
         """Special strings are found first, as the library does by default."""
-        held = [s for s in self.bpe.special if s in text]
-        if not held:
-            return b"".join(self.chunks.packed(text))
-        if len(held) > 1:  # which one wins at a place is the library's affair
-            from tokenizers import Tokenizer
+        first, *rest = self.splitter.parts(text)
+        ids = self._plain(first)
+        for special, part in zip(rest[::2], rest[1::2]):
+            ids += np.array([self.bpe.special[special]], "<u4").tobytes() + self._plain(part)
+        return ids
 
-            return np.array(Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        special = np.array([self.bpe.special[held[0]]], "<u4").tobytes()
-        return special.join(b"".join(self.chunks.packed(t)) if t else b"" for t in text.split(held[0]))
+    def _plain(self, text: str) -> bytes:
+        return b"".join(self.chunks.packed(text)) if text else b""
 
 
 class OpenBins:
@@ -117,6 +116,7 @@ def pack_best_fit(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int,
             )
 
     kind = df.schema[id_col].dataType.simpleString()
+    small_batches(df.sparkSession)
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint"
     return narrow.mapInArrow(run, schema).withColumnRenamed("id", id_col)

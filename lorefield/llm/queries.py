@@ -14,7 +14,7 @@ from .jaccard import jaccard_components
 from .langid import LanguageModel, fit_language_model, label_languages
 from .packing import pack_best_fit
 from .sharding import hilbert_shards
-from .tokens import encode_tree, prefix_token_counts
+from .tokens import encode_tree, token_budgets, write_prefix_tables
 from .toxicity import fit_severity, grade_severity
 from .warc import archive_round_trip
 
@@ -31,8 +31,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = prefix_token_counts(_documents(spark, sf_dir), vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, limit=512, special="<|endoftext|>")
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "cut_chars")
+    tables = write_prefix_tables(_documents(spark, sf_dir), vocab.path("byte_bpe_50k.json"), vocab.PATTERN)
+    return token_budgets(tables, 512).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "cut_chars")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,8 @@ def language_model(docs: DataFrame) -> LanguageModel:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    labelled = label_languages(docs, language_model(docs), spans=False)
-    return labelled.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    labelled = label_languages(docs, language_model(docs))
+    return labelled.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
