@@ -16,7 +16,7 @@ HOT_SHARE = 1000
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one all machines share (``spark.checkpoint.dir``).
 
-    Only where a session has none, as in local tests, is a temporary one set.
+    Only where a session of one machine has none, as in tests, is a temporary one set.
     """
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -26,6 +26,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     set_dir = context._jsc.sc().getCheckpointDir()
     root = context.getConf().get("spark.checkpoint.dir") or (set_dir.get() if set_dir.isDefined() else None)
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="lorefield-")
     if not set_dir.isDefined():
         context.setCheckpointDir(root)
@@ -55,7 +57,8 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, s
     values = [c for c in groups.columns if c not in keys]
     hot = groups.where(is_hot).select(*keys, *(F.col(c).alias(f"hot_{c}") for c in values), F.lit(True).alias("is_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    marked = marked.withColumn("deal", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(1 << 30)) + 1).otherwise(0))
+    dealt = F.xxhash64(spread, F.monotonically_increasing_id())  # the place too: a third of the rows may have one id
+    marked = marked.withColumn("deal", F.when(F.col("is_hot"), F.pmod(dealt, F.lit(1 << 30)) + 1).otherwise(0))
     rest = groups.where(~is_hot).withColumn("deal", F.lit(0).cast("bigint"))
     joined = marked.withColumn("deal", F.col("deal").cast("bigint")).join(rest, [*keys, "deal"], "left")
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in values))
