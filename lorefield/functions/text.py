@@ -12,6 +12,11 @@ def front_matter(text: Column) -> Column:
     return F.when(block != "", block)
 
 
+def body(text: Column) -> Column:
+    """The text after its front matter, all of it without one."""
+    return F.regexp_replace(text, "(?s)\\A\\x{FEFF}?---\\r?\\n.*?\\r?\\n---(?:\\r?\\n|\\z)", "")
+
+
 def front_matter_map(text: Column) -> Column:
     """Keys and values of unindented ``key: value`` lines; quotes and trailing comments go, the last of equal keys stays."""
     rows = F.filter(F.split(F.coalesce(front_matter(text), F.lit("")), "\\r?\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*:"))

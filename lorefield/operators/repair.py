@@ -1,37 +1,169 @@
-"""Deterministic text repairs, each a chain of built-in replacements."""
+"""Deterministic text repairs: chains of built-in replacements, and what needs more than that."""
 
 from __future__ import annotations
 
+import difflib
+import hashlib
+import json
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.python import per_value
 from ..functions.text import front_matter
+from .mathscan import clean_noise
 
-#: Ordered (pattern, replacement) rules; the patterns are fixed values.
+#: Ordered (pattern, replacement) rules (fixed values); a broken marker of n signs becomes n signs together.
 RULES = [
-    (r"(?md)^[ \t]*Page \d+[ \t]*$", ""),
-    (r"(?md)^(#+)([^#\s])", "$1 $2"),
-    (r"(?md)^(#+ .+?)[ \t]*(?:\.{2,}[ \t]*\d+|[ \t]{2,}\d+)$", "$1"),
+    (r"(?mdU)^[ \t]*Page \d+[ \t]*$", ""),
+    (r"(?mdU)^(#+)(\S)", "$1 $2"),
+    *((rf"(?mdU)^(?:#\s+){{{n}}}(?!#\s)(.+)$", "#" * n + " $1") for n in range(8, 1, -1)),
+    (r"(?mdU)^(#+ .+?)\s*(?:\.{2,}\s*\d+|\s{2,}\d+)$", "$1"),
     (r"\n{3,}", "\n\n"),
-    (r"(?md)^[-*][ \t]{2,}", "- "),
+    (r"(?mdU)^[-*]\s{2,}", "- "),
 ]
+CONVERTER = "mineru-agent-v1"
 
 
 def repair(text: Column) -> Column:
-    """Page labels go, headings get one space and lose dot leaders, blank runs and bullets shrink."""
+    """Page labels go, headings get one space and lose dot leaders, blank runs and bullets shrink.
+
+    Noise of one converter is cleaned first, in the texts that name it.
+    """
+    cleaned = F.when(text.rlike(rf"(?md)^import_method:\s*{CONVERTER}\s*$") & text.rlike(r"\\(?:dot|mathrm|overset|stackrel|texttt|sharp)|(?md:^\$\$)"), noise_free(text)).otherwise(text)
+    return repair_layout(cleaned)
+
+
+def repair_layout(text: Column) -> Column:
     for pattern, replacement in RULES:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
+noise_free = per_value(lambda x: clean_noise(x)[0])
+
+
 def ensure_front_matter(text: Column, block: Column) -> Column:
     """Puts a front-matter block before texts that have none."""
     return F.when(front_matter(text).isNotNull(), text).otherwise(F.concat(F.lit("---\n"), block, F.lit("\n---\n\n"), text))
 
 
+def _line_at(line: Column, block: Column) -> Column:
+    """Where a whole line begins in a block that holds it."""
+    return F.position(F.concat(F.lit("\n"), line), F.concat(F.lit("\n"), block))
+
+
 def set_field(text: Column, name: str, value: Column) -> Column:
-    """Replaces the first ``name:`` line, leaving the rest as it is."""
-    line = F.regexp_extract(text, f"(?md)^{name}:.*$", 0)
-    at = F.position(line, text)
-    changed = F.overlay(text, F.concat(F.lit(f"{name}: "), value), at, F.char_length(line))
-    return F.when(line == "", text).otherwise(changed)
+    """Sets ``name`` in the front matter: its first line there is replaced, or one is added at the end of the block."""
+    front = front_matter(text)
+    line = F.regexp_extract(front, f"(?md)^{name}:.*$", 0)
+    new = F.concat(F.lit(f"{name}: "), value)
+    changed = F.when(line == "", F.concat(front, F.lit("\n"), new)).otherwise(F.overlay(front, new, _line_at(line, front), F.char_length(line)))
+    return F.when(front.isNull(), text).otherwise(F.overlay(text, changed, F.position(front, text), F.char_length(front)))
+
+
+def drop_field(text: Column, name: str) -> Column:
+    """Takes the first ``name`` line out of the front matter."""
+    front = front_matter(text)
+    block = F.concat(front, F.lit("\n"))
+    line = F.regexp_extract(block, f"(?md)^{name}:[^\n]*\n", 0)
+    less = F.overlay(block, F.lit(""), _line_at(line, block), F.char_length(line))
+    held = F.left(less, F.char_length(less) - 1)
+    return F.when(front.isNull() | (line == ""), text).otherwise(F.overlay(text, held, F.position(front, text), F.char_length(front)))
+
+
+SOURCE_STATUS = r"(?mds)(^## Source[ \t]*$(?:(?!^## ).)*?^- Repair status:)[ \t]*(?:raw|repaired)?[ \t]*$"
+
+
+def govern(text: Column, needs_review: Column) -> Column:
+    """Marks a machine repair: not verified, with a risk where a person has to look; the risk goes where none has."""
+    told = F.regexp_replace(set_field(text, "repair_status", F.lit("auto-repaired")), SOURCE_STATUS, "$1 auto-repaired")
+    marked = set_field(told, "verify_status", F.lit("unverified"))
+    risk = F.regexp_extract(front_matter(text), r"(?md)^repair_risk:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)
+    return F.when(needs_review, set_field(marked, "repair_risk", F.lit("needs-human-review"))).when(risk == "needs-human-review", drop_field(marked, "repair_risk")).otherwise(marked)
+
+
+# --------------------------------------------------------------------------
+# spans and differences
+
+
+def _lines(text: str) -> list[str]:
+    return re.sub(r"\r\n?", "\n", text).splitlines()
+
+
+def span_hash(lines: list[str]) -> str:
+    return hashlib.sha256("".join(x + "\n" for x in lines).encode()).hexdigest()
+
+
+def apply_spans(text: str, spans: str) -> str | None:
+    """Replaces line spans, given as JSON ``[[start, end, hash or null, text], …]`` with lines from 1.
+
+    Null where a span lies outside the text, meets another or no longer has its hash.
+    A blank line that ended a span ends its replacement too.
+    """
+    lines = _lines(text)
+    wanted = sorted(json.loads(spans), key=lambda span: span[:2], reverse=True)
+    if any(a[0] <= b[1] for a, b in zip(wanted, wanted[1:])):
+        return None
+    for start, end, known, new in wanted:
+        old = lines[start - 1 : end]
+        if start < 1 or end < start or end > len(lines) or (known and known != span_hash(old)):
+            return None
+        put = new.rstrip("\n").split("\n")
+        if not old[-1].strip() and put[-1].strip():
+            put.append("")
+        lines[start - 1 : end] = put
+    return "".join(x + "\n" for x in lines) if text.endswith(("\n", "\r")) or lines else ""
+
+
+def changed_ranges(before: str, after: str) -> str:
+    """Line ranges of ``before`` that ``after`` changes, as ``a-b,c-d``; an insertion counts as the line it stands before."""
+    steps = difflib.SequenceMatcher(None, before.splitlines(), after.splitlines(), autojunk=False).get_opcodes()
+    return ",".join(f"{a + 1}-{max(b, a + 1)}" for kind, a, b, _, _ in steps if kind != "equal")
+
+
+# Numbered questions, and environments that have to be closed.
+QUESTION = re.compile(r"(?m)^\s*(?:#{1,3}\s*)?([一二三四五六七八九十]+|[0-9]+)[\.、．)]")
+ENVIRONMENTS = ("array", "matrix", "pmatrix", "bmatrix", "cases")
+MARKUP = [r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1>"]
+
+
+def visible(text: str) -> str:
+    """Characters that a reader sees, without white space."""
+    text = re.sub(r"(?s)\A\ufeff?---\r?\n.*?\r?\n---(?:\r?\n|\Z)", "", text)
+    for pattern in MARKUP:
+        text = re.sub(pattern, "", text)
+    text = re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", re.sub(r"!\[([^\]]*)\]\([^)]+\)", r"\1", text))
+    return re.sub(r"(?s)<[^>]+>|\s+", "", text)
+
+
+def lost_separators(before: str, after: str) -> list[int]:
+    """Lines of ``after`` with a question that had a blank line before it and has none any more."""
+
+    def questions(text: str):
+        lines = re.split(r"\r\n|\r|\n", text)
+        for k in range(1, len(lines)):
+            if m := QUESTION.match(lines[k].strip()):
+                yield k + 1, (m[1], lines[k].strip()[:80]), not lines[k - 1].strip()
+
+    apart = {key for _, key, blank in questions(before) if blank}
+    return [line for line, key, blank in questions(after) if key in apart and not blank]
+
+
+def review(before: str, after: str) -> str:
+    """Codes of what a replacement breaks, sorted and joined by commas."""
+    codes = set()
+    seen, left = visible(before), visible(after)
+    if seen and len(left) < max(1, len(seen) // 5):
+        codes.add("replacement-body-erased")
+    had, has = QUESTION.findall(before), QUESTION.findall(after)
+    if len(has) < len(had):
+        codes.add("question-number-count-decreased")
+    if set(had) - set(has):
+        codes.add("question-number-missing")
+    if any(after.count(f"\\begin{{{e}}}") != after.count(f"\\end{{{e}}}") for e in ENVIRONMENTS):
+        codes.add("latex-environment-unbalanced")
+    if lost_separators(before, after):
+        codes.add("markdown-paragraph-boundary-regression")
+    return ",".join(sorted(codes))

@@ -53,44 +53,11 @@ def cls_review_guidance(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 200, "too-short").when(F.col("lang") != "en", "translate").when(n > 8000, "split").otherwise("review").alias("guidance"))
 
 
-@register("fix_display_delim", f"with {LINES_CTE} select doc_id, line_no, regexp_replace(concat('pre $$', line, '$$ post'), '\\$\\$', concat(chr(10), '$$', chr(10)), 'g') fixed from lines where starts_with(line, 'value ')")
-def fix_display_delim(spark, sf_dir):
-    rows = lines(_side(spark, sf_dir).select("doc_id", "md")).where(F.startswith("line", F.lit("value ")))
-    made = F.concat(F.lit("pre $$"), "line", F.lit("$$ post"))
-    return rows.select("doc_id", "line_no", F.replace(made, F.lit("$$"), F.lit("\n$$\n")).alias("fixed"))
-
-
-@register("fix_apply_spans", f"with {LINES_CTE}, n as (select doc_id, line_no, case when line_no = 3 then concat('# replaced ', cast(doc_id as string)) else line end line from lines where line_no not between 5 and 6) select doc_id, string_agg(line, chr(10) order by line_no) fixed from n group by 1")
-def fix_apply_spans(spark, sf_dir):
-    # spans do not overlap: lines 3 is replaced and 5 to 6 go, inside each document's own array
-    parts = F.filter(F.transform(F.split("md", "\n"), lambda x, i: F.struct(i.alias("i"), F.when(i == 2, F.concat(F.lit("# replaced "), F.col("doc_id").cast("string"))).otherwise(x).alias("x"))), lambda s: ~s["i"].between(4, 5))
-    return _side(spark, sf_dir).select("doc_id", F.array_join(F.transform(parts, lambda s: s["x"]), "\n").alias("fixed"))
-
-
 @register("sel_sections", f"with {LINES_CTE} select doc_id, string_agg(line, chr(10) order by line_no) body from lines where line_no between 2 and 4 group by 1")
 def sel_sections(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("md", "\n"), 2, 3), "\n").alias("body"))
 
 
-@register("agg_risk_lines", f"with {LINES_CTE} select doc_id, string_agg(cast(line_no as string), ',' order by line_no) line_nos from lines where contains(line, '$') group by 1")
-def agg_risk_lines(spark, sf_dir):
-    hit = lines(_side(spark, sf_dir).select("doc_id", "md")).where(F.col("line").contains("$"))
-    return hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("l")).select("doc_id", F.array_join(F.col("l").cast("array<string>"), ",").alias("line_nos"))
-
-
-@register("agg_risk_count", "select d.doc_id, coalesce(n, 0) n from documents d left join (select doc_id, count(*) n from labels where toxic = 1 group by 1) l on d.doc_id = l.doc_id")
-def agg_risk_count(spark, sf_dir):
-    bad = table(spark, sf_dir, "labels").where("toxic = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-
-
-@register("set_risk_codes", "select user_id, string_agg(distinct event_type, ',' order by event_type) codes from events where event_type in ('click', 'error') group by 1")
-def set_risk_codes(spark, sf_dir):
-    wanted = F.array(F.lit("click"), F.lit("error"))
-    found = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_intersect(F.sort_array(F.collect_set("event_type")), wanted).alias("c"))
-    return found.where(F.size("c") > 0).select("user_id", F.array_join("c", ",").alias("codes"))
-
-
 @register("explode_baseline", "select conv_id, unnest(string_split(text, '. ')) sentence from conversations")
 def explode_baseline(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", r"\. ")).alias("sentence"))

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import census, diffing, documents, governance, paths, planning, privacy, quality, residual, risks, scalars  # noqa: F401
+    from . import census, diffing, documents, governance, paths, planning, privacy, quality, residual, risks, scalars, scraps  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -119,11 +119,6 @@ def md_list(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(items, "|").alias("items"))
 
 
-@register("pred_question_stem", "select doc_id, length(trim(string_split(text, chr(10))[1])) >= 40 has_stem from documents")
-def pred_question_stem(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", (F.char_length(F.trim(F.substring_index("text", "\n", 1))) >= 40).alias("has_stem"))
-
-
 @register("pred_generated", "select doc_id, doc_id % 2 = 0 machine_owned from documents")
 def pred_generated(spark, sf_dir):
     stamped = D.fingerprint(F.concat(F.lit("updated: a\n"), "text"))
@@ -201,12 +196,6 @@ def fn_table_cols(spark, sf_dir):
     return rows.select("doc_id", "line_no", (X.count_of(F.col("line"), r"(?<!\\)\|") - 1).cast("bigint").alias("n_cols"))
 
 
-@register("fix_delim_space", f"with {LINES_CTE} select doc_id, line_no, regexp_replace(line, '\\$ ([^$]*) \\$', '$\\1$', 'g') fixed from lines where contains(line, '$ ')")
-def fix_delim_space(spark, sf_dir):
-    rows = lines(sidecars(spark, sf_dir).select("doc_id", "md")).where(F.col("line").contains("$ "))
-    return rows.select("doc_id", "line_no", F.regexp_replace("line", r"\$ ([^$]*) \$", r"\$$1\$").alias("fixed"))
-
-
 @register("fix_merge_parts", "select conv_id, string_agg(text, concat(chr(10), chr(10)) order by turn, role, text) merged from conversations group by 1")
 def fix_merge_parts(spark, sf_dir):
     parts = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
@@ -301,13 +290,6 @@ def qc_paper_card(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("issues"))
 
 
-@register("qc_import_check", f"with {LINES_CTE} select doc_id, count(*) filter (contains(line, '\\nonumber')) blocking, count(*) filter ((len(line) - len(replace(line, '$', ''))) % 2 = 1) warned from lines where doc_id % 5 <> 0 group by 1")
-def qc_import_check(spark, sf_dir):
-    open_ = sidecars(spark, sf_dir).where(X.field(_md(), "verify_status") != "verified").select("doc_id", "md")
-    line = F.col("line")
-    return lines(open_).groupBy("doc_id").agg(F.count_if(line.contains("\\nonumber")).alias("blocking"), F.count_if(X.count_of(line, r"\$") % 2 == 1).alias("warned"))
-
-
 @register("plan_output_path", f"with {SIDECARS_CTE} select doc_id, concat('out/', regexp_replace(path, '\\.pdf\\.md$', ''), '.md') target from sidecars")
 def plan_output_path(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.concat(F.lit("out/"), F.regexp_replace("path", r"\.pdf\.md$", ""), F.lit(".md")).alias("target"))
@@ -319,12 +301,6 @@ def agg_doc_text_len(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(n).alias("chars"), F.max(n).alias("longest"))
 
 
-@register("agg_repair_scope", f"with {LINES_CTE}, odd as (select doc_id, line_no // 10 section from lines where (len(line) - len(replace(line, '$', ''))) % 2 = 1) select doc_id, case when count(distinct section) = 1 then 'section' else 'widened' end scope from odd group by 1")
-def agg_repair_scope(spark, sf_dir):
-    odd = lines(sidecars(spark, sf_dir).select("doc_id", "md")).where(X.count_of(F.col("line"), r"\$") % 2 == 1).select("doc_id", F.floor(F.col("line_no") / 10).alias("section"))
-    return odd.groupBy("doc_id").agg(F.when(F.count_distinct("section") == 1, "section").otherwise("widened").alias("scope"))
-
-
 @register("fmt_exam_line", "select o_orderkey, concat('- ', cast(cast(o_orderdate as date) as string), ' exam ', o_orderpriority) line from orders")
 def fmt_exam_line(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("- "), F.col("o_orderdate").cast("date").cast("string"), F.lit(" exam "), "o_orderpriority").alias("line"))

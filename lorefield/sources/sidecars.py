@@ -17,7 +17,7 @@ SIDECAR_SQL = """concat(
  'language: ', case when doc_id % 11 = 0 then 'zh' else lang end, chr(10),
  'repair_status: ', case doc_id % 4 when 0 then 'raw' when 1 then 'auto-repaired' when 2 then 'repaired' else 'reviewed' end, chr(10),
  'verify_status: ', case when doc_id % 5 = 0 then 'verified' else 'unverified' end, chr(10),
- case when doc_id % 6 = 0 then concat('repair_risk: needs-review', chr(10)) else '' end,
+ case when doc_id % 6 = 0 then concat('repair_risk: needs-human-review', chr(10)) else '' end,
  '---', chr(10), chr(10), '# Doc ', cast(doc_id as string), chr(10), chr(10), 'Page 1', chr(10), chr(10),
  '- Due: ', case when doc_id % 7 = 0 then '' else concat('2026-0', cast(1 + doc_id % 9 as string), '-1', cast(doc_id % 10 as string)) end, chr(10),
  '- Area: ', case doc_id % 4 when 0 then 'exam' when 1 then 'reading' when 2 then 'inbox' else 'homework' end, chr(10),
@@ -40,6 +40,18 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", path.alias("path"), F.expr(SIDECAR_SQL).alias("md"))
 
 
+#: The same with money signs of the text replaced, so that only the mathematics above is mathematics.
+RISKY_SQL = SIDECAR_SQL.replace("\n text,", "\n replace(text, '$', '¤'),")
+RISKY_CTE = SIDECARS_CTE.replace("\n text,", "\n replace(text, '$', '¤'),")
+
+
+def risky_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, source, path, md``: sidecars whose defects are known."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat(F.lit("imports/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf.md"))
+    return docs.select("doc_id", "source", path.alias("path"), F.expr(RISKY_SQL).alias("md"))
+
+
 def lines(docs: DataFrame, text_col: str = "md") -> DataFrame:
     """One row for each line: ``line_no`` from 1 and ``line``; other columns stay."""
     keep = [c for c in docs.columns if c != text_col]
