@@ -146,19 +146,6 @@ def agg_canonical_exam(spark, sf_dir):
     return C.canonical_groups(docs, "grp", "path", rank(names), rank(["combined", "answer_review", "answer", "problem_review", "problem", "unknown"]), "role")
 
 
-@register("join_annotation_cascade", """with p as (select o_orderkey paper, o_orderkey seq, concat('p/', cast(o_orderkey as string)) path, case when o_orderkey % 3 = 1 then concat('n', cast(o_orderkey as string)) end alias_key from orders),
- n as (select o_orderkey note, case when o_orderkey % 3 = 0 then concat('p/', cast(o_orderkey as string)) end src, case when o_orderkey % 3 = 1 then concat('n', cast(o_orderkey as string)) end name from orders where o_orderkey % 5 <> 0)
-select p.paper, case when n.note is null then 'missing' else 'bound' end state, case when n.note is null then 0 when p.path = n.src then 1 else 2 end tier, n.note
-from p left join n on p.path = n.src or p.alias_key = n.name""")
-def join_annotation_cascade(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
-    name = F.when(key % 3 == 1, F.concat(F.lit("n"), text))
-    papers = orders.select(key.alias("paper"), key.alias("seq"), F.concat(F.lit("p/"), text).alias("path"), name.alias("alias_key"))
-    notes = orders.where("o_orderkey % 5 <> 0").select(key.alias("note"), F.when(key % 3 == 0, F.concat(F.lit("p/"), text)).alias("src"), name.alias("name"))
-    return C.bind_cascade(papers, notes, [("path", "src"), ("alias_key", "name")]).select("paper", "state", "tier", "note")
-
-
 @register("batch_chunk", "with d as (select doc_id, row_number() over (partition by source order by doc_id) rn from documents) select doc_id, cast((rn - 1) // 6 as bigint) batch from d")
 def batch_chunk(spark, sf_dir):
     at = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))

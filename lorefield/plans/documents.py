@@ -11,7 +11,6 @@ from ..sources.tables import table
 from .registry import register
 
 
-
 @register("fm_governance", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^import_method: (.*)$', 1) import_method, regexp_extract(md, '(?m)^language: (.*)$', 1) language, nullif(regexp_extract(md, '(?m)^repair_risk: (.*)$', 1), '') repair_risk from sidecars")
 def fm_governance(spark, sf_dir):
     fields = sidecars(spark, sf_dir).select("doc_id", X.front_matter_map(F.col("md")).alias("fm"))
@@ -115,36 +114,11 @@ def join_interval_overlap(spark, sf_dir):
     return hit.select("c.doc_id", "c.a", "c.b", F.coalesce("s.title", F.concat(F.lit("lines-"), F.col("c.a").cast("string"), F.lit("-"), F.col("c.b").cast("string"))).alias("section"))
 
 
-@register("sel_section_text", f"with {LINES_CTE}, {SECTIONS} select s.doc_id, s.seq, string_agg(l.line, chr(10) order by l.line_no) body from sections s join lines l on s.doc_id = l.doc_id and l.line_no between s.start_line and s.end_line where s.seq = 1 group by 1, 2")
-def sel_section_text(spark, sf_dir):
-    docs = sidecars(spark, sf_dir).select("doc_id", "md")
-    first = _sections(lines(docs)).where("seq = 1")
-    span = F.least(F.col("end_line"), F.size(F.split("md", "\n"))) - F.col("start_line") + 1
-    return first.join(docs, "doc_id").select("doc_id", "seq", F.array_join(F.slice(F.split("md", "\n"), F.col("start_line"), span), "\n").alias("body"))
-
-
-@register("fn_split_blocks", "select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 60)) as int) blocks from documents")
-def fn_split_blocks(spark, sf_dir):
-    blocks = F.filter(F.split("text", "\n"), lambda x: F.char_length(F.trim(x)) >= 60)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(blocks).alias("blocks"))
-
-
-@register("agg_dup_blocks", "with b as (select doc_id, unnest(string_split(text, chr(10))) block from documents) select doc_id, sha256(block) block_sha, count(*) n from b where length(block) >= 60 group by doc_id, block having count(*) > 1")
-def agg_dup_blocks(spark, sf_dir):
-    blocks = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("block")).where(F.char_length("block") >= 60)
-    return blocks.groupBy("doc_id", "block").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.sha2("block", 256).alias("block_sha"), "n")
-
-
 @register("fn_visible_text", "select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) visible from pages")
 def fn_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.visible_html(F.col("html")).alias("visible"))
 
 
-@register("fn_strip_markup", "select page_id, length(regexp_replace(html, '(?s)<[^>]*>', '', 'g')) > 200 has_substance from pages")
-def fn_strip_markup(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.char_length(F.regexp_replace("html", "(?s)<[^>]*>", "")) > 200).alias("has_substance"))
-
-
 @register("src_md_block", f"with {LINES_CTE} select doc_id, regexp_extract(line, '^\\[([^\\]]*)\\]\\(([^)]*)\\)$', 1) title, regexp_extract(line, '^\\[([^\\]]*)\\]\\(([^)]*)\\)$', 2) target from lines where regexp_matches(line, '^\\[[^\\]]*\\]\\([^)]*\\)$')")
 def src_md_block(spark, sf_dir):
     pattern = r"^\[([^\]]*)\]\(([^)]*)\)$"

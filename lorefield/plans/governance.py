@@ -82,11 +82,6 @@ def fm_proposal_meta(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pairs["s"].alias("s"), pairs["l"].alias("l"))
 
 
-@register("fn_human_sources", "select page_id, trim(regexp_replace(url, '[/:?=&#.]+', ' ', 'g')) label from pages")
-def fn_human_sources(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace("url", "[/:?=&#.]+", " ")).alias("label"))
-
-
 @register("fn_count_q_headings", f"with {SIDECARS_CTE} select doc_id, len(regexp_extract_all(concat('## 一、x', chr(10), md), '(?m)^##\\s+[一二三四五六七八九十]+[.、]')) n from sidecars")
 def fn_count_q_headings(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", X.count_of(F.concat(F.lit("## 一、x\n"), "md"), r"(?md)^##\s+[一二三四五六七八九十]+[.、]").cast("bigint").alias("n"))
@@ -131,29 +126,12 @@ def sink_reviews_readme(spark, sf_dir):
 PAGE = {"links": r"\]\([^)\n]+\)", "heading2": r"(?md)^## ", "table": r"(?md)^\| ", "math": r"\$", "bullet": r"(?md)^- "}
 
 
-@register("qc_markdown", f"with {SIDECARS_CTE}, c as (select doc_id, regexp_matches(md, '\\]\\([^)\\n]+\\)') links, regexp_matches(md, '(?m)^## ') heading2, regexp_matches(md, '(?m)^\\| ') tab, contains(md, '$') math, regexp_matches(md, '(?m)^- ') bullet from sidecars) select doc_id, concat_ws(',', case when not links then 'links' end, case when not heading2 then 'heading2' end, case when not tab then 'table' end, case when not math then 'math' end, case when not bullet then 'bullet' end) failed from c")
-def qc_markdown(spark, sf_dir):
-    failed = F.concat_ws(",", *(F.when(~_md().rlike(p), F.lit(n)) for n, p in PAGE.items()))
-    return _side(spark, sf_dir).select("doc_id", failed.alias("failed"))
-
-
-@register("qc_type_page", f"with {SIDECARS_CTE} select doc_id, 'no-risk-note' code from sidecars where doc_id % 6 <> 0 union all select doc_id, 'short' from sidecars where length(md) < 1000")
-def qc_type_page(spark, sf_dir):
-    checks = {"no-risk-note": X.field(_md(), "repair_risk") != "", "short": F.char_length("md") >= 1000}
-    return issues(gate_columns(_side(spark, sf_dir), checks, "doc_id"), list(checks), "doc_id")
-
-
 @register("qc_queue_item", "select o_orderkey, o_orderpriority <> '' and o_orderstatus <> '' and o_totalprice is not null complete from orders")
 def qc_queue_item(spark, sf_dir):
     complete = (F.col("o_orderpriority") != "") & (F.col("o_orderstatus") != "") & F.col("o_totalprice").isNotNull()
     return table(spark, sf_dir, "orders").select("o_orderkey", complete.alias("complete"))
 
 
-@register("qc_scope", "select lang, count(distinct source) >= 5 broad, bool_and(n_chars > 0) nonempty from documents group by 1")
-def qc_scope(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg((F.count_distinct("source") >= 5).alias("broad"), F.bool_and(F.col("n_chars") > 0).alias("nonempty"))
-
-
 @register("fn_utc_now", "select event_id, strftime(ts + interval 90 minutes, '%Y-%m-%dT%H:%M:%SZ') stamp from events")
 def fn_utc_now(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(F.expr("ts + interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))

@@ -31,11 +31,6 @@ def _checked(spark, sf_dir):
     return gate_columns(sidecars(spark, sf_dir), _checks(), "doc_id")
 
 
-@register("qc_structural", f"with {SIDECARS_CTE}, {CHECK_SQL} {UNPIVOT}")
-def qc_structural(spark, sf_dir):
-    return issues(_checked(spark, sf_dir), NAMES, "doc_id")
-
-
 @register("qc_stage_ready", f"with {SIDECARS_CTE}, {CHECK_SQL} select source, bool_and(front_matter) front_matter_ready, bool_and(due) due_ready, bool_or(verified) any_verified from checks join documents using (doc_id) group by 1")
 def qc_stage_ready(spark, sf_dir):
     joined = _checked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -53,34 +48,11 @@ def agg_check_totals(spark, sf_dir):
     return _checked(spark, sf_dir).agg(F.count_if(~v).alias("checked"), F.count_if(v).alias("skipped"), F.count_if(~v & ~F.col("due")).alias("errors"), F.count_if(~v & ~F.col("sections")).alias("warnings"))
 
 
-@register("agg_check_flags", f"with {SIDECARS_CTE}, {CHECK_SQL}, i as ({UNPIVOT}) select doc_id, not bool_or(code = 'due') due_ok, not bool_or(code in ('table', 'sections')) layout_ok from i group by 1")
-def agg_check_flags(spark, sf_dir):
-    found = issues(_checked(spark, sf_dir), NAMES, "doc_id")
-    return found.groupBy("doc_id").agg((~F.bool_or(F.col("code") == "due")).alias("due_ok"), (~F.bool_or(F.col("code").rlike("table|sections"))).alias("layout_ok"))
-
-
 @register("topk_recommended_file", f"with {SIDECARS_CTE}, {CHECK_SQL}, i as ({UNPIVOT}), n as (select doc_id, count(*) n from i group by 1) select doc_id, n from n order by n desc, doc_id limit 1")
 def topk_recommended_file(spark, sf_dir):
     return issues(_checked(spark, sf_dir), NAMES, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(1)
 
 
-@register("qc_missing_markers", "select doc_id, array_to_string(list_filter(['the', 'und', 'que', 'les'], lambda m: not contains(text, m)), ',') missing from documents")
-def qc_missing_markers(spark, sf_dir):
-    markers = F.array(*map(F.lit, ("the", "und", "que", "les")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(markers, lambda m: ~F.contains("text", m)), ",").alias("missing"))
-
-
-@register("qc_dossier", "select l_orderkey, count(*) < 2 insufficient, count(distinct l_partkey) < count(*) duplicated, bool_or(l_returnflag = 'R') flagged from lineitem group by 1")
-def qc_dossier(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.count("*") < 2).alias("insufficient"), (F.count_distinct("l_partkey") < F.count("*")).alias("duplicated"), F.bool_or(F.col("l_returnflag") == "R").alias("flagged"))
-
-
-@register("join_question_refs", "select l.l_orderkey, count(*) dangling from lineitem l left join part p on l.l_partkey = p.p_partkey and p.p_size > 10 where p.p_partkey is null group by 1")
-def join_question_refs(spark, sf_dir):
-    known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("dangling"))
-
-
 @register("join_paper_refs", "select l_orderkey, bool_and(l_suppkey between 1 and 5) covered from lineitem group by 1")
 def join_paper_refs(spark, sf_dir):
     refs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("refs"))
@@ -93,13 +65,6 @@ def join_grounded_types(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_partkey").distinct().join(grounded, "l_partkey", "left_semi")
 
 
-@register("join_guide_links", f"with {SIDECARS_CTE} select source, count(*) n from sidecars where contains(md, concat('cards/', source, '.md')) group by 1")
-def join_guide_links(spark, sf_dir):
-    targets = F.regexp_extract_all("md", F.lit(r"\]\(([^)\n]+)\)"), F.lit(1))
-    linked = sidecars(spark, sf_dir).where(F.exists(targets, lambda t: F.contains(t, F.concat(F.lit("cards/"), F.col("source")))))
-    return linked.groupBy("source").agg(F.count("*").alias("n"))
-
-
 @register("join_review_regex", "select n.n_nationkey, min(r.r_name) review from nation n left join region r on regexp_matches(lower(r.r_name), concat('(^| )', substr(lower(n.n_name), 1, 1))) group by 1")
 def join_review_regex(spark, sf_dir):
     # both sides are dimension tables: the regex join has no key to hash on
@@ -148,11 +113,6 @@ def sink_import_sidecar(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", "path", F.sha2("md", 256).alias("digest"))
 
 
-@register("agg_review_totals", "select quality, toxic, count(*) n from labels group by 1, 2")
-def agg_review_totals(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
-
-
 @register("agg_frontmatter_actions", f"with {SIDECARS_CTE} select case when doc_id % 5 = 0 then 'skipped' when doc_id % 6 = 0 then 'error' else 'would_update' end act, count(*) n from sidecars group by 1")
 def agg_frontmatter_actions(spark, sf_dir):
     verified, risky = X.field(F.col("md"), "verify_status") == "verified", X.field(F.col("md"), "repair_risk") != ""

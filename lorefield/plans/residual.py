@@ -137,16 +137,6 @@ def pred_concept_source(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(url.contains("/fr/") & ~url.contains("?")).select("page_id")
 
 
-@register("pred_heading", f"with {SIDECARS_CTE} select doc_id, regexp_matches(md, '(?m)^#{{1,6}} .*section') hit from sidecars")
-def pred_heading(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", _md().rlike("(?md)^#{1,6} .*section").alias("hit"))
-
-
-@register("pred_insufficient", "select doc_id, regexp_matches(text, '(?i)insufficient|not enough') insufficient from documents")
-def pred_insufficient(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.col("text").rlike("(?i)insufficient|not enough").alias("insufficient"))
-
-
 @register("join_raw_sibling", f"with {SIDECARS_CTE}, r as (select regexp_replace(path, '\\.pdf\\.md$', '.raw.md') raw_path from sidecars where doc_id % 4 = 1) select s.doc_id, exists (select 1 from r where r.raw_path = regexp_replace(s.path, '\\.pdf\\.md$', '.raw.md')) has_raw from sidecars s")
 def join_raw_sibling(spark, sf_dir):
     raw = F.regexp_replace("path", r"\.pdf\.md$", ".raw.md").alias("raw_path")
@@ -180,11 +170,6 @@ def fn_norm_scalar(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.scalar(F.concat(F.lit('k:  "'), "source", F.lit('"  # note'))).alias("plain"))
 
 
-@register("fn_has_substance", "select page_id, length(trim(regexp_replace(html, '(?s)<[^>]*>|[ \\n\\t]+', '', 'g'))) > 100 substance from pages")
-def fn_has_substance(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", (F.char_length(F.trim(F.regexp_replace("html", r"(?s)<[^>]*>|[ \n\t]+", ""))) > 100).alias("substance"))
-
-
 @register("fn_split_sections", f"with {SIDECARS_CTE} select doc_id, cast(len(string_split(md, concat(chr(10), '## '))) as int) parts from sidecars")
 def fn_split_sections(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.size(F.split("md", "\n## ")).alias("parts"))
@@ -272,11 +257,6 @@ def lkp_queue_item(spark, sf_dir):
     return sidecars(spark, sf_dir).where(F.col("doc_id").isin(7, 11) | (F.col("path") == "imports/src1/1.pdf.md")).select("doc_id")
 
 
-@register("qc_counts", f"with {SIDECARS_CTE} select doc_id, len(regexp_extract_all(md, '(?m)^- ')) bullets, len(regexp_extract_all(md, '(?m)^\\| ')) table_rows from sidecars")
-def qc_counts(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.count_of(_md(), "(?md)^- ").cast("bigint").alias("bullets"), X.count_of(_md(), r"(?md)^\| ").cast("bigint").alias("table_rows"))
-
-
 @register("qc_cross", "select coalesce(l.doc_id, d.doc_id) doc_id, d.doc_id is not null has_doc, l.doc_id is not null has_label from documents d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
 def qc_cross(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.lit(True).alias("has_doc"))
@@ -284,12 +264,6 @@ def qc_cross(spark, sf_dir):
     return d.join(lab, "doc_id", "full_outer").select("doc_id", F.coalesce("has_doc", F.lit(False)).alias("has_doc"), F.coalesce("has_label", F.lit(False)).alias("has_label"))
 
 
-@register("qc_paper_card", "select o_orderkey, concat_ws(',', case when o_orderpriority = '' then 'priority' end, case when o_totalprice <= 0 then 'price' end, case when o_orderstatus not in ('O', 'F') then 'status' end) issues from orders")
-def qc_paper_card(spark, sf_dir):
-    found = F.concat_ws(",", F.when(F.col("o_orderpriority") == "", "priority"), F.when(F.col("o_totalprice") <= 0, "price"), F.when(~F.col("o_orderstatus").isin("O", "F"), "status"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("issues"))
-
-
 @register("plan_output_path", f"with {SIDECARS_CTE} select doc_id, concat('out/', regexp_replace(path, '\\.pdf\\.md$', ''), '.md') target from sidecars")
 def plan_output_path(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.concat(F.lit("out/"), F.regexp_replace("path", r"\.pdf\.md$", ""), F.lit(".md")).alias("target"))

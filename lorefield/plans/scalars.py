@@ -120,11 +120,6 @@ def fn_question_numbers(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all("md", F.lit("(?md)^## Page ([0-9]+)$"), F.lit(1)), ",").alias("numbers"))
 
 
-@register("fn_section_body", f"with {SIDECARS_CTE} select doc_id, md[position('## Page 2' in md) + 10:] body from sidecars")
-def fn_section_body(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.regexp_extract("md", r"(?smd)^## Page 2\n(.*?)(?=^## |\z)", 1).alias("body"))
-
-
 @register("fn_replace_section", f"with {SIDECARS_CTE} select doc_id, concat(md[:position('## Page 2' in md) - 1], '## Page 2', chr(10), 'done', chr(10)) replaced from sidecars")
 def fn_replace_section(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.regexp_replace("md", r"(?smd)^## Page 2\n.*?(?=^## |\z)", "## Page 2\ndone\n").alias("replaced"))
@@ -165,12 +160,6 @@ def fn_parse_scalar(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "string"), "props").alias("v"))
 
 
-@register("fn_ref_flatten", "select doc_id, array_to_string(regexp_extract_all(concat('[\"', source, '#1\",{\"r\":\"', lang, '#2\"}]'), '[a-z0-9]+#[0-9]+'), ',') refs from documents")
-def fn_ref_flatten(spark, sf_dir):
-    made = F.concat(F.lit('["'), "source", F.lit('#1",{"r":"'), "lang", F.lit('#2"}]'))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all(made, F.lit("[a-z0-9]+#[0-9]+"), F.lit(0)), ",").alias("refs"))
-
-
 @register("fn_decode_unicode_escape", "select doc_id, concat('é', source) decoded from documents")
 def fn_decode_unicode_escape(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", U.decode_escapes(F.concat(F.lit("\\u00e9"), "source")).alias("decoded"))
