@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,3 +75,39 @@ def bind_cascade(papers: DataFrame, annotations: DataFrame, tiers: list[tuple[st
     for part in parts:
         out = out.unionByName(part)
     return out
+
+
+# Marks of roles in file names, taken out in this order, and roles by what they are good for.
+ROLE_MARKS = ["试卷含答案复习版", "试题含答案复习版", "试卷含答案", "试题含答案", "试卷及答案复习版", "试题及答案复习版", "试卷答案复习版", "试卷及答案", "试题及答案", "试卷答案", "答案复习版", "试卷复习版", "试题复习版", "复习版", "答案", "试卷", "试题"]
+COMBINED_MARKS = ["试卷及答案", "试题及答案", "试卷答案", "试卷含答案", "试题含答案"]
+PROBLEM_ORDER = ["problem", "combined", "problem_review", "answer_review", "answer", "unknown"]
+ANSWER_ORDER = ["combined", "answer_review", "answer", "problem_review", "problem", "unknown"]
+
+
+def sidecar_stem(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?:\.pdf)?\.md$", "")
+
+
+def canonical_stem(stem: Column) -> Column:
+    for mark in ROLE_MARKS:
+        stem = F.replace(stem, F.lit(mark), F.lit(""))
+    return F.btrim(stem, F.lit(" _-—·.。"))
+
+
+def source_role(stem: Column) -> Column:
+    """Problem, answer, both, and whether for review, by marks in the name."""
+    has = lambda *marks: reduce(lambda a, b: a | b, (F.contains(stem, F.lit(m)) for m in marks))
+    return F.when(has(*COMBINED_MARKS), "combined").when(has("答案"), F.when(has("复习版"), "answer_review").otherwise("answer")).when(has("试卷") & has("复习版"), "problem_review").when(has("试卷", "试题"), "problem").otherwise("unknown")
+
+
+def counted(fields: Column, key: str) -> Column:
+    """Questions of a type in the JSON object of an annotation: 1 where the key is missing, 0 for what is no whole number over 0.
+
+    A number may be written with a zero fraction, a text may not.
+    """
+    value = F.try_variant_get(F.try_parse_json(fields), f"$.{key}", "variant")
+    kind, text = F.schema_of_variant(value), F.btrim(F.try_variant_get(value, "$", "string"))
+    number = F.try_variant_get(value, "$", "double")
+    numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    whole = F.when(numeric & (number > 0) & (number == F.floor(number)), number.cast("bigint")).when((kind == "STRING") & text.rlike(r"^[1-9][0-9]*$"), text.try_cast("bigint"))
+    return F.when(~F.array_contains(F.json_object_keys(fields), key), F.lit(1)).otherwise(F.coalesce(whole, F.lit(0)))

@@ -498,7 +498,7 @@ def _filled_table(text: Column) -> Column:
 
 def pack_codes(name: Column, text: Column) -> Column:
     """``kind``, ``link``, ``section`` and other faults of one file of a pack."""
-    linked = F.concat(F.replace(text, F.lit("\\"), F.lit("/")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda t: F.try_url_decode(t)), " "))
+    linked = F.concat(F.replace(text, F.lit("\\"), F.lit("/")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda t: X.decoded(t)), " "))
     rules: dict[str, Column] = {}
     for file, (kind, links, heads) in PACK.items():
         own = name == file
@@ -518,6 +518,6 @@ def pack_codes(name: Column, text: Column) -> Column:
 
 def guide_links_type(text: Column, type_id: str, page: str) -> Column:
     """A link to the page of a type: by the page's name, or by the type's id below the folder of type pages."""
-    targets = F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda t: F.replace(F.try_url_decode(F.btrim(t)), F.lit("\\"), F.lit("/")))
+    targets = F.transform(F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda t: F.replace(X.decoded(F.btrim(t)), F.lit("\\"), F.lit("/")))
     named = lambda t: F.contains(t, F.lit(page)) | (F.contains(t, F.lit("题型解析/")) & (F.contains(t, F.lit(type_id)) | F.contains(t, F.lit(type_id.replace("_", "-")))))
     return F.exists(targets, named)

@@ -73,21 +73,6 @@ def agg_format_freq(spark, sf_dir):
     return joined.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("unspecified")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@register("agg_count_value", """with r as (select event_id, event_type, cast(json_extract_string(props, '$.k') as string) v from events)
-select event_id, case when event_type = 'view' then 1 when regexp_matches(v, '^[1-9][0-9]*$') then cast(v as int) else 0 end questions from r""")
-def agg_count_value(spark, sf_dir):
-    value = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", C.question_count(F.col("event_type") != "view", value).alias("questions"))
-
-
-@register("cls_confidence", """select doc_id, case when doc_id % 5 = 0 then 'high' when doc_id % 5 = 1 then 'invalid' when doc_id % 5 = 2 then 'invalid' when doc_id % 5 = 3 then 'medium' else 'invalid' end confidence from documents""")
-def cls_confidence(spark, sf_dir):
-    k = F.col("doc_id") % 5
-    made = F.when(k == 1, F.lit(None).cast("string")).when(k == 2, F.lit(" ")).when(k == 3, F.lit(" Medium ")).otherwise(F.lit("kinda-sure"))
-    fields = F.when(k == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("confidence"), made))
-    return table(spark, sf_dir, "documents").select("doc_id", C.confidence(F.map_contains_key(fields, F.lit("confidence")), F.element_at(F.when(F.map_contains_key(fields, F.lit("confidence")), fields), "confidence")).alias("confidence"))
-
-
 @register("fn_map_get_default", "select event_id, coalesce(json_extract_string(props, '$.k'), 'none') k, coalesce(json_extract_string(props, '$.missing'), 'none') missing from events")
 def fn_map_get_default(spark, sf_dir):
     fields = F.from_json("props", "map<string,string>")
@@ -117,9 +102,8 @@ def join_missing(spark, sf_dir):
 select l_orderkey, l_linenumber, case when exists (select 1 from k where p_partkey = l_partkey) then 'known' else 'unknown' end state from lineitem""")
 def join_known_types(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
-    both = [line.join(known, "l_partkey", how).select("l_orderkey", "l_linenumber", F.lit(state).alias("state")) for how, state in (("left_semi", "known"), ("left_anti", "unknown"))]
-    return both[0].union(both[1])
+    known = table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")).distinct().withColumn("hit", F.lit(True))
+    return line.join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.when(F.col("hit"), "known").otherwise("unknown").alias("state"))
 
 
 @register("join_source_mismatch", "select a.l_orderkey, a.l_linenumber, a.l_suppkey from lineitem a join (select l_orderkey, min(l_suppkey) s from lineitem group by 1) b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.s")
@@ -134,16 +118,32 @@ def join_type_instances(spark, sf_dir):
     return presence(spark, sf_dir).select("type_id", "stem", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("question"))
 
 
-@register("agg_canonical_exam", """with s as (select sha256(text) grp, doc_id, concat(source, '/', lpad(cast(doc_id as string), 12, '0')) path, case doc_id % 6 when 0 then 'problem' when 1 then 'combined' when 2 then 'problem_review' when 3 then 'answer_review' when 4 then 'answer' else 'unknown' end role from documents),
- r as (select *, case role when 'problem' then 0 when 'combined' then 1 when 'problem_review' then 2 when 'answer_review' then 3 when 'answer' then 4 else 5 end pr, case role when 'combined' then 0 when 'answer_review' then 1 when 'answer' then 2 when 'problem_review' then 3 when 'problem' then 4 else 5 end ar from s)
-select grp, arg_min(path, concat(cast(pr as string), path)) problem_source, arg_min(path, concat(cast(ar as string), path)) answer_source, count(*) source_count, string_agg(distinct role, ',' order by role) roles,
- count(*) > 1 and (count(*) filter (role = 'problem') > 1 or count(*) filter (role = 'combined') > 1 or count(*) filter (role = 'unknown') > 1) ambiguous from r group by grp""")
+EXAM_NAMES = ["试卷", "答案复习版", "试卷及答案"]
+
+
+@register("agg_canonical_exam", """with s as (select doc_id // 3 grp, doc_id % 3 k, concat('papers/', cast(doc_id // 3 as string), '-', case doc_id % 3 when 0 then '试卷' when 1 then '答案复习版' else '试卷及答案' end, '.pdf.md') path from documents)
+select cast(grp as string) grp, arg_min(path, case k when 0 then 0 when 2 then 1 else 3 end) problem_source, arg_min(path, case k when 2 then 0 when 1 then 1 else 4 end) answer_source, count(*) source_count,
+ string_agg(case k when 0 then 'problem' when 1 then 'answer_review' else 'combined' end, ',' order by case k when 0 then 'problem' when 1 then 'answer_review' else 'combined' end) roles, false ambiguous from s group by grp""")
 def agg_canonical_exam(spark, sf_dir):
-    names = ["problem", "combined", "problem_review", "answer_review", "answer", "unknown"]
-    role = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 6 + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("grp"), F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path"), role.alias("role"))
+    """Sources of one examination meet by the stem of their names without marks of their roles."""
+    n = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, EXAM_NAMES)), (n % 3 + 1).cast("int"))
+    path = F.concat(F.lit("papers/"), F.floor(n / 3).cast("string"), F.lit("-"), name, F.lit(".pdf.md"))
+    return _canonical(table(spark, sf_dir, "documents").select(path.alias("path")))
+
+
+def _canonical(files):
+    stem = C.sidecar_stem(F.col("path"))
+    docs = files.select(C.canonical_stem(stem).alias("grp"), "path", C.source_role(stem).alias("role"))
     rank = lambda order: F.array_position(F.array(*map(F.lit, order)), F.col("role"))
-    return C.canonical_groups(docs, "grp", "path", rank(names), rank(["combined", "answer_review", "answer", "problem_review", "problem", "unknown"]), "role")
+    return C.canonical_groups(docs, "grp", "path", rank(C.PROBLEM_ORDER), rank(C.ANSWER_ORDER), "role")
+
+
+@register("agg_canonical_anchor", "select * from (values ('2024-final', 'p/2024-final答案复习版.pdf.md', 'p/2024-final答案复习版.pdf.md', 2, 'answer_review,unknown', false), ('2025-final', 'p/2025-final.pdf.md', 'p/2025-final.pdf.md', 1, 'unknown', false), ('甲', 'p/甲试卷.pdf.md', 'p/甲试卷.pdf.md', 2, 'problem', true)) v(grp, problem_source, answer_source, source_count, roles, ambiguous)")
+def agg_canonical_anchor(spark, sf_dir):
+    """Three sources that are two examinations, and one with two problem sheets."""
+    names = ["2024-final", "2024-final答案复习版", "2025-final", "甲试卷", "甲试题"]
+    return _canonical(spark.createDataFrame([(f"p/{n}.pdf.md",) for n in names], "path string")).withColumn("source_count", F.col("source_count").cast("int"))
 
 
 @register("batch_chunk", "with d as (select doc_id, row_number() over (partition by source order by doc_id) rn from documents) select doc_id, cast((rn - 1) // 6 as bigint) batch from d")
@@ -152,12 +152,6 @@ def batch_chunk(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.floor((at - 1) / 6).alias("batch"))
 
 
-@register("cls_display_label", "select conv_id, turn, case role when 'user' then 'Learner' when 'assistant' then 'Tutor' when 'system' then 'Setup' else role end display from conversations")
-def cls_display_label(spark, sf_dir):
-    names = F.create_map(*(F.lit(x) for x in ("user", "Learner", "assistant", "Tutor", "system", "Setup")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.try_element_at(names, F.lower("role")), "role").alias("display"))
-
-
 @register("fn_percent", f"with {EV}, ann as (select count(distinct paper) c from ev), st as (select type_id, count(*) n from ev group by 1) select type_id, concat(cast(cast(round_even(100.0 * n / c, 0) as int) as string), '%') shown from st cross join ann")
 def fn_percent(spark, sf_dir):
     stats = C.type_frequency(event_presence(spark, sf_dir), "paper", "type_id", "n")

@@ -22,12 +22,6 @@ def fm_has(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", X.front_matter(F.col("md")).isNotNull().alias("has_fm"), X.front_matter(F.substring("md", 5, 1 << 30)).isNotNull().alias("body_fm"))
 
 
-@register("fm_week_plan", f"with {SIDECARS_CTE} select doc_id, len(string_split(string_split(md, concat('---', chr(10)))[2], chr(10))) - 1 n_lines from sidecars")
-def fm_week_plan(spark, sf_dir):
-    block = F.get(F.split("md", "---\n", 3), F.lit(1))
-    return sidecars(spark, sf_dir).select("doc_id", (F.size(F.split(block, "\n")) - 1).cast("bigint").alias("n_lines"))
-
-
 @register("fm_scalar_field", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^repair_status: (.*)$', 1) repair_status, regexp_extract(md, '(?m)^verify_status: (.*)$', 1) verify_status from sidecars")
 def fm_scalar_field(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", X.field(F.col("md"), "repair_status").alias("repair_status"), X.field(F.col("md"), "verify_status").alias("verify_status"))
@@ -43,23 +37,12 @@ def md_detail(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", X.detail(F.col("md"), "AREA").alias("area"), X.detail(F.col("md"), "due").alias("due"))
 
 
-@register("proj_read_task", f"with {SIDECARS_CTE} select doc_id, try_cast(nullif(trim(regexp_extract(md, '(?m)^- Due: (.*)$', 1)), '') as date) due, trim(regexp_extract(md, '(?m)^- Area: (.*)$', 1)) area, trim(regexp_extract(md, '(?m)^- Priority: (.*)$', 1)) priority from sidecars")
-def proj_read_task(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", X.iso_date(X.detail(F.col("md"), "Due")).alias("due"), X.detail(F.col("md"), "Area").alias("area"), X.detail(F.col("md"), "Priority").alias("priority"))
-
-
 @register("fn_headings", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(md, '(?m)^#{{1,6}} +(.+)$', 1), '|') headings from sidecars")
 def fn_headings(spark, sf_dir):
     found = F.regexp_extract_all("md", F.lit("(?md)^#{1,6} +(.+)$"), F.lit(1))
     return sidecars(spark, sf_dir).select("doc_id", F.array_join(found, "|").alias("headings"))
 
 
-@register("fn_link_targets", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(md, '\\[[^\\]\\n]*\\]\\(([^)\\n]+)\\)', 1), '|') targets from sidecars")
-def fn_link_targets(spark, sf_dir):
-    found = F.regexp_extract_all("md", F.lit(r"\[[^\]\n]*\]\(([^)\n]+)\)"), F.lit(1))
-    return sidecars(spark, sf_dir).select("doc_id", F.array_join(found, "|").alias("targets"))
-
-
 @register("scan_lines", f"with {LINES_CTE} select doc_id, line_no, line from lines")
 def scan_lines(spark, sf_dir):
     return lines(sidecars(spark, sf_dir).select("doc_id", "md")).select("doc_id", "line_no", "line")
@@ -92,10 +75,13 @@ def join_section_range(spark, sf_dir):
 @register("join_page_asof", f"""with {LINES_CTE}, m as (select doc_id, line_no, line, try_cast(nullif(regexp_extract(line, '^(?:## )?Page ([0-9]+)$', 1), '') as int) page from lines)
 select doc_id, line_no, last_value(page ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) page from m where true qualify (len(line) - len(replace(line, '$', ''))) % 2 = 1""")
 def join_page_asof(spark, sf_dir):
-    all_ = lines(sidecars(spark, sf_dir).select("doc_id", "md"))
-    page = F.expr("try_cast(nullif(regexp_extract(line, '^(?:## )?Page ([0-9]+)$', 1), '') as int)")
-    seen = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return all_.withColumn("page", F.last(page, ignorenulls=True).over(seen)).where(X.count_of(F.col("line"), "\\$") % 2 == 1).select("doc_id", "line_no", "page")
+    """A document's lines and markers stay in its row; only the lines asked for become rows."""
+    page = lambda x: F.nullif(F.regexp_extract(x, "^(?:## )?Page ([0-9]+)$", 1), F.lit("")).try_cast("int")
+    rows = sidecars(spark, sf_dir).select("doc_id", F.split("md", "\n").alias("rows"))
+    marks = F.filter(F.transform("rows", lambda x, i: F.struct(i.alias("at"), page(x).alias("page"))), lambda m: m["page"].isNotNull())
+    odd = F.array_compact(F.transform("rows", lambda x, i: F.when(X.count_of(x, "\\$") % 2 == 1, i)))
+    hits = rows.select("doc_id", marks.alias("marks"), F.explode(odd).alias("at"))
+    return hits.select("doc_id", (F.col("at") + 1).alias("line_no"), F.try_element_at(F.filter("marks", lambda m: m["at"] <= F.col("at")), F.lit(-1))["page"].alias("page"))
 
 
 @register("last_marker_carry", "select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows unbounded preceding) last_signup from events")

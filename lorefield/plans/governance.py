@@ -19,40 +19,17 @@ def _side(spark, sf_dir):
     return sidecars(spark, sf_dir)
 
 
-@register("cls_method", f"with {SIDECARS_CTE} select doc_id, case when contains(md, 'import_method: mineru') then 'api' else 'local' end method from sidecars")
-def cls_method(spark, sf_dir):
-    return _side(spark, sf_dir).select("doc_id", F.when(X.field(_md(), "import_method").startswith("mineru"), "api").otherwise("local").alias("method"))
-
-
 @register("fn_infer_method", f"with {SIDECARS_CTE} select regexp_extract(md, '(?m)^import_method: (.*)$', 1) method, count(*) n from sidecars group by 1")
 def fn_infer_method(spark, sf_dir):
     return _side(spark, sf_dir).groupBy(X.field(_md(), "import_method").alias("method")).agg(F.count("*").alias("n"))
 
 
-@register("cls_evidence_mode", "select doc_id, case when doc_id % 5 = 0 then 'verified' when doc_id % 3 = 0 then 'pdf-declared' else 'text-grounded' end evidence_mode from documents")
-def cls_evidence_mode(spark, sf_dir):
-    verified, ocr = X.field(_md(), "verify_status") == "verified", X.field(_md(), "import_method").startswith("mineru")
-    return _side(spark, sf_dir).select("doc_id", F.when(verified, "verified").when(ocr, "pdf-declared").otherwise("text-grounded").alias("evidence_mode"))
-
-
 @register("cls_source_evidence", f"with {SIDECARS_CTE} select doc_id, case when contains(md, 'source_file:') then case when doc_id % 4 = 1 then 'raw' else 'source' end else 'none' end evidence from sidecars")
 def cls_source_evidence(spark, sf_dir):
     has = X.field(_md(), "source_file") != ""
     return _side(spark, sf_dir).select("doc_id", F.when(has, F.when(X.field(_md(), "repair_status") == "auto-repaired", "raw").otherwise("source")).otherwise("none").alias("evidence"))
 
 
-@register("prep_evidence", "select doc_id, concat('src/', source, '/', cast(doc_id as string), '.pdf') source_file, not contains(source, '..') inside from documents")
-def prep_evidence(spark, sf_dir):
-    file = X.field(_md(), "source_file")
-    return _side(spark, sf_dir).select("doc_id", file.alias("source_file"), (~file.contains("..")).alias("inside"))
-
-
-@register("cls_review_guidance", "select doc_id, case when n_chars < 200 then 'too-short' when lang <> 'en' then 'translate' when n_chars > 8000 then 'split' else 'review' end guidance from documents")
-def cls_review_guidance(spark, sf_dir):
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 200, "too-short").when(F.col("lang") != "en", "translate").when(n > 8000, "split").otherwise("review").alias("guidance"))
-
-
 @register("sel_sections", f"with {LINES_CTE} select doc_id, string_agg(line, chr(10) order by line_no) body from lines where line_no between 2 and 4 group by 1")
 def sel_sections(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("md", "\n"), 2, 3), "\n").alias("body"))
@@ -68,13 +45,6 @@ def fm_type_fields(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", X.field(_md(), "repair_status").alias("page_type"), F.regexp_extract("md", "(?md)^# Doc ([0-9]+)$", 1).alias("type_id"))
 
 
-@register("fm_sources", "select doc_id, concat(source, ',', lang) sources from documents")
-def fm_sources(spark, sf_dir):
-    made = F.concat(F.lit('sources: ["'), "source", F.lit('", "'), "lang", F.lit('"]'))
-    listed = F.from_json(F.regexp_extract(made, r"^sources: (\[.*\])$", 1), "array<string>")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(listed, ",").alias("sources"))
-
-
 @register("fm_proposal_meta", "select doc_id, source s, lang l from documents")
 def fm_proposal_meta(spark, sf_dir):
     made = F.concat(F.lit("<!-- s="), "source", F.lit(" l="), "lang", F.lit(" -->"))
@@ -87,29 +57,12 @@ def fn_count_q_headings(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", X.count_of(F.concat(F.lit("## 一、x\n"), "md"), r"(?md)^##\s+[一二三四五六七八九十]+[.、]").cast("bigint").alias("n"))
 
 
-@register("fn_course_state_key", "select page_id, regexp_extract(url, '^https?://([^/]+)', 1) host_key from pages")
-def fn_course_state_key(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host_key"))
-
-
 @register("pred_repairable", f"with {SIDECARS_CTE} select doc_id from sidecars where ends_with(path, '.md') and not ends_with(path, '-repair-summary.md')")
 def pred_repairable(spark, sf_dir):
     path = F.col("path")
     return _side(spark, sf_dir).where(path.endswith(".md") & ~path.endswith("-repair-summary.md")).select("doc_id")
 
 
-@register("cvt_dispatch_local", "select page_id, case when contains(url, '/en/') then 'html' when contains(url, '?') then 'query' else 'skip' end converter, length(html) chars from pages")
-def cvt_dispatch_local(spark, sf_dir):
-    url = F.col("url")
-    kind = F.when(url.contains("/en/"), "html").when(url.contains("?"), "query").otherwise("skip")
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("converter"), F.char_length("html").cast("bigint").alias("chars"))
-
-
-@register("list_files", "select regexp_extract(url, '^https?://([^/]+)', 1) host, count(*) n, min(page_id) first_page from pages group by 1")
-def list_files(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
-
-
 @register("sink_hw_review_index", "select o_orderkey, concat('| hw-', cast(o_orderkey as string), ' | ', case when l_linenumber is null then 'none' else 'solution' end, ' |') line from orders left join (select l_orderkey, min(l_linenumber) l_linenumber from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey")
 def sink_hw_review_index(spark, sf_dir):
     solved = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("first"))
@@ -126,12 +79,6 @@ def sink_reviews_readme(spark, sf_dir):
 PAGE = {"links": r"\]\([^)\n]+\)", "heading2": r"(?md)^## ", "table": r"(?md)^\| ", "math": r"\$", "bullet": r"(?md)^- "}
 
 
-@register("qc_queue_item", "select o_orderkey, o_orderpriority <> '' and o_orderstatus <> '' and o_totalprice is not null complete from orders")
-def qc_queue_item(spark, sf_dir):
-    complete = (F.col("o_orderpriority") != "") & (F.col("o_orderstatus") != "") & F.col("o_totalprice").isNotNull()
-    return table(spark, sf_dir, "orders").select("o_orderkey", complete.alias("complete"))
-
-
 @register("fn_utc_now", "select event_id, strftime(ts + interval 90 minutes, '%Y-%m-%dT%H:%M:%SZ') stamp from events")
 def fn_utc_now(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(F.expr("ts + interval 90 minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))

@@ -13,7 +13,7 @@ PATH_SQL = """concat(case doc_id % 9 when 0 then 'scripts/' when 1 then 'feedbac
  source, '/', cast(doc_id as string), case doc_id % 7 when 0 then '.pdf' when 1 then '.pdf.md' when 2 then '-repair-summary.md' when 3 then '.sync-conflict-1.md' when 4 then '.PNG' when 5 then '/__pycache__/x.pyc' else '.md' end)"""
 PATHS = f"paths as (select doc_id, {PATH_SQL} path, n_chars * 600 size from documents)"
 GROUP_SQL = "case " + " ".join(f"when {' or '.join(f'''contains(path, '{n}')''' for n in needles)} then '{name}'" for name, needles in P.GROUPS) + " else 'ops' end"
-HELD_SQL = "case when regexp_matches(path, '(^|/)\\.env[^/]*$') then 'env' when contains(path, '.sync-conflict-') then 'sync-conflict' when contains(path, '__pycache__/') then 'cache' when lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in (" + ", ".join(f"'{x}'" for x in P.HELD_SUFFIXES) + f") then 'suffix' when size > {P.LARGE_BYTES} then 'large' end"
+HELD_SQL = f"case when contains(path, '.sync-conflict-') then 'sync-conflict file' when contains(path, '__pycache__/') then 'generated cache' when ends_with(path, '.pdf') then 'binary source document' when ends_with(path, '.PNG') then 'binary media asset' when size > {P.LARGE_BYTES} then 'large file' end"
 
 
 def inventory(spark, sf_dir):
@@ -40,10 +40,10 @@ def agg_group_paths(spark, sf_dir):
     return inventory(spark, sf_dir).groupBy(P.group(F.col("path")).alias("grp")).agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
 
-@register("agg_binary_zones", f"with {PATHS} select array_to_string(string_split(path, '/')[1:2], '/') zone, count(*) n, string_agg(distinct lower(regexp_extract(path, '(\\.[^./]+)$', 1)), ',' order by lower(regexp_extract(path, '(\\.[^./]+)$', 1))) suffixes from paths group by 1")
+@register("agg_binary_zones", f"with {PATHS} select array_to_string(string_split(path, '/')[1:2], '/') zone, count(*) n, string_agg(distinct lower(regexp_extract(path, '(\\.[^./]+)$', 1)), ',' order by lower(regexp_extract(path, '(\\.[^./]+)$', 1))) suffixes from paths where ends_with(path, '.pdf') or ends_with(path, '.PNG') group by 1")
 def agg_binary_zones(spark, sf_dir):
     zone = F.substring_index("path", "/", 2)
-    return inventory(spark, sf_dir).groupBy(zone.alias("zone")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(P.suffix(F.col("path")))), ",").alias("suffixes"))
+    return inventory(spark, sf_dir).where(P.suffix(F.col("path")).isin(*P.BINARY)).groupBy(zone.alias("zone")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set(P.suffix(F.col("path")))), ",").alias("suffixes"))
 
 
 @register("agg_large_files", f"with {PATHS}, u as (select path, size, 'worktree' src from paths union all select path, size + doc_id % 3 - 1, 'index' from paths) select path, max(size) size from u group by 1 having max(size) > 1000000")
@@ -53,35 +53,11 @@ def agg_large_files(spark, sf_dir):
     return both.groupBy("path").agg(F.max("size").alias("size")).where("size > 1000000")
 
 
-@register("cls_file_hygiene", f"with {PATHS} select doc_id, contains(path, '.sync-conflict-') is_conflict, contains(path, '__pycache__/') is_cache, size > 1000000 is_large, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in ('.pdf', '.png') is_binary from paths")
-def cls_file_hygiene(spark, sf_dir):
-    return inventory(spark, sf_dir).select("doc_id", F.col("path").contains(".sync-conflict-").alias("is_conflict"), F.col("path").contains("__pycache__/").alias("is_cache"), (F.col("size") > 1000000).alias("is_large"), P.suffix(F.col("path")).isin(".pdf", ".png").alias("is_binary"))
-
-
 @register("cls_review_file", f"with {PATHS} select doc_id, case when ends_with(path, '-repair-summary.md') then '归档' when ends_with(lower(path), '.pdf.md') or ends_with(lower(path), '.raw.md') then '文本' when lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in ('.pdf', '.png') then '试卷' end folder from paths")
 def cls_review_file(spark, sf_dir):
     return inventory(spark, sf_dir).select("doc_id", P.review_folder(F.col("path")).alias("folder"))
 
 
-@register("cls_import_meta", f"with {PATHS} select doc_id, case when ends_with(lower(path), '.pdf') then 'pdf-import-note' when ends_with(lower(path), '.png') then 'image' else 'imported-reference' end kind from paths")
-def cls_import_meta(spark, sf_dir):
-    low = F.lower("path")
-    return inventory(spark, sf_dir).select("doc_id", F.when(low.endswith(".pdf"), "pdf-import-note").when(low.endswith(".png"), "image").otherwise("imported-reference").alias("kind"))
-
-
-@register("cls_local_plan", f"with {PATHS}, dim(sfx, tool) as (values ('.pdf', 'pymupdf'), ('.md', 'copy'), ('.png', 'ocr')) select doc_id, coalesce(tool, 'skip') tool from paths left join dim on lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = sfx")
-def cls_local_plan(spark, sf_dir):
-    dim = spark.createDataFrame([(".pdf", "pymupdf"), (".md", "copy"), (".png", "ocr")], "sfx string, tool string")  # a fixed table of three rows
-    return inventory(spark, sf_dir).withColumn("sfx", P.suffix(F.col("path"))).join(F.broadcast(dim), "sfx", "left").select("doc_id", F.coalesce("tool", F.lit("skip")).alias("tool"))
-
-
-@register("probe_route", "select doc_id, case when n_chars < 40 then 'ocr' when n_chars >= 8000 then 'chunked-local' when n_chars >= 800 then 'local' else 'agent' end strategy, cast(ceil(n_chars / 2000.0) as bigint) chunks from documents")
-def probe_route(spark, sf_dir):
-    n = F.col("n_chars")
-    strategy = F.when(n < 40, "ocr").when(n >= 8000, "chunked-local").when(n >= 800, "local").otherwise("agent")
-    return table(spark, sf_dir, "documents").select("doc_id", strategy.alias("strategy"), F.ceil(n / 2000).alias("chunks"))
-
-
 @register("fn_chunk_pages", "with p as (select doc_id, cast(ceil(n_chars / 100.0) as bigint) pages from documents) select doc_id, cast(unnest(range(1, greatest(pages, 1) + 1, 20)) as bigint) first_page, pages from p")
 def fn_chunk_pages(spark, sf_dir):
     pages = F.ceil(F.col("n_chars") / 100)
@@ -103,50 +79,12 @@ def scan_inputs_patterns(spark, sf_dir):
     return inventory(spark, sf_dir).where(F.col("path").rlike(r"\.pdf$|\.PNG$|^tasks/")).select("path")
 
 
-@register("scan_courses", f"with {PATHS} select string_split(path, '/')[1] course, bool_or(ends_with(path, '.md')) has_notes, count(*) n from paths group by 1")
-def scan_courses(spark, sf_dir):
-    return inventory(spark, sf_dir).groupBy(F.substring_index("path", "/", 1).alias("course")).agg(F.bool_or(F.col("path").endswith(".md")).alias("has_notes"), F.count("*").alias("n"))
-
-
-@register("scan_resolve_course", f"with {PATHS}, k as (select source, min(case when starts_with(path, 'courses/') then 1 when starts_with(path, 'semesters/') then 2 else 3 end) tier, count(distinct string_split(path, '/')[1]) roots from paths join documents using (doc_id) group by 1) select source, tier, roots > 1 ambiguous from k")
-def scan_resolve_course(spark, sf_dir):
-    tree = inventory(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    tier = F.when(F.col("path").startswith("courses/"), 1).when(F.col("path").startswith("semesters/"), 2).otherwise(3)
-    return tree.groupBy("source").agg(F.min(tier).alias("tier"), F.count_distinct(F.substring_index("path", "/", 1)).alias("roots")).select("source", "tier", (F.col("roots") > 1).alias("ambiguous"))
-
-
 @register("fn_norm_path", f"with {PATHS} select doc_id, regexp_replace(replace(concat('./', replace(path, '/', chr(92))), chr(92), '/'), '^(\\./)+', '') norm from paths")
 def fn_norm_path(spark, sf_dir):
     odd = F.concat(F.lit("./"), F.replace("path", F.lit("/"), F.lit("\\")))
     return inventory(spark, sf_dir).select("doc_id", F.regexp_replace(F.replace(odd, F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias("norm"))
 
 
-@register("fn_annotation_id", f"with {PATHS} select doc_id, replace(regexp_replace(path, '\\.[^./]+$', ''), '/', '__') annotation_id from paths")
-def fn_annotation_id(spark, sf_dir):
-    return inventory(spark, sf_dir).select("doc_id", F.replace(F.regexp_replace("path", r"\.[^./]+$", ""), F.lit("/"), F.lit("__")).alias("annotation_id"))
-
-
-@register("fn_relpath", f"with {PATHS} select doc_id, case when starts_with(path, 'courses/la/') then substr(path, 12) else path end rel from paths")
-def fn_relpath(spark, sf_dir):
-    return inventory(spark, sf_dir).select("doc_id", F.when(F.col("path").startswith("courses/la/"), F.substring("path", 12, 1 << 20)).otherwise(F.col("path")).alias("rel"))
-
-
-@register("fn_rel_link", f"with {PATHS} select doc_id, replace(replace(replace(concat('[x](', path, ' v)'), ' ', '%20'), '(', '%28'), ')', '%29') link from paths")
-def fn_rel_link(spark, sf_dir):
-    link = F.concat(F.lit("[x]("), "path", F.lit(" v)"))
-    for raw, code in ((" ", "%20"), ("(", "%28"), (")", "%29")):
-        link = F.replace(link, F.lit(raw), F.lit(code))
-    return inventory(spark, sf_dir).select("doc_id", link.alias("link"))
-
-
-@register("filt_status_skip", f"with {PATHS}, s as (select doc_id, concat(case doc_id % 3 when 0 then ' M ' when 1 then '?? ' else 'R  ' end, case when doc_id % 3 = 2 then 'old.md -> ' else '' end, path) row_text from paths) select doc_id, substr(row_text, 1, 2) status, case when contains(row_text, ' -> ') then string_split(substr(row_text, 4), ' -> ')[2] else substr(row_text, 4) end target from s where not contains(row_text, '__pycache__')")
-def filt_status_skip(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    row = F.concat(F.when(k == 0, " M ").when(k == 1, "?? ").otherwise("R  "), F.when(k == 2, "old.md -> ").otherwise(""), F.col("path"))
-    made = inventory(spark, sf_dir).select("doc_id", row.alias("row_text")).where(~F.col("row_text").contains("__pycache__"))
-    return made.select("doc_id", F.substring("row_text", 1, 2).alias("status"), F.substring_index(F.substring("row_text", 4, 1 << 20), " -> ", -1).alias("target"))
-
-
 @register("join_sidecar_pair", f"with {PATHS}, k as (select doc_id, path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(-repair-summary|\\.sync-conflict-1)?\\.[A-Za-z.]+$', '') stem from paths) select a.doc_id, b.doc_id other from k a join k b on a.stem = b.stem and a.doc_id <> b.doc_id")
 def join_sidecar_pair(spark, sf_dir):
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(-repair-summary|\.sync-conflict-1)?\.[A-Za-z.]+$", "")
@@ -157,11 +95,3 @@ def join_sidecar_pair(spark, sf_dir):
 @register("list_children", f"with {PATHS} select regexp_replace(path, '/[^/]*$', '') dir, count(*) n, min(path) first_child from paths group by 1")
 def list_children(spark, sf_dir):
     return inventory(spark, sf_dir).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("n"), F.min("path").alias("first_child"))
-
-
-@register("seq_suffix", f"with {PATHS}, b as (select doc_id, string_split(path, '/')[1] base from paths) select doc_id, concat(base, case when row_number() over (partition by base order by doc_id) = 1 then '' else concat('-', cast(row_number() over (partition by base order by doc_id) as string)) end) name from b")
-def seq_suffix(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    named = inventory(spark, sf_dir).select("doc_id", F.substring_index("path", "/", 1).alias("base")).withColumn("rn", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
-    return named.select("doc_id", F.when(F.col("rn") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("rn").cast("string"))).alias("name"))

@@ -58,11 +58,6 @@ def filt_exam(spark, sf_dir):
     return actionable(tasks(spark, sf_dir)).where(near & (F.lower("priority").contains("urgent") | (F.col("course") == "MACHINERY"))).select("id", "due", "course")
 
 
-@register("filt_inbox", "select page_id, url from pages where contains(url, '/en/')")
-def filt_inbox(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("url").contains("/en/")).select("page_id", "url")
-
-
 @register("filt_recent", "select event_id, ts from events where ts >= timestamp '2024-01-30 00:00:00' - interval 7 days and event_type <> 'view'")
 def filt_recent(spark, sf_dir):
     since = F.expr("timestamp '2024-01-30 00:00:00' - interval 7 days")
@@ -123,14 +118,19 @@ def agg_counts_payload(spark, sf_dir):
 
 @register("agg_feedback_counts", f"with {TASKS} select course, status, count(*) n, cast(grouping(course) as int) g_course, cast(grouping(status) as int) g_status from tasks group by grouping sets ((course), (status), ())")
 def agg_feedback_counts(spark, sf_dir):
-    tasks(spark, sf_dir).createOrReplaceTempView("lorefield_tasks")
-    return spark.sql("select course, status, count(*) n, cast(grouping(course) as int) g_course, cast(grouping(status) as int) g_status from lorefield_tasks group by grouping sets ((course), (status), ())")
+    sets = tasks(spark, sf_dir).groupingSets([[F.col("course")], [F.col("status")], []], "course", "status")
+    return sets.agg(F.count("*").alias("n"), F.grouping("course").cast("int").alias("g_course"), F.grouping("status").cast("int").alias("g_status"))
 
 
-@register("agg_dup_course_keys", "with k as (select s_suppkey, regexp_replace(lower(s_name), '[-_ ]+', ' ', 'g') course_key, s_nationkey from supplier) select s_suppkey, count(*) over (partition by s_nationkey) twins, course_key from k")
+@register("agg_dup_course_keys", "with k as (select s_suppkey, case s_suppkey % 3 when 0 then concat('Linear_Algebra ', cast(s_suppkey // 3 as string)) when 1 then concat(' linear-algebra  ', cast(s_suppkey // 3 as string)) else concat('optics ', cast(s_suppkey as string)) end title from supplier), n as (select s_suppkey, trim(regexp_replace(lower(title), '[-_ ]+', ' ', 'g')) course_key from k) select s_suppkey, course_key, count(*) over (partition by course_key) > 1 duplicate from n")
 def agg_dup_course_keys(spark, sf_dir):
-    key = F.regexp_replace(F.lower("s_name"), "[-_ ]+", " ")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.count("*").over(W.partitionBy("s_nationkey")).alias("twins"), key.alias("course_key"))
+    """Courses whose titles differ only in case, dashes, underscores and blanks."""
+    n = F.col("s_suppkey")
+    third = F.floor(n / 3).cast("string")
+    title = F.when(n % 3 == 0, F.concat(F.lit("Linear_Algebra "), third)).when(n % 3 == 1, F.concat(F.lit(" linear-algebra  "), third)).otherwise(F.concat(F.lit("optics "), n.cast("string")))
+    keyed = table(spark, sf_dir, "supplier").select("s_suppkey", F.trim(F.regexp_replace(F.lower(title), "[-_ ]+", " ")).alias("course_key"))
+    counts = keyed.groupBy("course_key").agg((F.count("*") > 1).alias("duplicate"))
+    return keyed.join(counts, "course_key").select("s_suppkey", "course_key", "duplicate")
 
 
 @register("fn_date_plus", f"with {TASKS} select id, due + {DAYS} horizon, case when due < date '{TODAY}' then 'overdue' when due <= date '{TODAY}' + {DAYS} then 'window' else 'later' end bucket from tasks")
@@ -158,9 +158,3 @@ def sink_week_plan(spark, sf_dir):
     line = F.concat(F.lit("- "), F.col("due").cast("string"), F.lit(" "), F.col("id").cast("string"))
     rows = due.groupBy("course").agg(F.sort_array(F.collect_list(F.struct("due", "id", line.alias("line")))).alias("rows"))
     return rows.select("course", F.concat(F.lit("## "), "course", F.lit("\n"), F.array_join("rows.line", "\n")).alias("page"))
-
-
-@register("inc_status_machine", f"with {TASKS} select id, status, case status when 'active' then case when due < date '{TODAY}' then 'triaged' else 'raw' end when 'done' then 'resolved' else 'archived' end next_status from tasks")
-def inc_status_machine(spark, sf_dir):
-    step = F.when(F.col("status") == "active", F.when(F.col("due") < _today(), "triaged").otherwise("raw")).when(F.col("status") == "done", "resolved").otherwise("archived")
-    return tasks(spark, sf_dir).select("id", "status", step.alias("next_status"))

@@ -65,14 +65,6 @@ def join_grounded_types(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_partkey").distinct().join(grounded, "l_partkey", "left_semi")
 
 
-@register("join_review_regex", "select n.n_nationkey, min(r.r_name) review from nation n left join region r on regexp_matches(lower(r.r_name), concat('(^| )', substr(lower(n.n_name), 1, 1))) group by 1")
-def join_review_regex(spark, sf_dir):
-    # both sides are dimension tables: the regex join has no key to hash on
-    nation, region = table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "region").select("r_name")
-    hit = F.expr("lower(r_name) rlike concat('(^| )', substr(lower(n_name), 1, 1))")
-    return nation.join(region, hit, "left").groupBy("n_nationkey").agg(F.min("r_name").alias("review"))
-
-
 @register("join_solution", "select o.o_orderkey, s.l_linenumber is not null has_solution from orders o left join lineitem s on concat('hw-', cast(o.o_orderkey as string), '-solution.md') = concat('hw-', cast(s.l_orderkey as string), '-solution.md') and s.l_linenumber = 1")
 def join_solution(spark, sf_dir):
     name = lambda c: F.concat(F.lit("hw-"), F.col(c).cast("string"), F.lit("-solution.md"))
@@ -88,12 +80,6 @@ def sink_frequency_report(spark, sf_dir):
     return rows.select(F.concat(F.lit("# Frequency\n"), F.array_join("rows.line", "\n")).alias("report"))
 
 
-@register("sink_taxonomy_yaml", "with t as (select p_brand, count(*) n from part group by 1) select p_brand, concat('- id: ', p_brand, chr(10), '  count: ', cast(n as string)) yaml from t")
-def sink_taxonomy_yaml(spark, sf_dir):
-    stats = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return stats.select("p_brand", F.concat_ws("\n", F.concat(F.lit("- id: "), "p_brand"), F.concat(F.lit("  count: "), F.col("n").cast("string"))).alias("yaml"))
-
-
 @register("sink_json", "select o_orderkey, concat('{\"o_orderkey\":', cast(o_orderkey as string), ',\"o_orderstatus\":\"', o_orderstatus, '\"}') json from orders")
 def sink_json(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("json"))

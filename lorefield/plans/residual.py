@@ -31,12 +31,6 @@ def scan_sidecars(spark, sf_dir):
     return sidecars(spark, sf_dir).where(F.col("path").endswith(".pdf.md")).select("path", F.regexp_replace("path", r"\.pdf\.md$", ".raw.md").alias("raw_path"))
 
 
-@register("scan_fallback_root", "select source, case when count(*) filter (doc_id % 3 = 0) = 0 then 'text' when count(distinct lang) = 1 then min(lang) else 'root' end root from documents group by 1")
-def scan_fallback_root(spark, sf_dir):
-    hits = F.count_if(F.col("doc_id") % 3 == 0)
-    return _docs(spark, sf_dir).groupBy("source").agg(F.when(hits == 0, "text").when(F.count_distinct("lang") == 1, F.min("lang")).otherwise("root").alias("root"))
-
-
 @register("scan_nonempty_md", f"with {SIDECARS_CTE} select doc_id from sidecars where length(trim(md)) > 0 and not ends_with(path, 'README.md')")
 def scan_nonempty_md(spark, sf_dir):
     return sidecars(spark, sf_dir).where((F.char_length(F.trim("md")) > 0) & ~F.col("path").endswith("README.md")).select("doc_id")
@@ -52,19 +46,6 @@ def src_feedback(spark, sf_dir):
     return sidecars(spark, sf_dir).where(X.front_matter(_md()).isNotNull()).select("doc_id", X.field(_md(), "repair_status").alias("status"))
 
 
-@register("src_git_status", "with s as (select doc_id, concat(case doc_id % 2 when 0 then ' M ' else '?? ' end, source, '/', cast(doc_id as string), '.md') row_text from documents) select doc_id, trim(substr(row_text, 1, 2)) code, substr(row_text, 4) path from s")
-def src_git_status(spark, sf_dir):
-    row = F.concat(F.when(F.col("doc_id") % 2 == 0, " M ").otherwise("?? "), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return _docs(spark, sf_dir).select("doc_id", row.alias("r")).select("doc_id", F.trim(F.substring("r", 1, 2)).alias("code"), F.substring("r", 4, 1 << 20).alias("path"))
-
-
-@register("cls_status_parse", "select doc_id, case doc_id % 3 when 0 then 'renamed' when 1 then 'untracked' else 'modified' end change from documents")
-def cls_status_parse(spark, sf_dir):
-    code = F.element_at(F.array(F.lit("R "), F.lit("??"), F.lit(" M")), (F.col("doc_id") % 3 + 1).cast("int"))
-    change = F.when(code.startswith("R"), "renamed").when(code == "??", "untracked").when(code.contains("M"), "modified").otherwise("other")
-    return _docs(spark, sf_dir).select("doc_id", change.alias("change"))
-
-
 @register("sink_dashboard", "with t as (select c_mktsegment course, count(*) n, count(*) filter (o_orderstatus = 'O') open from orders join customer on o_custkey = c_custkey group by 1) select string_agg(concat('- ', course, ': ', cast(open as string), '/', cast(n as string)), chr(10) order by course) page from t")
 def sink_dashboard(spark, sf_dir):
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -90,69 +71,21 @@ def sink_issue_body(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("### "), "role", F.lit("\n\n"), "text", F.lit("\n")).alias("body"))
 
 
-@register("sink_repair_case", "select doc_id, sha256(concat('{\"doc_id\":', cast(doc_id as string), ',\"digest\":\"', sha256(text), '\"}')) case_digest from documents")
-def sink_repair_case(spark, sf_dir):
-    case = F.to_json(F.struct("doc_id", F.sha2("text", 256).alias("digest")))
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(case, 256).alias("case_digest"))
-
-
 @register("sink_multi_dim", "select lang, source, count(*) n, min(n_chars) shortest, max(n_chars) longest from documents group by 1, 2")
 def sink_multi_dim(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
 
 
-@register("fm_feedback", f"with {SIDECARS_CTE} select doc_id, length(md[position(concat(chr(10), '---', chr(10)) in md) + 5:]) body_chars from sidecars")
-def fm_feedback(spark, sf_dir):
-    body = F.regexp_replace("md", r"(?s)\A---\n.*?\n---\n", "")
-    return sidecars(spark, sf_dir).select("doc_id", F.char_length(body).cast("bigint").alias("body_chars"))
-
-
 @register("fm_quality", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(string_split(md, concat(chr(10), '---', chr(10)))[1], '(?m)^([A-Za-z_]\\w*):', 1), ',') names from sidecars")
 def fm_quality(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all(X.front_matter(_md()), F.lit(r"(?md)^([A-Za-z_]\w*):"), F.lit(1)), ",").alias("names"))
 
 
-@register("md_list", "select doc_id, concat(lang, '|', source) items from documents")
-def md_list(spark, sf_dir):
-    made = F.concat(F.lit('["'), "lang", F.lit("\", '"), "source", F.lit("']"))
-    items = F.transform(F.split(F.regexp_extract(made, r"^\[(.*)\]$", 1), ","), lambda x: F.btrim(F.trim(x), F.lit("\"'")))
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(items, "|").alias("items"))
-
-
-@register("pred_generated", "select doc_id, doc_id % 2 = 0 machine_owned from documents")
-def pred_generated(spark, sf_dir):
-    stamped = D.fingerprint(F.concat(F.lit("updated: a\n"), "text"))
-    now = D.fingerprint(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("updated: b\n"), "text")).otherwise(F.concat("text", F.lit("!"))))
-    return _docs(spark, sf_dir).select("doc_id", (stamped == now).alias("machine_owned"))
-
-
 @register("pred_verified", "select doc_id, doc_id % 5 = 0 verified from documents")
 def pred_verified(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", (F.try_element_at(X.front_matter_map(_md()), F.lit("verify_status")) == "verified").alias("verified"))
 
 
-@register("pred_concept_source", "select page_id from pages where contains(url, '/fr/') and not contains(url, '?')")
-def pred_concept_source(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").where(url.contains("/fr/") & ~url.contains("?")).select("page_id")
-
-
-@register("join_raw_sibling", f"with {SIDECARS_CTE}, r as (select regexp_replace(path, '\\.pdf\\.md$', '.raw.md') raw_path from sidecars where doc_id % 4 = 1) select s.doc_id, exists (select 1 from r where r.raw_path = regexp_replace(s.path, '\\.pdf\\.md$', '.raw.md')) has_raw from sidecars s")
-def join_raw_sibling(spark, sf_dir):
-    raw = F.regexp_replace("path", r"\.pdf\.md$", ".raw.md").alias("raw_path")
-    side = sidecars(spark, sf_dir)
-    there = side.where("doc_id % 4 = 1").select(raw, F.lit(True).alias("there")).distinct()
-    return side.select("doc_id", raw).join(there, "raw_path", "left").select("doc_id", F.coalesce("there", F.lit(False)).alias("has_raw"))
-
-
-@register("join_summary", "with c as (select doc_id, unnest([1, 2, 3]) prio from documents), e as (select doc_id, case when doc_id % 2 = 0 then 2 else 3 end prio from documents) select c.doc_id, min(c.prio) prio from c join e on c.doc_id = e.doc_id and c.prio = e.prio group by 1")
-def join_summary(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("doc_id")
-    candidates = docs.withColumn("prio", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    there = docs.withColumn("prio", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(3))
-    return candidates.join(there, ["doc_id", "prio"], "left_semi").groupBy("doc_id").agg(F.min("prio").alias("prio"))
-
-
 @register("fn_path_equiv", "select doc_id, ends_with(concat('a/b/', source, '/', cast(doc_id as string)), concat('/', source, '/', cast(doc_id as string))) equivalent from documents")
 def fn_path_equiv(spark, sf_dir):
     tail = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
@@ -170,28 +103,12 @@ def fn_norm_scalar(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.scalar(F.concat(F.lit('k:  "'), "source", F.lit('"  # note'))).alias("plain"))
 
 
-@register("fn_split_sections", f"with {SIDECARS_CTE} select doc_id, cast(len(string_split(md, concat(chr(10), '## '))) as int) parts from sidecars")
-def fn_split_sections(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.size(F.split("md", "\n## ")).alias("parts"))
-
-
 @register("fn_table_cols", f"with {LINES_CTE} select doc_id, line_no, len(line) - len(replace(line, '|', '')) - 1 n_cols from lines where starts_with(line, '| ')")
 def fn_table_cols(spark, sf_dir):
     rows = lines(sidecars(spark, sf_dir).select("doc_id", "md")).where(F.startswith("line", F.lit("| ")))
     return rows.select("doc_id", "line_no", (X.count_of(F.col("line"), r"(?<!\\)\|") - 1).cast("bigint").alias("n_cols"))
 
 
-@register("fix_merge_parts", "select conv_id, string_agg(text, concat(chr(10), chr(10)) order by turn, role, text) merged from conversations group by 1")
-def fix_merge_parts(spark, sf_dir):
-    parts = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join("p.text", "\n\n").alias("merged"))
-
-
-@register("census_meta_refresh", f"with {SIDECARS_CTE} select doc_id, concat('---', chr(10), 'refreshed: yes', chr(10), md[5:]) fresh from sidecars")
-def census_meta_refresh(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.overlay("md", F.lit("refreshed: yes\n"), F.lit(5), F.lit(0)).alias("fresh"))
-
-
 @register("inc_baseline", "select case when a.k is null then 'cleared' when b.k is null then 'new' else 'unchanged' end state, count(*) n from (select distinct source || lang k from documents where doc_id % 2 = 0) b full join (select distinct source || lang k from documents where doc_id % 3 = 0) a on a.k = b.k group by 1")
 def inc_baseline(spark, sf_dir):
     keyed = _docs(spark, sf_dir).select("doc_id", F.concat("source", "lang").alias("k"))
@@ -219,21 +136,11 @@ def lkp_skeleton(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "lang").join(first, "lang").select("doc_id", "first_page")
 
 
-@register("fn_tag_slug", "select page_id, replace(regexp_replace(url, '^https?://', ''), '/', '-') tag from pages")
-def fn_tag_slug(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit("-")).alias("tag"))
-
-
 @register("fn_infer_source", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^source_file: src/([^/]*)/', 1) inferred, case when contains(md, 'mineru') then 'ocr' else 'local' end method from sidecars")
 def fn_infer_source(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.regexp_extract("md", "(?md)^source_file: src/([^/]*)/", 1).alias("inferred"), F.when(_md().contains("mineru"), "ocr").otherwise("local").alias("method"))
 
 
-@register("fn_infer_course", f"with {SIDECARS_CTE} select doc_id, string_split(path, '/')[2] course from sidecars")
-def fn_infer_course(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.regexp_extract("path", "^[^/]+/([^/]+)/", 1).alias("course"))
-
-
 @register("fn_risk_summary", "select quality, toxic, concat('quality=', cast(quality as string), ' toxic=', cast(toxic as string), ' x', cast(count(*) as string)) summary from labels group by 1, 2")
 def fn_risk_summary(spark, sf_dir):
     stats = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))

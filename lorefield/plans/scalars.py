@@ -21,21 +21,6 @@ def fn_slugify_ascii(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"))
 
 
-@register("fn_slugify_unicode")
-def fn_slugify_unicode(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", U.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
-
-
-@register("fn_safe_slug", "select page_id, case when contains(url, '..') then null else regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g') end safe from pages")
-def fn_safe_slug(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.when(~F.col("url").contains(".."), F.regexp_replace("url", "[^A-Za-z0-9._-]+", "-")).alias("safe"))
-
-
-@register("fn_scope_key", "select source, lower(source) scope_key, count(*) n from documents where not contains(source, '/') group by 1, 2")
-def fn_scope_key(spark, sf_dir):
-    return _docs(spark, sf_dir).where(~F.col("source").contains("/")).groupBy("source", X.slug(F.col("source")).alias("scope_key")).agg(F.count("*").alias("n"))
-
-
 @register("fn_course_key", "select s_suppkey, trim(regexp_replace(lower(replace(s_name, '#', '_')), '[-_ ]+', ' ', 'g')) course_key from supplier")
 def fn_course_key(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.trim(F.regexp_replace(F.lower(F.replace("s_name", F.lit("#"), F.lit("_"))), "[-_ ]+", " ")).alias("course_key"))
@@ -72,65 +57,12 @@ def fn_feedback_id(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("fb-"), F.date_format("ts", "yyyy-MM-dd"), F.lit("-"), X.slug(F.col("event_type"))).alias("feedback_id"))
 
 
-@register("fn_canonical_stem", "select doc_id, trim(replace(replace(replace(concat(source, case doc_id % 3 when 0 then '试卷及答案复习版' when 1 then '答案复习版' else '试卷' end), '试卷及答案复习版', ''), '答案复习版', ''), '试卷', ''), ' _-.') stem from documents")
-def fn_canonical_stem(spark, sf_dir):
-    # fixed values, stripped in this order
-    markers = ["试卷含答案复习版", "试题含答案复习版", "试卷含答案", "试题含答案", "试卷及答案复习版", "试题及答案复习版", "试卷答案复习版", "试卷及答案", "试题及答案", "试卷答案", "答案复习版", "试卷复习版", "试题复习版", "复习版", "答案", "试卷", "试题"]
-    k = F.col("doc_id") % 3
-    stem = F.concat("source", F.when(k == 0, "试卷及答案复习版").when(k == 1, "答案复习版").otherwise("试卷"))
-    for marker in markers:
-        stem = F.replace(stem, F.lit(marker), F.lit(""))
-    return _docs(spark, sf_dir).select("doc_id", F.btrim(stem, F.lit(" _-—·.。")).alias("stem"))
-
-
-@register("cls_source_role", "select doc_id, case doc_id % 5 when 0 then 'combined' when 1 then 'answer_review' when 2 then 'answer' when 3 then 'problem_review' else 'problem' end role from documents")
-def cls_source_role(spark, sf_dir):
-    name = F.concat("source", F.element_at(F.array(*map(F.lit, ("试卷及答案", "答案复习版", "答案", "试卷复习版", "试题"))), (F.col("doc_id") % 5 + 1).cast("int")))
-    has = name.contains
-    combined = has("试卷及答案") | has("试题及答案") | has("试卷答案") | has("试卷含答案") | has("试题含答案")
-    role = F.when(combined, "combined").when(has("答案") & has("复习版"), "answer_review").when(has("答案"), "answer").when(has("试卷") & has("复习版"), "problem_review").when(has("试卷") | has("试题"), "problem").otherwise("unknown")
-    return _docs(spark, sf_dir).select("doc_id", role.alias("role"))
-
-
-@register("fn_md_cell", "select doc_id, replace(replace(replace(text, '|', concat(chr(92), '|')), chr(10), '<br>'), chr(13), '') cell from documents")
-def fn_md_cell(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.replace(F.replace(F.replace("text", F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>")), F.lit("\r"), F.lit("")).alias("cell"))
-
-
 @register("fn_yaml_string", "select doc_id, concat('\"', replace(replace(source, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), '\"') quoted from documents")
 def fn_yaml_string(spark, sf_dir):
     escaped = F.replace(F.replace("source", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit('"'), escaped, F.lit('"')).alias("quoted"))
 
 
-@register("fn_eol_normalise", "select doc_id, regexp_replace(concat(text, chr(13), chr(10), 'x', chr(13)), '\\r\\n?', chr(10), 'g') lf from documents")
-def fn_eol_normalise(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.concat("text", F.lit("\r\nx\r")), r"\r\n?", "\n").alias("lf"))
-
-
-@register("cls_eol", "select doc_id, case when contains(text, chr(10)) then 'lf' else 'none' end eol from documents")
-def cls_eol(spark, sf_dir):
-    crlf, lf, cr = (X.count_of(F.col("text"), p) for p in (r"\r\n", r"(?<!\r)\n", r"\r(?!\n)"))
-    kinds = F.array_compact(F.array(F.when(crlf > 0, "crlf"), F.when(lf > 0, "lf"), F.when(cr > 0, "cr")))
-    return _docs(spark, sf_dir).select("doc_id", F.when(F.size(kinds) == 0, "none").when(F.size(kinds) > 1, "mixed").otherwise(F.get(kinds, F.lit(0))).alias("eol"))
-
-
-@register("fn_question_numbers", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(md, '(?m)^## Page ([0-9]+)$', 1), ',') numbers from sidecars")
-def fn_question_numbers(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all("md", F.lit("(?md)^## Page ([0-9]+)$"), F.lit(1)), ",").alias("numbers"))
-
-
-@register("fn_replace_section", f"with {SIDECARS_CTE} select doc_id, concat(md[:position('## Page 2' in md) - 1], '## Page 2', chr(10), 'done', chr(10)) replaced from sidecars")
-def fn_replace_section(spark, sf_dir):
-    return sidecars(spark, sf_dir).select("doc_id", F.regexp_replace("md", r"(?smd)^## Page 2\n.*?(?=^## |\z)", "## Page 2\ndone\n").alias("replaced"))
-
-
-@register("fn_strip_code", "select doc_id, text stripped from documents")
-def fn_strip_code(spark, sf_dir):
-    fenced = F.concat(F.lit("```py\nx = 1\n```\n"), "text")
-    return _docs(spark, sf_dir).select("doc_id", X.strip_fences(fenced).alias("stripped"))
-
-
 @register("fn_template", "select doc_id, concat('Hello ', source, ' / ', lang) page from documents")
 def fn_template(spark, sf_dir):
     page = F.lit("Hello {{name}} / {{lang}}")
@@ -139,11 +71,6 @@ def fn_template(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", page.alias("page"))
 
 
-@register("fn_json_body", "select event_id, coalesce(json_extract_string(props, '$.k'), '') body, json_extract_string(props, '$.title') title from events")
-def fn_json_body(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("body"), F.get_json_object("props", "$.title").alias("title"))
-
-
 @register("fn_first_nonempty", "select conv_id, turn, coalesce(nullif(trim(text), ''), nullif(role, ''), 'none') shown from conversations")
 def fn_first_nonempty(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.nullif(F.btrim("text", F.lit(" ")), F.lit("")), F.nullif("role", F.lit("")), F.lit("none")).alias("shown"))
@@ -170,18 +97,6 @@ def fn_utc_stamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
 
 
-@register("fn_release_notes", f"with {SIDECARS_CTE} select doc_id, len(string_split(md[position('## Page 2' in md):], chr(10))) n_lines from sidecars")
-def fn_release_notes(spark, sf_dir):
-    section = F.regexp_extract("md", r"(?smd)^(## Page 2\n.*?)(?=^## |\z)", 1)
-    return sidecars(spark, sf_dir).select("doc_id", F.size(F.split(section, "\n")).cast("bigint").alias("n_lines"))
-
-
-@register("fn_imported_body", "select doc_id, text body from documents")
-def fn_imported_body(spark, sf_dir):
-    made = F.concat(F.lit("---\na: b\n---\n\n## Imported Content\n"), "text")
-    return _docs(spark, sf_dir).select("doc_id", F.regexp_extract(made, r"(?s)\n## Imported Content\n(.*)\z", 1).alias("body"))
-
-
 @register("src_env", "select doc_id, source token, lang mode from documents")
 def src_env(spark, sf_dir):
     made = F.concat(F.lit("# x\nexport TOKEN='"), "source", F.lit("'\nMODE="), "lang", F.lit("\n"))

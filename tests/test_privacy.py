@@ -27,7 +27,7 @@ def test_publishing_gate_equals_the_plain_version(spark):
     texts = ["fine", "call 555-123-4567", "eyJab.cd.ef", "password: x", "mail a@b.org", "see .env", "at 10.0.0.1", "db.corp", "12 files", "junior", "/home/me/x", "C:\\x", "sk-" + "a" * 20, "in /vault"]
     df = spark.createDataFrame([*enumerate(texts)], "i long, text string")
     for allow in (False, True):
-        got = df.select("i", P.publishing_gate(df.text, allow).alias("d")).collect()
+        got = df.select("i", P.gate(df.text, allow).alias("d")).collect()
         assert {r.i: r.d for r in got} == {i: decision(t, allow) for i, t in enumerate(texts)}
         assert [r.i for r in got if r.d == "allow"] == ([0, *range(4, 14)] if allow else [0])
 
