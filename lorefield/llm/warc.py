@@ -33,7 +33,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, records_per_fi
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("body"))
     found = deduplicate_payloads(rows, f"{path}-copies", min_bytes, "id", "body")
-    revisit = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("id"))
+    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id"))
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     record = F.concat(
         F.lit(MAGIC),
@@ -127,18 +127,21 @@ def archive_round_trip(pages: DataFrame, path: str | None = None, id_col: str =
     """Writes archives of ``pages``, reads them back and follows the revisits.
 
     Returns ``id, payload_bytes, payload_digest, record_type, refers_to``; bytes and
-    digest are of the full payload, for revisits by way of the response.  Null
-    payloads are empty ones; an empty table gives none; other columns are not read.
+    digest are of the full payload, for revisits by way of the response.  A revisit
+    finds its response by id and digest, so rows that share an id are told apart.  Of
+    repeated rows each is a record: those with the smallest id are all responses.  Null
+    ids are never responses in place of others; null payloads are empty ones; an empty
+    table gives none; other columns are not read.
     """
     spark = pages.sparkSession
     path = path or shared_folder(spark, "warc")
     write_warc(pages, path, id_col=id_col, url_col=url_col, payload_col=payload_col)
     records = materialise(read_warc(spark, path))
     revisits = records.where("type = 'revisit'")
-    wanted = revisits.groupBy("refers_to").agg(F.count("*").alias("copies"))
-    full = records.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("payload_bytes").alias("full_bytes"), F.col("payload_sha256").alias("full_sha")).join(wanted, "refers_to")
-    full.write.parquet(f"{path}-full")
-    followed = lookup(revisits, spark.read.parquet(f"{path}-full"), ["refers_to"], "copies", F.col("id"))
+    wanted = revisits.groupBy("refers_to", "digest").agg(F.count("*").alias("copies"))
+    full = records.where("type = 'response'").groupBy(F.col("id").alias("refers_to"), F.col("payload_sha256").alias("digest")).agg(F.max("payload_bytes").alias("full_bytes"))
+    full.join(wanted, ["refers_to", "digest"]).write.parquet(f"{path}-full")
+    followed = lookup(revisits, spark.read.parquet(f"{path}-full"), ["refers_to", "digest"], "copies", F.col("id"))
     as_row = lambda n, sha: [F.col("id").alias(id_col), n.alias("payload_bytes"), sha.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to"]
     own = records.where("type = 'response'").select(*as_row(F.col("payload_bytes"), F.col("payload_sha256")))
-    return own.union(followed.select(*as_row(F.col("full_bytes"), F.col("full_sha"))))
+    return own.union(followed.select(*as_row(F.col("full_bytes"), F.col("digest"))))
