@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, materialise
+from .shared import let, materialise, shared_folder
 
 #: Bits of a position inside a partition in ``monotonically_increasing_id``.
 POSITION_BITS = 33
@@ -71,7 +71,7 @@ def _quantised(value: Column, low, high, bits: int) -> Column:
     return F.coalesce(F.least(F.floor((value.cast("double") - float(low)) / (float(high) - float(low)) * (top + 1)), F.lit(top)), F.lit(0)).cast("int")
 
 
-def hilbert_shards(df: DataFrame, n_shards: int, numeric: list[str], categorical: list[str], bits: int = 6, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+def hilbert_shards(df: DataFrame, n_shards: int, numeric: list[str], categorical: list[str], bits: int = 6, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cuts rows, in Hilbert order of their metadata, into runs of equal count.
 
     ``numeric`` columns are quantised between their extremes, sizes by their
@@ -80,8 +80,8 @@ def hilbert_shards(df: DataFrame, n_shards: int, numeric: list[str], categorical
     and readers can skip files by the ranges of several columns.  Rank ``r`` of ``N``
     goes to shard ``r * n_shards // N``: counts differ by one at most.
 
-    Returns ``id, size, text_crc32, curve, shard, slot``, with a slot for each row
-    from 0 without gaps.  ``size`` is the text's UTF-8 bytes and ``overhead``; a null
+    Returns ``id, size, text_crc32, curve, shard, slot`` and the columns in ``carry``,
+    with a slot for each row from 0 without gaps.  ``size`` is the text's UTF-8 bytes and ``overhead``; a null
     text has none, and CRC 0.  Nulls in metadata go to the first step.  Repeated rows
     get a slot each; an empty table gives none.  Columns not named are not read.
 
@@ -94,13 +94,15 @@ def hilbert_shards(df: DataFrame, n_shards: int, numeric: list[str], categorical
         F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"),
         *(F.col(c).cast("double").alias(f"n{k}") for k, c in enumerate(numeric)),
         *(F.coalesce(F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << bits)), F.lit(0)).cast("int").alias(f"c{k}") for k, c in enumerate(categorical)),
+        *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)),
     )
     narrow = materialise(narrow.withColumn("bulk", F.log2(F.col("size"))))
     measured = ["bulk", *(f"n{k}" for k in range(len(numeric)))]
     bounds = narrow.agg(F.count("*").alias("rows"), *(f(c).alias(f"{f.__name__}_{c}") for c in measured for f in (F.min, F.max))).first()
     dims = [_quantised(F.col(c), bounds[f"min_{c}"], bounds[f"max_{c}"], bits) for c in measured] + [F.col(f"c{k}") for k in range(len(categorical))]
-    keyed = narrow.select("id", "size", "text_crc32", hilbert_index(dims, bits).alias("curve"))
-    order = ["curve", "id", "text_crc32", "size"]
+    carried = [f"carry{k}" for k in range(len(carry))]
+    keyed = narrow.select("id", "size", "text_crc32", hilbert_index(dims, bits).alias("curve"), *carried)
+    order = ["curve", "id", "text_crc32", "size", *carried]
     placed = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", POSITION_BITS)
     before, offsets = 0, []
@@ -113,10 +115,25 @@ def hilbert_shards(df: DataFrame, n_shards: int, numeric: list[str], categorical
     shard = F.floor(F.expr(f"rank * {n_shards} div {max(bounds['rows'], 1)}")).cast("int")
     ranked = ranked.withColumn("shard", shard)
     start = F.expr(f"(cast(shard as bigint) * {max(bounds['rows'], 1)} + {n_shards - 1}) div {n_shards}")
-    return ranked.select(F.col("id").alias(id_col), "size", "text_crc32", "curve", "shard", (F.col("rank") - start).alias("slot"))
+    return ranked.select(F.col("id").alias(id_col), "size", "text_crc32", "curve", "shard", (F.col("rank") - start).alias("slot"), *(F.col(x).alias(c) for x, c in zip(carried, carry)))
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes ``df`` as one folder of Parquet files for each shard, in slot order."""
-    held = df.join(placed.select(id_col, "shard", "slot"), id_col)
-    held.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, n_shards: int, numeric: list[str], categorical: list[str], bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes ``df`` as one folder of Parquet files for each shard, in slot order.
+
+    Rows are numbered first, in a table in the shared folder, and meet their places by
+    that number, so rows that share an id, or are equal, are written once each.
+    """
+    spark = df.sparkSession
+    row, staged = _unused("row", df.columns), shared_folder(spark, "numbered")
+    df.withColumn(row, F.monotonically_increasing_id()).write.parquet(staged)
+    numbered = spark.read.parquet(staged)
+    placed = hilbert_shards(numbered, n_shards, numeric, categorical, bits, id_col, text_col, carry=(row,))
+    held = numbered.join(placed.select(row, "shard", "slot"), row).drop(row)
+    held.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
