@@ -26,35 +26,54 @@ def words_of(text: Column) -> Column:
 
 
 def closed_syncmers(text: Column, k: int = 6, s: int = 2) -> Column:
-    """Hashes, in order, of the ``k``-word runs whose least ``s``-word run is their first or last.
+    """Anchors ``(hash, at)``, in order: the ``k``-word runs whose least ``s``-word run is their first or last.
 
-    Whether a run is chosen depends on its own words only, so an edit changes no
-    choice beyond ``k`` words from it.  A text of which no run is chosen, as all of
-    fewer than ``k`` words and some of up to ``2k - s - 2``, has one anchor for all of
-    it; one without a word has none.
+    ``at`` is the number of the run's first word.  Whether a run is chosen depends on its
+    own words only, so an edit changes no choice beyond ``k`` words from it.  A text of
+    which no run is chosen, as all of fewer than ``k`` words and some of up to
+    ``2k - s - 2``, has one anchor for all of it; one without a word has none.
     """
     last = k - s
+    anchor = lambda h, at: F.struct(h.alias("hash"), at.alias("at"))
 
     def anchors(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
         edge = lambda o, i: F.least(F.get(o, i), F.get(o, i + last))
         between = lambda o, i: F.least(edge(o, i), *(F.get(o, i + j) for j in range(1, last)))
         chosen = let(inner, lambda o: F.filter(F.sequence(F.lit(0), F.size(h) - k), lambda i: edge(o, i) <= between(o, i)))
-        runs = F.when(F.size(h) >= k, F.transform(chosen, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
-        return let(runs, lambda r: F.when((F.size(r) == 0) & (F.size(h) > 0), F.array(F.xxhash64(h))).otherwise(r))
+        none = F.array().cast("array<struct<hash:bigint,at:int>>")
+        runs = F.when(F.size(h) >= k, F.transform(chosen, lambda i: anchor(F.xxhash64(*(F.get(h, i + j) for j in range(k))), i))).otherwise(none)
+        return let(runs, lambda r: F.when((F.size(r) == 0) & (F.size(h) > 0), F.array(anchor(F.xxhash64(h), F.lit(0)))).otherwise(r))
 
     return let(F.transform(words_of(text), lambda w: F.xxhash64(w)), anchors)
 
 
+def placed(anchors: Column) -> Column:
+    """A number for each anchor and its distance in words from the anchor before it.
+
+    Two texts that share a passage have the same numbers in it wherever it stands.
+    """
+    return let(anchors, lambda a: F.transform(a, lambda x, i: F.xxhash64(x["hash"], x["at"] - F.get(a, i - 1)["at"])))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Anchors in both over anchors in either, 0 to 1; 1 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when(a == b, F.lit(1.0)).otherwise(let(both, lambda n: n / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n)))
+    """Anchors that match by place over anchors in either, 0 to 1; 1 for two empty ones.
+
+    An anchor matches where the other text has the same one at the same distance from
+    the anchor before it, so equal words that only occur here and there do not count.
+    """
+
+    def compare(p: Column) -> Column:
+        x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        return let(F.size(F.array_intersect(x, y)), lambda n: n / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)) - n))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(let(F.array(placed(a), placed(b)), compare))
 
 
 def fingerprint_text(anchors: Column) -> Column:
-    """Anchors by their low 32 bits in hexadecimal, in order."""
-    return F.array_join(F.transform(anchors, lambda a: F.lpad(F.lower(F.hex(a.bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
+    """Anchors in order, each by the low 32 bits of its hash and its place, in hexadecimal."""
+    code = lambda a: F.concat(F.lpad(F.lower(F.hex(a["hash"].bitwiseAND(0xFFFFFFFF))), 8, "0"), F.lit("@"), F.lower(F.hex(a["at"])))
+    return F.array_join(F.transform(anchors, code), " ")
 
 
 def _bucket(value: Column, bounds: list[int]) -> Column:
@@ -87,8 +106,8 @@ def with_next(df: DataFrame, derive: dict[str, Column], rows_per_bucket: int = 4
     first = df.agg(F.min(id_)).first()[0]
     own = df.select(F.col(id_col).alias("id"), id_.alias("place"), text.alias("text")).withColumn("own", _bucket(F.col("place"), bounds))
     # the least row of all is also the guest of the last range
-    starts = F.array(*(F.lit(b) for b in bounds[1:])) if len(bounds) > 1 else F.array().cast("array<bigint>")
-    before = F.when(F.array_contains(starts, F.col("place")), F.col("own") - 1)
+    starts = F.array(*(F.lit(b).cast("bigint") for b in bounds))
+    before = F.when((F.col("own") > 0) & (F.get(starts, F.col("own")) == F.col("place")), F.col("own") - 1)
     wraps = F.when(F.col("place") == F.lit(first), F.lit(len(bounds) - 1))
     held = own.withColumn("guest", F.explode(F.array_compact(F.array(F.lit(-1), before, F.when(wraps.isNotNull(), -2 - wraps)))))
     held = held.withColumn("bucket", F.when(F.col("guest") == -1, F.col("own")).when(F.col("guest") < -1, -2 - F.col("guest")).otherwise(F.col("guest")))
