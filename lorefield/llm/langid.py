@@ -11,10 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import blocks, map_carrying
+from .arrow import blocks, map_carrying, small_batches
 from .shingles import SEEDS, mix
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Code points below U+0370 that are word characters, but numbers and not letters: superscripts and fractions.
+_LATIN_LETTER = r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]"
+
+
+def _letter_ranges(start: int = 0, end: int = 0x110000) -> list[str]:
+    """The letters (Unicode's categories L) from ``start`` to ``end`` as ranges of a character class."""
+    is_letter = [chr(c).isalpha() for c in range(start, end)] + [False]
+    edges = [c for c in range(len(is_letter)) if is_letter[c] != (c > 0 and is_letter[c - 1])]
+    return [f"{chr(start + a)}-{chr(start + b - 1)}" for a, b in zip(edges[::2], edges[1::2])]
+
+
+WORD = re.compile(f"[{''.join(_letter_ranges())}]+")
 UNDETERMINED = "und"
 #: First code point of each range and its script (fixed values of the Unicode blocks).
 SCRIPTS = [
@@ -39,13 +50,12 @@ def _piece_pattern() -> re.Pattern:
     """Matches up to PIECE_LETTERS letters of one script."""
     ranges: dict[str, list[str]] = {}
     for (start, name), (end, _) in zip(SCRIPTS, [*SCRIPTS[1:], (0x110000, "")]):
-        for m in WORD.finditer("".join(map(chr, range(start, end)))):
-            ranges.setdefault(name, []).append(f"{chr(start + m.start())}-{chr(start + m.end() - 1)}")
+        ranges.setdefault(name, []).extend(_letter_ranges(start, end))
     return re.compile("|".join(f"[{''.join(found)}]{{1,{PIECE_LETTERS}}}" for found in ranges.values()))
 
 
 PIECE = _piece_pattern()
-LATIN_PIECE = re.compile(rf"[^\W\d_]{{1,{PIECE_LETTERS}}}")
+LATIN_PIECE = re.compile(f"{_LATIN_LETTER}{{1,{PIECE_LETTERS}}}")
 #: The first code point that may belong to another script than Latin.
 _BEYOND_LATIN = re.compile(f"[{chr(SCRIPTS[1][0])}-{chr(0x10FFFF)}]")
 
@@ -115,21 +125,26 @@ class LanguageModel:
         return scores.astype(np.float32)
 
 
-def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, buckets: int = 1 << 16) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, max_languages: int = 512, buckets: int = 1 << 16) -> LanguageModel:
     """Naive Bayes over letter n-grams, from about ``per_language`` rows of each language.
 
     The sample is bounded: a row is taken when a hash of its id falls below the
-    language's share, so long and short texts and all sources are alike.  Words are
-    counted where the rows are, into tables of fixed size.
+    language's share, so long and short texts and all sources are alike, and of more
+    than ``max_languages`` labels the most frequent ones are learnt (ties by name).
+    Words are counted where the rows are, into tables of fixed size.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = sorted((r[0], r[1]) for r in rows.groupBy(lang_col).count().collect())
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    found = sorted((r.lang, r.n) for r in sizes)
     languages = [lang for lang, _ in found]
     if not languages:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), {})
     at = {lang: k for k, lang in enumerate(languages)}
-    share = F.coalesce(*(F.when(F.col(lang_col) == F.lit(lang), F.lit(min(1.0, per_language / n))) for lang, n in found))
-    taken = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    spark = labelled.sparkSession
+    share = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in found], "lang string, share double")  # max_languages rows
+    taken = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)).alias("draw"))
+    taken = taken.join(F.broadcast(share), "lang").where(F.col("draw") < F.col("share") * 1_000_003).select("lang", "text")
+    small_batches(spark)
 
     def count(batches):
         grams, scripts = np.zeros((len(languages), buckets), np.float64), Counter()
@@ -198,13 +213,14 @@ def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
     ``ids`` holds the lists one after another.  Step ``t`` handles word ``t`` of every
     list that has one; lists go longest first, so these are a prefix.
     """
+    n_lang = rows.shape[1]
+    kind = np.min_scalar_type(max(n_lang - 1, 0))
     if not len(ids):
-        return np.empty(0, np.uint8)
+        return np.empty(0, kind)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    n_lang = rows.shape[1]
-    own = np.arange(n_lang, dtype=np.uint8)
-    back = np.empty((len(ids), n_lang), np.uint8)
+    own = np.arange(n_lang, dtype=kind)
+    back = np.empty((len(ids), n_lang), kind)
     best = np.zeros((len(starts), n_lang), np.float32)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
@@ -216,11 +232,11 @@ def viterbi(rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.nda
             arg = held.argmax(axis=1)
             moved = (held[np.arange(n), arg] - penalty)[:, None]
             stay = held >= moved
-            back[at] = np.where(stay, own, arg[:, None])
+            back[at] = np.where(stay, own, arg[:, None].astype(kind))
             held = np.where(stay, held, moved)
         best[:n] = held + rows[ids[at]]
-    label = np.empty(len(ids), np.uint8)
-    state = best.argmax(axis=1).astype(np.uint8)
+    label = np.empty(len(ids), kind)
+    state = best.argmax(axis=1).astype(kind)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
@@ -281,11 +297,14 @@ def label_languages(df: DataFrame, model: LanguageModel, penalty: float = 6.0, s
 
 def _runs(text: str, label: np.ndarray, languages: list[str]) -> list[dict]:
     """Runs of pieces of one language; a span ends with its last piece."""
-    found: list[dict] = []
-    for m, k in zip(piece_pattern(text).finditer(text), label.tolist()):
-        lang = languages[k]
-        if found and found[-1]["lang"] == lang:
-            found[-1]["end"] = m.end()
-        else:
-            found.append({"start": m.start(), "end": m.end(), "lang": lang})
-    return found
+    if not len(label):
+        return []
+    pattern = piece_pattern(text)
+    if (label == label[0]).all():  # from the first letter to the last one
+        end = len(text)
+        while not text[end - 1].isalpha():
+            end -= 1
+        return [{"start": pattern.search(text).start(), "end": end, "lang": languages[label[0]]}]
+    turns = np.append(np.flatnonzero(np.diff(label.astype(np.int64), prepend=-1)), len(label)).tolist()
+    places = [m.span() for m in pattern.finditer(text)]
+    return [{"start": places[a][0], "end": places[b - 1][1], "lang": languages[label[a]]} for a, b in zip(turns, turns[1:])]
