@@ -109,12 +109,6 @@ def join_skeleton_coverage(spark, sf_dir):
     return d.join(lab, "doc_id", "full_outer").select("doc_id", state.alias("state"))
 
 
-@register("sink_idempotent", "select source, count(*) n from documents where doc_id % 2 = 1 group by 1")
-def sink_idempotent(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return docs.join(docs.where("doc_id % 2 = 0").select("doc_id"), "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
-
-
 @register("cls_eol_only", "select doc_id, replace(replace(text, chr(10), concat(chr(13), chr(10))), concat(chr(13), chr(10)), chr(10)) = text eol_only from documents")
 def cls_eol_only(spark, sf_dir):
     crlf = F.replace("text", F.lit("\n"), F.lit("\r\n"))

@@ -63,13 +63,6 @@ def pred_repairable(spark, sf_dir):
     return _side(spark, sf_dir).where(path.endswith(".md") & ~path.endswith("-repair-summary.md")).select("doc_id")
 
 
-@register("sink_hw_review_index", "select o_orderkey, concat('| hw-', cast(o_orderkey as string), ' | ', case when l_linenumber is null then 'none' else 'solution' end, ' |') line from orders left join (select l_orderkey, min(l_linenumber) l_linenumber from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey")
-def sink_hw_review_index(spark, sf_dir):
-    solved = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linenumber").alias("first"))
-    joined = table(spark, sf_dir, "orders").select("o_orderkey").join(solved, "o_orderkey", "left")
-    return joined.select("o_orderkey", F.concat(F.lit("| hw-"), F.col("o_orderkey").cast("string"), F.lit(" | "), F.when(F.col("first").isNull(), "none").otherwise("solution"), F.lit(" |")).alias("line"))
-
-
 @register("sink_reviews_readme", "select lang, concat('# ', lang, chr(10), cast(count(*) as string), ' files, ', cast(count(distinct source) as string), ' sources') page from documents group by 1")
 def sink_reviews_readme(spark, sf_dir):
     stats = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("s"))

@@ -72,19 +72,6 @@ def join_solution(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", name("o_orderkey").alias("file")).join(solutions, "file", "left").select("o_orderkey", F.col("l_linenumber").isNotNull().alias("has_solution"))
 
 
-@register("sink_frequency_report", "with t as (select event_type, count(*) n from events group by 1) select concat('# Frequency', chr(10), string_agg(concat('| ', event_type, ' | ', cast(n as string), ' |'), chr(10) order by n desc, event_type)) report from t")
-def sink_frequency_report(spark, sf_dir):
-    stats = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    line = F.concat(F.lit("| "), "event_type", F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
-    rows = stats.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "event_type", line.alias("line")))).alias("rows"))  # a row for each type
-    return rows.select(F.concat(F.lit("# Frequency\n"), F.array_join("rows.line", "\n")).alias("report"))
-
-
-@register("sink_json", "select o_orderkey, concat('{\"o_orderkey\":', cast(o_orderkey as string), ',\"o_orderstatus\":\"', o_orderstatus, '\"}') json from orders")
-def sink_json(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("json"))
-
-
 @register("sink_type_skeleton", "select p_brand, concat(lpad(cast(row_number() over (order by p_brand) as string), 2, '0'), '-', trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-'), '.md') file from (select distinct p_brand from part)")
 def sink_type_skeleton(spark, sf_dir):
     from pyspark.sql import Window as W

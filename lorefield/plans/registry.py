@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import casebook, census, diffing, documents, governance, paths, planning, privacy, quality, residual, risks, scalars, scraps, teaching  # noqa: F401
+    from . import casebook, census, diffing, documents, files, governance, paths, planning, privacy, quality, reports, residual, risks, scalars, scraps, teaching  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

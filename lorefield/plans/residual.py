@@ -54,28 +54,6 @@ def sink_dashboard(spark, sf_dir):
     return stats.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("page"))  # a line for each course
 
 
-@register("sink_feedback_summary", "select role, concat('## ', role, chr(10), 'turns: ', cast(count(*) as string), chr(10), 'conversations: ', cast(count(distinct conv_id) as string)) block from conversations group by 1")
-def sink_feedback_summary(spark, sf_dir):
-    stats = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("c"))
-    return stats.select("role", F.concat(F.lit("## "), "role", F.lit("\nturns: "), F.col("n").cast("string"), F.lit("\nconversations: "), F.col("c").cast("string")).alias("block"))
-
-
-@register("sink_indexes", "select source, cast(count(*) as int) n, string_agg(cast(doc_id as string), ' ' order by doc_id) ids from documents group by 1")
-def sink_indexes(spark, sf_dir):
-    ids = F.sort_array(F.collect_list("doc_id"))
-    return _docs(spark, sf_dir).groupBy("source").agg(ids.alias("l")).select("source", F.size("l").alias("n"), F.array_join(F.col("l").cast("array<string>"), " ").alias("ids"))
-
-
-@register("sink_issue_body", "select conv_id, turn, concat('### ', role, chr(10), chr(10), text, chr(10)) body from conversations")
-def sink_issue_body(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("### "), "role", F.lit("\n\n"), "text", F.lit("\n")).alias("body"))
-
-
-@register("sink_multi_dim", "select lang, source, count(*) n, min(n_chars) shortest, max(n_chars) longest from documents group by 1, 2")
-def sink_multi_dim(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
-
-
 @register("fm_quality", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(string_split(md, concat(chr(10), '---', chr(10)))[1], '(?m)^([A-Za-z_]\\w*):', 1), ',') names from sidecars")
 def fm_quality(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all(X.front_matter(_md()), F.lit(r"(?md)^([A-Za-z_]\w*):"), F.lit(1)), ",").alias("names"))
