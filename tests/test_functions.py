@@ -13,7 +13,7 @@ from lorefield.operators import diffing as D
 from lorefield.operators import privacy as P
 from lorefield.operators import repair as R
 from lorefield.operators import risks
-from lorefield.sources import office, sidecars
+from lorefield.sources import office
 
 
 def one(spark, value, expression, kind="string"):
@@ -65,16 +65,48 @@ def test_redaction_order_and_gate(spark):
 def test_repair(spark):
     text = "#Broken heading\nPage 1\n-  Bullet\n## Next section ........ 4\n\n\n\nend"
     assert one(spark, text, R.repair) == "# Broken heading\n\n- Bullet\n## Next section\n\nend"
-    assert one(spark, "a: 1\nb: 2\na: 3", lambda x: R.set_field(x, "a", F.lit("9"))) == "a: 9\nb: 2\na: 3"
+    assert one(spark, "---\nba: 1\na: 2\na: 3\n---\na: 4", lambda x: R.set_field(x, "a", F.lit("9"))) == "---\nba: 1\na: 9\na: 3\n---\na: 4"
+    assert one(spark, "---\nba: 1\na: 2\n---\na: 4", lambda x: R.drop_field(x, "a")) == "---\nba: 1\n---\na: 4"
     assert one(spark, "nothing", lambda x: R.set_field(x, "a", F.lit("9"))) == "nothing"
 
 
 def test_seventeen_bad_lines_are_counted_and_eight_sampled(spark):
-    doc = spark.createDataFrame([(1, "\n".join(["$x"] * 17))], "doc_id int, md string")
-    found = risks.affected(risks.detect_lines(sidecars.lines(doc))).where("code = 'math-dollar-odd-line'").first()
+    doc = spark.createDataFrame([(1, "a.md", "\n".join(["$x"] * 17))], "doc_id int, path string, md string")
+    found = risks.records(risks.detect(doc)).where("code = 'math-dollar-odd-line'").first()
     assert (found["count"], len(found["sample"]), found["truncated"]) == (17, 8, True)
 
 
+def test_redaction_equals_plain_substitutions(spark):
+    """The guarded chain against Python's own, over documents and over awkward texts."""
+    plain = [(re.compile(re.sub(r"\(\?([imu]*)U([imu]*)\)", lambda m: f"(?{m[1]}{m[2]})" if m[1] + m[2] else "", p).replace("(?iu)", "(?i)")), n) for p, n, _ in P.REDACTIONS]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["call 415-555-0100 at /home/me/x\u00a0.env TOKEN=abc", "C:\\vault\\x eyJa.b.c sk-" + "a" * 24, "a@b.co 10.1.2.3 x.corp /vault/y", "token: 'x' and 13912345678", "PASSWORD = \"q\"", "é.env.local: 1"]
+    rows = spark.createDataFrame([*enumerate(texts)], "i int, text string")
+    got = {r.i: r.clean for r in rows.select("i", P.redact(F.col("text")).alias("clean")).collect()}
+    for i, text in enumerate(texts):
+        for pattern, name in plain:
+            text = pattern.sub(f"[REDACTED_{name}]", text)
+        assert got[i] == text
+
+
+def test_regions_and_plans_move_nothing(spark):
+    """Lines and their page markers stay in their rows; redaction is one narrow pass."""
+    from lorefield.plans import registry
+
+    for name in ("join_page_asof", "pii_redact", "qc_structural", "fix_repair_text"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
+
+
+def test_bad_pdf_is_told_and_read_on(spark):
+    from lorefield.sources.pdf import make_pdf, pdf_pages
+
+    files = spark.createDataFrame([("a.pdf", bytearray(make_pdf("T", [["one", "two (2)"], ["drei é"]]))), ("b.pdf", bytearray(b"nothing")), ("c.pdf", bytearray(make_pdf("empty", [])))], "path string, content binary")
+    got = {(r.path, r.page): r for r in pdf_pages(files).collect()}
+    assert (got["a.pdf", 1].text, got["a.pdf", 2].text, got["a.pdf", 1].pages, got["a.pdf", 1].title) == ("one\ntwo (2)", "drei é", 2, "T")
+    assert got["b.pdf", None].error and ("c.pdf", 1) not in got
+
+
 def test_census_anchor(spark):
     rows = [("A", "matrix-rank"), ("A", "eigen-decomp"), ("B", "matrix-rank"), ("B", "gaussian-elim"), ("C", "matrix-rank"), ("C", "eigen-decomp")]
     got = C.type_frequency(spark.createDataFrame([(*r, 1) for r in rows], "p string, t string, n int"), "p", "t", "n").orderBy("rank_no").collect()

@@ -34,5 +34,5 @@ def test_publishing_gate_equals_the_plain_version(spark):
 
 def test_publishing_gate_over_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = registry.queries()["pii_publishing_gate"](spark, SF).collect()
+    got = registry.queries()["pii_gate"](spark, SF).collect()
     assert {r.doc_id: r.decision for r in got} == {i: decision(t or "") for i, t in texts.items()}
