@@ -8,15 +8,18 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damage_conversations, repair_conversations, whole_conversations
 from .dedup import exact_dedup
 from .fingerprint import fingerprint_pairs, fingerprint_text, likeness
 from .jaccard import jaccard_components
 from .langid import LanguageModel, fit_language_model, label_languages
+from .mixing import mix_sources
 from .packing import pack_best_fit
 from .sharding import hilbert_shards
 from .tokens import encode_tree, token_budgets, write_prefix_tables
 from .toxicity import fit_severity, grade_severity
 from .warc import archive_round_trip
+from .whitening import whiten_embeddings
 
 #: The token that closes a document in packed sequences.
 END_ID = 2
@@ -97,6 +100,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = damage_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return whole_conversations(repair_conversations(damaged, F.col("gone")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = white.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error"
+    )
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir)).drop("source")
+
+
 QUERIES = (
     op1_jaccard_join,
     op2_token_counts,
@@ -108,6 +128,9 @@ QUERIES = (
     op8_best_fit_packing,
     op9_exact_dedup,
     op10_warc,
+    op11_structure_repair,
+    op12_whitening,
+    op13_source_mix,
 )
 
 OP9_SQL = r"""
