@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import privacy as P
 from .cases import cases
+from ..sources.tables import dealt_table
 from .registry import register
 
 
@@ -21,7 +22,7 @@ def pii_email_redact(spark, sf_dir):
 
 @register("pii_redact")
 def pii_redact(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = dealt_table(spark, sf_dir, "documents", "doc_id")
     clean = docs.select("doc_id", "text", P.redact(F.col("text")).alias("redacted"))
     return clean.select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
@@ -43,12 +44,12 @@ def _fired(rules: dict[str, str]) -> str:
 
 @register("pii_warnings", f"select doc_id, {_fired(FIRES)} warnings from documents")
 def pii_warnings(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(P.warnings(F.col("text")), ",").alias("warnings"))
+    return dealt_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.array_join(P.warnings(F.col("text")), ",").alias("warnings"))
 
 
 @register("pii_blockers", f"select doc_id, {_fired(BLOCKS)} blockers from documents where {_fired(BLOCKS)} <> ''")
 def pii_blockers(spark, sf_dir):
-    found = _table(spark, sf_dir, "documents").select("doc_id", P.blockers(F.col("text")).alias("b"))
+    found = dealt_table(spark, sf_dir, "documents", "doc_id").select("doc_id", P.blockers(F.col("text")).alias("b"))
     return found.where(F.size("b") > 0).select("doc_id", F.array_join("b", ",").alias("blockers"))
 
 
@@ -56,7 +57,7 @@ def pii_blockers(spark, sf_dir):
 def pii_gate(spark, sf_dir):
     """All blockers and the warnings rule; beside it the decision where warnings are allowed."""
     text = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", P.gate(text).alias("decision"), P.gate(text, allow_warnings=True).alias("lenient"))
+    return dealt_table(spark, sf_dir, "documents", "doc_id").select("doc_id", P.gate(text).alias("decision"), P.gate(text, allow_warnings=True).alias("lenient"))
 
 
 @cases("fn_privacy_messages", [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import risks as R
-from ..sources.tables import table
+from ..sources.tables import dealt_table
 from .cases import dealt, sql_literal
 from .registry import register
 
@@ -73,7 +73,7 @@ CODES = sorted({code for _, found in SCRAPS for code, _ in found})
 def scraps(spark, sf_dir):
     """``doc_id, path, md``: a scrap before the whole text, whose own dollars and signs of markup are taken out."""
     rest = F.regexp_replace("text", r"[$\\`~#{}]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("a.md").alias("path"), F.concat(dealt([x for x, _ in SCRAPS]), F.lit("\n\n"), rest).alias("md"))
+    return dealt_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.lit("a.md").alias("path"), F.concat(dealt([x for x, _ in SCRAPS]), F.lit("\n\n"), rest).alias("md"))
 
 
 def _known(code: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pages as G
 from ..operators import records as R
-from ..sources.tables import table
+from ..sources.tables import dealt_table, table
 from .cases import cases, dealt, dealt_sql, sql_literal
 from .registry import register
 
@@ -188,7 +188,7 @@ STRUCTURE: list[tuple[str, list[str]]] = [
 def type_pages(spark, sf_dir, pages: list[str]):
     """``doc_id, source, md``: a page, and at its end the whole text without signs of markup."""
     rest = F.regexp_replace("text", r"[|`#$>{}\[\]<*_\\]", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(dealt(pages), F.lit("\n"), rest).alias("md"))
+    return dealt_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", F.concat(dealt(pages), F.lit("\n"), rest).alias("md"))
 
 
 def _known(rows: list[tuple[str, list[str]]]) -> str:
@@ -197,12 +197,13 @@ def _known(rows: list[tuple[str, list[str]]]) -> str:
 
 
 def _structural(spark, sf_dir):
-    return type_pages(spark, sf_dir, [p for p, _ in STRUCTURE]).select("doc_id", "source", G.structural_codes(F.col("md")).alias("failed"))
+    return G.with_structure(type_pages(spark, sf_dir, [p for p, _ in STRUCTURE]), "md").select("doc_id", "source", "failed")
 
 
 @register("qc_structural", f"select doc_id, code from ({_known(STRUCTURE)})")
 def qc_structural(spark, sf_dir):
-    return _structural(spark, sf_dir).select("doc_id", F.explode("failed").alias("code"))
+    # outer, as the optimizer would otherwise work out the checks twice, to leave out empty arrays before
+    return _structural(spark, sf_dir).select("doc_id", F.explode_outer("failed").alias("code")).where(F.col("code").isNotNull())
 
 
 @register("qc_structural_verdict", f"select doc_id, {dealt_sql(['needs-revision' if found else 'pass' for _, found in STRUCTURE], 'string')} verdict from documents")
@@ -213,10 +214,10 @@ def qc_structural_verdict(spark, sf_dir):
 @register("agg_review_totals", f"with f as ({_known(STRUCTURE)}), v as (select doc_id, doc_id in (select doc_id from f) bad from documents) select case when doc_id % 3 = 0 then 'analysis-report' else 'type-analysis' end kind, bad and doc_id % 3 <> 0 needs_revision, count(*) n from v group by 1, 2")
 def agg_review_totals(spark, sf_dir):
     """Pages that pass and pages to revise, by kind; every third page is read as a report, whose two checks pass here."""
-    pages = type_pages(spark, sf_dir, [p for p, _ in STRUCTURE])
+    pages = G.with_structure(type_pages(spark, sf_dir, [p for p, _ in STRUCTURE]), "md")
     kind = F.when(F.col("doc_id") % 3 == 0, "analysis-report").otherwise("type-analysis")
     light = F.filter(G.report_codes(F.col("md")), lambda c: F.lit(False))
-    failed = F.when(kind == "analysis-report", light).otherwise(G.structural_codes(F.col("md")))
+    failed = F.when(kind == "analysis-report", light).otherwise(F.col("failed"))
     return pages.select(kind.alias("kind"), (F.size(failed) > 0).alias("needs_revision")).groupBy("kind", "needs_revision").agg(F.count("*").alias("n"))
 
 

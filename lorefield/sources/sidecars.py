@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import dealt_table
+
 #: One SQL expression that both engines understand.
 SIDECAR_SQL = """concat(
  '---', chr(10), 'source_file: src/', source, '/', cast(doc_id as string), '.pdf', chr(10),
@@ -35,7 +37,7 @@ SIDECARS_CTE = "sidecars as (select doc_id, source, concat('imports/', source, '
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, path, md``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt_table(spark, sf_dir, "documents", "doc_id")
     path = F.concat(F.lit("imports/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf.md"))
     return docs.select("doc_id", "source", path.alias("path"), F.expr(SIDECAR_SQL).alias("md"))
 
@@ -47,7 +49,7 @@ RISKY_CTE = SIDECARS_CTE.replace("\n text,", "\n replace(text, '$', '¤'),")
 
 def risky_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, path, md``: sidecars whose defects are known."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt_table(spark, sf_dir, "documents", "doc_id")
     path = F.concat(F.lit("imports/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf.md"))
     return docs.select("doc_id", "source", path.alias("path"), F.expr(RISKY_SQL).alias("md"))
 
