@@ -21,16 +21,3 @@ def stable_id(prefix: str, value: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """Sixteen hex digits over the text without its machine-written lines."""
     return F.substring(F.sha2(F.regexp_replace(text, r"(?md)^(updated|generated):.*\n?", ""), 256), 1, 16)
-
-
-def reconcile(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """What to do with each page: create, overwrite if the machine owns it, keep the user's, retire the rest.
-
-    ``wanted`` has ``key, digest``; ``existing`` has ``key, stored, actual``: the digest
-    recorded when the page was written and that of what is there now.
-    """
-    action = (
-        F.when(F.col("stored").isNull(), "create").when(F.col("digest").isNull(), F.when(F.col("stored") == F.col("actual"), "retire").otherwise("park"))
-        .when(F.col("stored") != F.col("actual"), "keep-user").when(F.col("digest") == F.col("stored"), "skip").otherwise("overwrite")
-    )
-    return wanted.join(existing, key, "full_outer").select(key, action.alias("action"))

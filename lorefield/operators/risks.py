@@ -76,9 +76,8 @@ def has_question_stem(md: Column) -> Column:
     return reduce(lambda a, b: a | b, (before.rlike(p) for p in STEMS))
 
 
-def low_cjk(md: Column) -> Column:
+def low_cjk(md: Column, front: Column) -> Column:
     """A long import that is said to be Chinese and holds no Chinese character."""
-    front = X.front_matter_map(md)
     said = reduce(lambda a, b: a | b, (F.coalesce(F.lower(F.try_element_at(front, F.lit(k))).isin(*CJK_LANGUAGES), F.lit(False)) for k in LANGUAGE_KEYS))
     marked = F.split(md, r"(?md)^## Imported Content\s*$", 2)
     body = F.when(F.size(marked) > 1, F.element_at(marked, 2)).otherwise(X.body(md))
@@ -87,18 +86,21 @@ def low_cjk(md: Column) -> Column:
 
 def document_codes(path: Column, md: Column, not_utf8: Column) -> Column:
     """Codes of a whole document, as an array."""
-    front = X.front_matter_map(md)
-    value = lambda k: F.coalesce(F.lower(F.try_element_at(front, F.lit(k))), F.lit(""))
     name = F.regexp_extract(path, "([^/]*)$", 1)
-    rules = {
-        "low-cjk-density": low_cjk(md),
-        "non-utf8-import": not_utf8,
-        "legacy-repaired-unverified": (value("repair_status") == "repaired") & (value("verify_status") != "verified"),
-        "frontmatter-repair-risk": value("repair_risk") == "needs-human-review",
-        "answer-missing-question-stem": name.rlike(ANSWER_NAMES) & md.rlike(SOLUTION_LEAD) & ~has_question_stem(md),
-        "lossy-ocr-placeholder": md.rlike(r"\\texttt\s*\{\s*\\textbf\s*\{\s*#\s*\}\s*:?\s*\}|(?<!\\)\\sharp(?!\w)"),
-    }
-    return F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in rules.items())))
+
+    def told(front: Column) -> Column:
+        value = lambda k: F.coalesce(F.lower(F.try_element_at(front, F.lit(k))), F.lit(""))
+        rules = {
+            "low-cjk-density": low_cjk(md, front),
+            "non-utf8-import": not_utf8,
+            "legacy-repaired-unverified": (value("repair_status") == "repaired") & (value("verify_status") != "verified"),
+            "frontmatter-repair-risk": value("repair_risk") == "needs-human-review",
+            "answer-missing-question-stem": name.rlike(ANSWER_NAMES) & md.rlike(SOLUTION_LEAD) & ~has_question_stem(md),
+            "lossy-ocr-placeholder": F.contains(md, F.lit("\\")) & md.rlike(r"\\texttt\s*\{\s*\\textbf\s*\{\s*#\s*\}\s*:?\s*\}|(?<!\\)\\sharp(?!\w)"),
+        }
+        return F.array_compact(F.array(*(F.when(test, F.lit(code)) for code, test in rules.items())))
+
+    return X.let(X.front_matter_map(md), told)
 
 
 def detect(docs: DataFrame, not_utf8: Column | None = None) -> DataFrame:
@@ -108,7 +110,7 @@ def detect(docs: DataFrame, not_utf8: Column | None = None) -> DataFrame:
     lines of texts that hold a defect become rows; formulas go to the scanner.
     """
     flags = F.lit(False) if not_utf8 is None else not_utf8
-    whole = docs.select("doc_id", F.explode(document_codes(F.col("path"), F.col("md"), flags)).alias("code"), F.lit(None).cast("int").alias("line_no"))
+    whole = docs.select("doc_id", F.explode_outer(document_codes(F.col("path"), F.col("md"), flags)).alias("code"), F.lit(None).cast("int").alias("line_no")).where(F.col("code").isNotNull())
     any_line = "(?md)" + "|".join(f"(?:{p})" for p in LINE_PATTERNS.values())
     rows = docs.where(F.col("md").rlike(any_line)).select("doc_id", F.posexplode(F.split("md", "\n")).alias("at", "line"))
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.lit(code)) for code, p in LINE_PATTERNS.items())))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diffing as D
+from ..operators.reconcile import Reconciler, page_print
 from ..sources.tables import table
+from .files import shared_root
 from .registry import register
 
 BEFORE = "b as (select doc_id, sha256(text) d from documents where doc_id % 10 <> 0)"
@@ -71,14 +73,48 @@ def inc_fingerprint_store(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", D.fingerprint(F.concat(F.lit("updated: 2026\n"), "text")).alias("fingerprint"))
 
 
-@register("inc_reconcile", """with w as (select doc_id, sha256(text) digest from documents where doc_id % 4 <> 0), e as (select doc_id, case when doc_id % 3 = 0 then 'old' else sha256(text) end stored, case when doc_id % 5 = 0 then 'edited' when doc_id % 3 = 0 then 'old' else sha256(text) end actual from documents where doc_id % 6 <> 0)
-select coalesce(w.doc_id, e.doc_id) doc_id, case when stored is null then 'create' when digest is null then case when stored = actual then 'retire' else 'park' end when stored <> actual then 'keep-user' when digest = stored then 'skip' else 'overwrite' end "action" from w full join e on w.doc_id = e.doc_id""")
+#: Pages of documents: two of a type, some made by a machine and some edited since; every fifth type has a page without one.
+EXAM_PAGES = """select concat('p', cast(doc_id as string), '.md') path, case when doc_id % 10 = 7 then null else concat('t', cast(doc_id - doc_id % 2 as string)) end type_id,
+ concat('rank: 0', chr(10), 'paper_count: 0', chr(10), text, case when doc_id % 3 = 0 then ' edited' else '' end) text, concat('rank: 0', chr(10), 'paper_count: 0', chr(10), text) made, doc_id from documents where doc_id % 6 <> 5"""
+#: The ranking: types of even documents that are no multiples of 8, by number.
+EXAM_RANKS = "select concat('t', cast(doc_id as string)) type_id, doc_id + 1 as rank, 1 + doc_id % 4 paper_count, concat(lpad(cast(doc_id + 1 as string), 8, '0'), '-t.md') path, concat('fresh ', cast(doc_id as string)) body from documents where doc_id % 2 = 0 and doc_id % 8 <> 0"
+
+
+def exam_state(spark, sf_dir):
+    """Pages, fingerprints and ranking of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    pages, ranks = (spark.sql(q.replace("from documents", "from {docs}"), docs=docs) for q in (EXAM_PAGES, EXAM_RANKS))
+    first = F.min_by("made", "doc_id")
+    store = pages.where("type_id is not null").groupBy("type_id").agg(page_print(first).alias("fingerprint"))
+    return pages.select("path", "type_id", "text"), store, ranks
+
+
+@register("inc_reconcile", f"""with p as ({EXAM_PAGES}), w as ({EXAM_RANKS}), s as (select type_id, sha256(min_by(made, doc_id)) digest from p where type_id is not null group by 1),
+ k as (select p.*, coalesce(sha256(p.text) = s.digest, false) is_made, w.path target, w.rank, w.paper_count, row_number() over (partition by p.type_id order by coalesce(sha256(p.text) = s.digest, false), p.path desc) nth from p left join s using (type_id) left join w using (type_id)),
+ a as (select *, type_id is not null and nth = 1 and target is not null and not is_made migrates from k),
+ fresh as (select * from w where type_id not in (select type_id from a where migrates))
+select 'pages' as "table", target as name, sha256(replace(replace(text, concat('rank: 0', chr(10)), concat('rank: ', cast(rank as string), chr(10))), concat('paper_count: 0', chr(10)), concat('paper_count: ', cast(paper_count as string), chr(10)))) digest from a where migrates
+union all select 'pages', path, sha256(body) from fresh union all select 'store', type_id, substr(sha256(body), 1, 16) from fresh union all select 'archive', path, sha256(text) from a where not migrates and not is_made""")
 def inc_reconcile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    k = F.col("doc_id")
-    stored = F.when(k % 3 == 0, "old").otherwise(F.col("digest"))
-    existing = docs.where("doc_id % 6 <> 0").select("doc_id", stored.alias("stored"), F.when(k % 5 == 0, "edited").otherwise(stored).alias("actual"))
-    return D.reconcile(docs.where("doc_id % 4 <> 0"), existing, "doc_id")
+    """Tables after a run that stopped before it had placed its pages and a second one that completed it."""
+    pages, store, ranks = exam_state(spark, sf_dir)
+    state = Reconciler(spark, shared_root(spark))
+    state.seed(pages, store)
+
+    def stop(phase: str) -> None:
+        if phase == "archive":
+            raise InterruptedError(phase)
+
+    try:
+        state.run(ranks, before=stop)
+    except InterruptedError:
+        after = state.run(ranks.where("false"))  # the plan that was written counts
+    digest = F.sha2("text", 256).alias("digest")
+    return (
+        after["pages"].select(F.lit("pages").alias("table"), F.col("path").alias("name"), digest)
+        .unionByName(after["store"].select(F.lit("store").alias("table"), F.col("type_id").alias("name"), F.col("fingerprint").alias("digest")))
+        .unionByName(after["archive"].select(F.lit("archive").alias("table"), "name", digest))
+    )
 
 
 @register("inc_skip_existing", "select doc_id from documents where doc_id % 3 <> 0")

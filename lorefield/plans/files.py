@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..sources.office import SHEET_ROWS, convert
 from ..sources.pdf import make_pdf, pdf_pages
 from ..sources.tables import table
+from ..sources.versions import publish, read_version
 from .registry import register
 
 #: Lines of a page of the files made here.
@@ -130,7 +131,8 @@ def shared_root(spark: SparkSession) -> str:
 def write_missing(rows: DataFrame, folder: str, key: str) -> DataFrame:
     """Adds the rows whose key the folder does not hold yet; the folder afterwards.
 
-    Running it again adds nothing.  Files appear when the job commits, all or none.
+    Running it again adds nothing.  Files appear when the job commits, all or none.  Runs
+    must follow one another: two at once could add a key twice.
     """
     spark = rows.sparkSession
     try:
@@ -152,15 +154,12 @@ def sink_idempotent(spark, sf_dir):
 
 
 def replace_table(rows: DataFrame, folder: str) -> DataFrame:
-    """Replaces a table as a whole: readers find the old one or the new one, named by a pointer that moves last."""
-    spark, version = rows.sparkSession, uuid.uuid4().hex
-    rows.write.parquet(f"{folder}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-    return current_table(spark, folder)
+    """Replaces a table as a whole: readers find the old version or the new one, never none."""
+    return read_version(rows.sparkSession, folder, publish(rows, folder))
 
 
 def current_table(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{spark.read.parquet(f'{folder}/current').first().version}")
+    return read_version(spark, folder)
 
 
 @register("sink_atomic", "select doc_id, 'new' state from documents")

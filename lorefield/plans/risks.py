@@ -244,7 +244,7 @@ def risk_left_right(spark, sf_dir):
 
 @register("risk_low_cjk", f"with {RISKS} select doc_id from risks where code = 'low-cjk-density'")
 def risk_low_cjk(spark, sf_dir):
-    return risky_sidecars(spark, sf_dir).where(R.low_cjk(F.col("md"))).select("doc_id")
+    return risky_sidecars(spark, sf_dir).where(R.low_cjk(F.col("md"), X.front_matter_map(F.col("md")))).select("doc_id")
 
 
 @register("fn_mojibake", "with t as (select doc_id, regexp_replace(text, '\\s', '', 'g') x from documents), m as (select doc_id, length(x) n, len(regexp_extract_all(x, '[\u0080-ÿ‘-‰�]')) hits, len(regexp_extract_all(x, '[\u4e00-\u9fff]')) cjk from t) select doc_id, case when n = 0 then 0.0 else round_even(cast(hits as double) / n, 4) end mojibake_ratio, case when n = 0 then 0.0 else round_even(cast(cjk as double) / n, 4) end cjk_ratio, n >= 200 and cast(hits as double) / nullif(n, 0) >= 0.15 and cast(cjk as double) / nullif(n, 0) <= 0.01 suspect from m")

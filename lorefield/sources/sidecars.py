@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import dealt_table
+from .tables import dealt_table, table
 
 #: One SQL expression that both engines understand.
 SIDECAR_SQL = """concat(
@@ -37,7 +37,7 @@ SIDECARS_CTE = "sidecars as (select doc_id, source, concat('imports/', source, '
 
 def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, path, md``."""
-    docs = dealt_table(spark, sf_dir, "documents", "doc_id")
+    docs = table(spark, sf_dir, "documents")
     path = F.concat(F.lit("imports/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf.md"))
     return docs.select("doc_id", "source", path.alias("path"), F.expr(SIDECAR_SQL).alias("md"))
 

@@ -121,13 +121,6 @@ def test_cascade_reports_ambiguous_and_taken(spark):
     assert got == {"p1": ("bound", "n1"), "p2": ("ambiguous", None), "p3": ("missing", None)}
 
 
-def test_reconcile(spark):
-    wanted = spark.createDataFrame([("new", "1"), ("same", "1"), ("stale", "2"), ("mine", "2")], "k string, digest string")
-    held = spark.createDataFrame([("same", "1", "1"), ("stale", "1", "1"), ("mine", "1", "x"), ("gone", "1", "1"), ("kept", "1", "x")], "k string, stored string, actual string")
-    got = dict(D.reconcile(wanted, held, "k").collect())
-    assert got == {"new": "create", "same": "skip", "stale": "overwrite", "mine": "keep-user", "gone": "retire", "kept": "park"}
-
-
 def _zip(parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
