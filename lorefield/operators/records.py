@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 from .pages import codes
 
 # Labels that records may bear.
@@ -185,49 +187,70 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(slashes(F.coalesce(path, F.lit(""))), r"\A(?:\./)+", "")
 
 
+def _suffixes(path: Column) -> Column:
+    """A path, and what is left of it below each of its folders."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def bind(papers: DataFrame, notes: DataFrame) -> DataFrame:
-    """Annotations bound to papers by the first of five rules that finds any.
+    """Annotations bound to papers in their order, each by the first of five rules that finds any.
 
     ``papers``: ``seq, stem, path, annotation`` (the declared file, or null); ``notes``:
     ``file, source``.  Exact file, file of that name, file named after the source's
     suffix, exact source, source that is a suffix of the path or the other way round.
-    Every rule is an equi join: of whole paths, of base names, and for the last of base
-    names with the suffix tested on what meets.  Two files by one rule are ambiguous,
-    a file is bound once (the paper that comes first has it), and a loose source that
-    fits other papers too is bound to none.
+    Two files by one rule are ambiguous.  A file is bound once: a paper that wants one that
+    an earlier paper has gets an error by the first three rules, and does not see it by
+    the last two.  A loose source that fits other papers too, but for those bound before, is
+    bound to none.  So a binding may free another paper from ambiguity, or take its file.
+
+    What a paper wants depends on earlier papers alone.  Rounds work it out for all papers
+    at once from who had which file in the round before, until nothing changes; each is a
+    few equi joins, and the first k papers of any chain are right after k rounds.  Rules by
+    name are joins of base names; sources meet paths by their suffixes, so only pairs that
+    fit become rows.
 
     Returns ``stem, file, tier, error``; a paper without any is not told.
     """
-    p = papers.select("seq", "stem", normal_path(F.col("path")).alias("path"), normal_path(F.coalesce(F.nullif("annotation", F.lit("")), F.concat(F.lit("annotations/"), "stem", F.lit(".json")))).alias("exact"))
     base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
-    n = notes.select(F.col("file"), base(F.col("file")).alias("name"), normal_path(F.col("source")).alias("source"))
-    tail = lambda c: base(F.col(c))
-    p, n = p.withColumn("end", tail("path")), n.withColumn("end", tail("source"))
+    p = papers.select("seq", "stem", normal_path(F.col("path")).alias("path"), normal_path(F.coalesce(F.nullif("annotation", F.lit("")), F.concat(F.lit("annotations/"), "stem", F.lit(".json")))).alias("exact")).where("stem <> ''")
+    n = notes.select("file", base(F.col("file")).alias("name"), normal_path(F.col("source")).alias("source"))
     named = F.array_distinct(F.array(base(F.col("exact")), F.concat("stem", F.lit(".json"))))
     alias = F.array(F.concat("stem", F.lit(".pdf.md.json")), F.concat("stem", F.lit(".md.json")))
-    ends = lambda a, b: F.endswith(a, F.concat(F.lit("/"), b))
-    cols = ["seq", "stem", "file"]
-    tiers = [
-        p.join(n, F.col("exact") == F.col("file")).select(*cols, F.lit(1).alias("tier")),
-        p.withColumn("name", F.explode(named)).join(n.drop("end"), "name").where("file <> exact").select(*cols, F.lit(2)),
-        p.withColumn("name", F.explode(alias)).join(n.drop("end"), "name").select(*cols, F.lit(3)),
-        p.where("path <> ''").join(n.drop("end"), F.col("source") == F.col("path")).select(*cols, F.lit(4)),
-        p.where("path <> ''").join(n.where("source <> ''"), "end").where((F.col("source") != F.col("path")) & (ends(F.col("source"), F.col("path")) | ends(F.col("path"), F.col("source")))).select(*cols, F.lit(5)),
-    ]
-    found = reduce(DataFrame.union, tiers).distinct()
-    best = found.groupBy("seq", "stem").agg(F.min("tier").alias("tier"))
-    held = found.join(best, ["seq", "stem", "tier"])
-    each = held.groupBy("seq", "stem", "tier").agg(F.count("*").alias("n"), F.min("file").alias("file"))
-    # a loose source must fit one paper only, and a file goes to the paper that comes first
-    wide = held.where("tier = 5").groupBy("file").agg(F.count_distinct("stem").alias("fits"))
-    each = each.join(wide, "file", "left")
-    first = each.where("n = 1 and coalesce(fits, 1) = 1").groupBy("file").agg(F.min("seq").alias("taken"))
-    told = each.join(first, "file", "left")
-    error = (
-        F.when((F.col("n") > 1) & (F.col("tier") == 2), "ambiguous_preferred_annotation")
-        .when(F.col("n") > 1, "ambiguous_annotation_fallback")
-        .when((F.col("tier") == 5) & (F.col("fits") > 1), "ambiguous_source_fallback")
-        .when(F.col("taken") != F.col("seq"), "annotation_already_bound")
-    )
-    told = told.where(~F.coalesce((F.col("tier") >= 4) & (F.col("taken") != F.col("seq")), F.lit(False)))  # by source only files that are free
-    return told.select("stem", F.when(error.isNull(), F.col("file")).alias("file"), "tier", error.alias("error"))
+    by_name = lambda names, tier: p.withColumn("name", F.explode(names)).join(n, "name").where("file <> exact").select("seq", "stem", "file", F.lit(tier).alias("tier")).distinct()
+    tiers = [p.join(n, F.col("exact") == F.col("file")).select("seq", "stem", "file", F.lit(1).alias("tier")), by_name(named, 2), by_name(alias, 3)]
+    found = reduce(DataFrame.union, tiers)
+    fixed = found.groupBy("seq", "stem").agg(F.min("tier").alias("tier")).join(found, ["seq", "stem", "tier"]).groupBy("seq", "stem", "tier").agg(F.count("*").alias("n"), F.min("file").alias("file"))
+    fixed = materialise(fixed)
+    sources, paths = n.where("source <> ''").select("file", "source"), p.where("path <> ''").select("seq", "stem", "path")
+    fits = (
+        paths.withColumn("source", F.explode(_suffixes(F.col("path")))).join(sources, "source")
+        .unionByName(sources.withColumn("path", F.explode(_suffixes(F.col("source")))).join(paths, "path"))
+        .select("seq", "stem", "file", (F.col("source") == F.col("path")).alias("same")).distinct()
+    )
+    fits = materialise(fits)
+    open_ = materialise(fits.join(fixed, "seq", "left_anti"))
+    wants = fixed.where("n = 1").select("seq", "stem", "file", "tier", F.lit(True).alias("sure"))
+    while True:  # ends, as each round settles one paper more at least
+        wants = materialise(wants)
+        taken = wants.where("sure").groupBy("file").agg(F.min("seq").alias("by"))
+        bound = wants.where("sure").join(taken, "file").where("seq = by").select(F.col("stem").alias("other"), F.col("seq").alias("other_seq"), F.lit(True).alias("is_bound"))
+        free = open_.join(taken, "file", "left").where("by is null or by >= seq").drop("by")
+        best = free.groupBy("seq", "stem").agg(F.count_if("same").alias("exact"), F.count("*").alias("n"), F.min_by("file", F.struct(~F.col("same"), "file")).alias("file"))
+        chosen = best.select("seq", "stem", "file", F.when(F.col("exact") > 0, 4).otherwise(5).alias("tier"), (F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("n")) == 1).alias("one"))
+        # a loose source must fit no other paper, but for those that an earlier binding has served
+        loose = chosen.where("tier = 5 and one").select("seq", "stem", "file").join(fits.select("file", F.col("stem").alias("other")).distinct(), "file").where("other <> stem")
+        shared = loose.join(bound, "other", "left").where("is_bound is null or other_seq >= seq").select("seq").distinct().withColumn("shared", F.lit(True))
+        told = chosen.join(shared, "seq", "left").select("seq", "stem", "file", "tier", (F.col("one") & F.col("shared").isNull()).alias("sure"))
+        now = fixed.where("n = 1").select("seq", "stem", "file", "tier", F.lit(True).alias("sure")).unionByName(told)
+        same = now.exceptAll(wants).isEmpty() and wants.exceptAll(now).isEmpty()
+        if same:
+            break
+        wants = now
+    taken = wants.where("sure").groupBy("file").agg(F.min("seq").alias("by"))
+    many = fixed.where("n > 1").select("seq", "stem", F.lit(None).cast("string").alias("file"), "tier", F.when(F.col("tier") == 2, "ambiguous_preferred_annotation").otherwise("ambiguous_annotation_fallback").alias("error"))
+    late = wants.join(taken, "file", "left").select(
+        "seq", "stem", "file", "tier",
+        F.when(~F.col("sure"), F.when(F.col("tier") == 4, "ambiguous_annotation_fallback").otherwise("ambiguous_source_fallback")).when(F.col("by") != F.col("seq"), "annotation_already_bound").alias("error"),
+    )
+    return many.unionByName(late).select("stem", F.when(F.col("error").isNull(), F.col("file")).alias("file"), "tier", "error")

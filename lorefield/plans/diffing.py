@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import diffing as D
 from ..operators.reconcile import Reconciler, page_print
+from ..sources.shared import shared_root
 from ..sources.tables import table
-from .files import shared_root
+from ..streaming.increment import convert_new
 from .registry import register
 
 BEFORE = "b as (select doc_id, sha256(text) d from documents where doc_id % 10 <> 0)"
@@ -117,10 +118,17 @@ def inc_reconcile(spark, sf_dir):
     )
 
 
-@register("inc_skip_existing", "select doc_id from documents where doc_id % 3 <> 0")
+@register("inc_skip_existing", """with d as (select doc_id, text, case when doc_id % 3 = 0 then 'first' when doc_id % 3 = 1 then 'second' else 'third' end made_by from documents)
+select doc_id, made_by, sha256(concat(made_by, ' ', text)) digest from d""")
 def inc_skip_existing(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(docs.where("doc_id % 3 = 0"), "doc_id", "left_anti")
+    """A folder that grows by three drops, each with what was there before in new words; what exists is not converted again."""
+    folder, docs = shared_root(spark), table(spark, sf_dir, "documents").select("doc_id", "text")
+    for k, name in enumerate(("first", "second", "third")):
+        drop = docs.where(F.col("doc_id") % 3 <= k).withColumn("made_by", F.lit(name))
+        drop.write.parquet(f"{folder}/in/{name}")
+        convert = lambda rows: rows.select("doc_id", "made_by", F.sha2(F.concat_ws(" ", "made_by", "text"), 256).alias("digest"))
+        done = convert_new(spark, f"{folder}/in", "doc_id bigint, text string, made_by string", f"{folder}/out", f"{folder}/progress", "doc_id", "made_by", convert)
+    return done.select("doc_id", "made_by", "digest")
 
 
 @register("inc_stale_guard", "select doc_id, sha256(text) = sha256(case when doc_id % 7 = 0 then concat(text, '!') else text end) fresh from documents")

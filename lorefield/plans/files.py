@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.office import SHEET_ROWS, convert
 from ..sources.pdf import make_pdf, pdf_pages
+from ..sources.shared import shared_root
 from ..sources.tables import table
 from ..sources.versions import publish, read_version
 from .registry import register
@@ -117,17 +116,6 @@ def src_xlsx(spark, sf_dir):
 # sinks that write
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A new folder below the one that all machines share; on a single machine without one, a temporary one."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="lorefield-")
-    return f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
-
-
 def write_missing(rows: DataFrame, folder: str, key: str) -> DataFrame:
     """Adds the rows whose key the folder does not hold yet; the folder afterwards.
 

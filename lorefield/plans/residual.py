@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import diffing as D
+from ..sources.headers import HEADER_BYTES, headers, import_sidecars
+from ..sources.shared import shared_root
 from ..sources.sidecars import LINES_CTE, SIDECARS_CTE, lines, sidecars
 from ..sources.tables import table
+from ..sources.vault import write_files
 from .registry import register
 
 
@@ -20,10 +23,20 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-@register("scan_import_sidecars", f"with {SIDECARS_CTE} select doc_id, path from sidecars where contains(substr(md, 1, 65536), 'source_file:') and ends_with(lower(path), '.pdf.md')")
+#: Files of documents: imports, raw ones, and pages that may say what they are derived from; each holds its text four times.
+VAULT_FILES = """select doc_id, concat(source, '/', cast(doc_id as string), case doc_id % 4 when 0 then '.pdf.md' when 1 then '.pdf.raw.md' else '.md' end) as path,
+ concat('---', chr(10), case when doc_id % 4 = 2 then concat('derived_from_import: ', cast(doc_id as string), chr(10)) else '' end, 'source_file: ', source, chr(10), '---', chr(10), text, text, text, text) md from documents"""
+
+
+@register("scan_import_sidecars", f"""with f as ({VAULT_FILES}) select path, cast(octet_length(encode(md)) as bigint) size, least(octet_length(encode(md)), 65536) header_bytes, sha256(substr(md, 1, 16000)) head from f where doc_id % 4 in (0, 2)""")
 def scan_import_sidecars(spark, sf_dir):
-    head = F.substring("md", 1, 65536)  # the header decides before the text is looked at
-    return sidecars(spark, sf_dir).where(head.contains("source_file:") & F.lower("path").endswith(".pdf.md")).select("doc_id", "path")
+    """Imports of a vault by name and header: of each file 65,536 bytes are read at most."""
+    folder = shared_root(spark)
+    files = spark.sql(VAULT_FILES.replace("from documents", "from {docs}"), docs=table(spark, sf_dir, "documents"))
+    write_files(files.select("path", "md"), folder)
+    found = import_sidecars(headers(spark, folder))
+    inner = F.substring(F.col("path"), F.length(F.lit(folder.removeprefix("file://"))) + 2, F.lit(1 << 20))
+    return found.select(inner.alias("path"), "size", F.least(F.col("size"), F.lit(HEADER_BYTES)).cast("int").alias("header_bytes"), F.sha2(F.encode(F.substring("text", 1, 16000), "UTF-8"), 256).alias("head"))
 
 
 @register("scan_sidecars", f"with {SIDECARS_CTE} select path, regexp_replace(path, '\\.pdf\\.md$', '.raw.md') raw_path from sidecars")

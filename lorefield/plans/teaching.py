@@ -544,28 +544,40 @@ def dup_blocks(md):
 # --------------------------------------------------------------------------
 # binding and canonical papers
 
-#: Declared papers, files of annotations with their sources, and what binds to what; every course has all of them.
-PAPERS = [
-    (1, "2019-a", "papers/2019-a.pdf.md", "annotations/2019-a.json"), (2, "2020-b", "papers/2020-b.pdf.md", None), (3, "2021-c", "papers/2021-c.pdf.md", "annotations/sub/2021-c.json"), (4, "2022-d", "papers/2022-d.pdf.md", None),
-    (5, "2023-e", "./papers/2023-e.pdf.md", None), (6, "2024-f", "papers/x/2024-f.pdf.md", None), (7, "2025-g", "papers/2025-g.pdf.md", None), (8, "dup", "papers/p1/dup.pdf.md", None), (9, "dup2", "papers/p2/dup.pdf.md", None), (10, "none", "papers/none.pdf.md", None),
-    (11, "again", "papers/again.pdf.md", "annotations/2019-a.json"),
-]
-NOTES = [
-    ("annotations/2019-a.json", "papers/2019-a.pdf.md"), ("annotations/old/2020-b.json", ""), ("annotations/2021-c.json", ""), ("annotations/2022-d.pdf.md.json", ""), ("annotations/e-note.json", "papers/2023-e.pdf.md"), ("annotations/f-note.json", "x/2024-f.pdf.md"),
-    ("annotations/u/2025-g.json", ""), ("annotations/v/2025-g.json", ""), ("annotations/loose.json", "dup.pdf.md"),
-]
-BOUND = [
-    ("2019-a", "annotations/2019-a.json", 1, None), ("2020-b", "annotations/old/2020-b.json", 2, None), ("2021-c", "annotations/2021-c.json", 2, None), ("2022-d", "annotations/2022-d.pdf.md.json", 3, None), ("2023-e", "annotations/e-note.json", 4, None), ("2024-f", "annotations/f-note.json", 5, None),
-    ("2025-g", None, 2, "ambiguous_preferred_annotation"), ("dup", None, 5, "ambiguous_source_fallback"), ("dup2", None, 5, "ambiguous_source_fallback"), ("again", None, 1, "annotation_already_bound"),
-]
-
-
-@register("join_annotation_cascade", "select * from (values " + ", ".join(f"({sql_literal(a)}, {sql_literal(b)}, {c}, {sql_literal(d)})" for a, b, c, d in BOUND) + ") v(stem, file, tier, error)")
+def _cascade(spark, sf_dir):
+    """Ten papers for every ten documents, and their annotations.
+
+    0 has its file, 1 declares the same one, 2 has a file in another folder, 3 a file by its source, 4 declares
+    one of the two files whose source is 5's path, so that 5 has one left; 6 has a loose source; the loose source
+    of 8 fits 7 too, which is bound before by its own file; 9 has two files named after its source.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("r"), F.floor(F.col("doc_id") / 10).cast("string").alias("g"))
+    docs = docs.withColumn("stem", F.concat(F.lit("p"), "g", F.lit("-"), F.col("r").cast("string")))
+    of = lambda *parts: F.concat(*(F.lit(x) if not x.startswith("@") else F.col(x[1:]) for x in parts))
+    path = F.when(F.col("r") == 6, of("./papers/x/", "@stem", ".pdf.md")).when(F.col("r").isin(7, 8), F.concat(F.lit("papers/p"), F.col("r").cast("string"), F.lit("/d"), "g", F.lit(".pdf.md"))).otherwise(of("papers/", "@stem", ".pdf.md"))
+    declared = F.when(F.col("r") == 1, of("annotations/p", "@g", "-0.json")).when(F.col("r") == 4, of("annotations/n", "@g", "-5a.json"))
+    papers = docs.select(F.col("doc_id").alias("seq"), "stem", path.alias("path"), declared.alias("annotation"))
+    note = lambda file, source=F.lit(""): F.struct(file.alias("file"), source.alias("source"))
+    own = of("papers/", "@stem", ".pdf.md")
+    files = (
+        F.when(F.col("r").isin(0, 7), F.array(note(of("annotations/", "@stem", ".json"))))
+        .when(F.col("r") == 2, F.array(note(of("annotations/old/", "@stem", ".json"))))
+        .when(F.col("r") == 3, F.array(note(of("annotations/n", "@g", "-3.json"), own)))
+        .when(F.col("r") == 5, F.array(note(of("annotations/n", "@g", "-5a.json"), own), note(of("annotations/n", "@g", "-5b.json"), own)))
+        .when(F.col("r") == 6, F.array(note(of("annotations/m", "@g", "-6.json"), of("x\\", "@stem", ".pdf.md"))))
+        .when(F.col("r") == 8, F.array(note(of("annotations/m", "@g", "-7.json"), of("d", "@g", ".pdf.md"))))
+        .when(F.col("r") == 9, F.array(note(of("annotations/", "@stem", ".pdf.md.json")), note(of("annotations/", "@stem", ".md.json"))))
+    )
+    return papers, docs.select(F.explode(files).alias("x")).select("x.*")
+
+
+@register("join_annotation_cascade", """with d as (select doc_id % 10 r, cast(doc_id // 10 as string) g, concat('p', cast(doc_id // 10 as string), '-', cast(doc_id % 10 as string)) stem from documents)
+select stem, case r when 0 then concat('annotations/', stem, '.json') when 2 then concat('annotations/old/', stem, '.json') when 3 then concat('annotations/n', g, '-3.json') when 4 then concat('annotations/n', g, '-5a.json')
+ when 5 then concat('annotations/n', g, '-5b.json') when 6 then concat('annotations/m', g, '-6.json') when 7 then concat('annotations/', stem, '.json') when 8 then concat('annotations/m', g, '-7.json') end file,
+ cast([1, 1, 2, 4, 1, 4, 5, 1, 5, 3][r + 1] as int) tier, case r when 1 then 'annotation_already_bound' when 9 then 'ambiguous_annotation_fallback' end error from d""")
 def join_annotation_cascade(spark, sf_dir):
-    """Five rules over declared papers, with ambiguity, one binding for each file, and loose sources."""
-    papers = spark.createDataFrame(PAPERS, "seq int, stem string, path string, annotation string")
-    notes = spark.createDataFrame(NOTES, "file string, source string")
-    return R.bind(papers, notes)
+    """Five rules in the order of papers, where bindings free others and take files from later papers."""
+    return R.bind(*_cascade(spark, sf_dir))
 
 
 @register(

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of input for each core from which a scan keeps all cores busy by itself.
 DEAL_BYTES = 64 << 20
+#: Smaller tables are read faster than they are dealt out.
+DEAL_LEAST = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,9 @@ def dealt_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFr
     """A table for expressions that cost far more than moving a row.
 
     Files with less than DEAL_BYTES for each core, perhaps of a single row group, would keep few of
-    them busy, so their rows are dealt out by ``key``; larger tables stay where they are.
+    them busy, so their rows are dealt out by ``key``; larger (and tiny) tables stay where they are.
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if held < cores * DEAL_BYTES else df
+    return df.repartition(cores, key) if DEAL_LEAST <= held < cores * DEAL_BYTES else df

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +32,25 @@ def json_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One row for each JSON file, with its path; the key of an annotation is the path with double underscores."""
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
     return rows.withColumn("path", F.col("_metadata.file_path"))
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """Writes ``path, text`` rows as UTF-8 files below a folder that all machines see; their number.
+
+    A file appears whole, by renaming; a task that is done again writes the same files.
+    """
+    root = folder.removeprefix("file://")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = os.path.join(root, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with open(part, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+                os.replace(part, target)
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    names = rows.columns
+    return rows.select(*(F.col(c).cast("string") for c in names[:2])).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -154,3 +154,39 @@ def test_streaming_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select sum(n) from lorefield_counts").first()[0] == source.count()
+
+
+#: Papers, annotations with their sources, and what binds to what, worked out by hand.
+PAPERS = [
+    (1, "2019-a", "papers/2019-a.pdf.md", "annotations/2019-a.json"), (2, "2020-b", "papers/2020-b.pdf.md", None), (3, "2021-c", "papers/2021-c.pdf.md", "annotations/sub/2021-c.json"), (4, "2022-d", "papers/2022-d.pdf.md", None),
+    (5, "2023-e", "./papers/2023-e.pdf.md", None), (6, "2024-f", "papers/x/2024-f.pdf.md", None), (7, "2025-g", "papers/2025-g.pdf.md", None), (8, "dup", "papers/p1/dup.pdf.md", None), (9, "dup2", "papers/p2/dup.pdf.md", None), (10, "none", "papers/none.pdf.md", None),
+    (11, "again", "papers/again.pdf.md", "annotations/2019-a.json"), (12, "late", "papers/2023-e.pdf.md", None),
+]
+NOTES = [
+    ("annotations/2019-a.json", "papers/2019-a.pdf.md"), ("annotations/old/2020-b.json", ""), ("annotations/2021-c.json", ""), ("annotations/2022-d.pdf.md.json", ""), ("annotations/e-note.json", "papers/2023-e.pdf.md"), ("annotations/f-note.json", "x/2024-f.pdf.md"),
+    ("annotations/u/2025-g.json", ""), ("annotations/v/2025-g.json", ""), ("annotations/loose.json", "dup.pdf.md"),
+]
+BOUND = [
+    ("2019-a", "annotations/2019-a.json", 1, None), ("2020-b", "annotations/old/2020-b.json", 2, None), ("2021-c", "annotations/2021-c.json", 2, None), ("2022-d", "annotations/2022-d.pdf.md.json", 3, None), ("2023-e", "annotations/e-note.json", 4, None), ("2024-f", "annotations/f-note.json", 5, None),
+    ("2025-g", None, 2, "ambiguous_preferred_annotation"), ("dup", None, 5, "ambiguous_source_fallback"), ("dup2", None, 5, "ambiguous_source_fallback"), ("again", None, 1, "annotation_already_bound"),
+]
+
+
+def test_cascade_of_papers_by_hand(spark):
+    from lorefield.operators import records as R
+
+    got = R.bind(spark.createDataFrame(PAPERS, "seq int, stem string, path string, annotation string"), spark.createDataFrame(NOTES, "file string, source string"))
+    assert sorted(map(tuple, got.collect())) == sorted(BOUND)
+
+
+def test_bindings_free_each_other_along_a_chain(spark):
+    """Paper k could have notes k and k + 1; each binding leaves the next paper one."""
+    from lorefield.operators import records as R
+
+    papers = [(0, "s0", "x/0.md", "n/0.json")] + [(k, f"s{k}", f"x/{k}.md", None) for k in range(1, 6)]
+    notes = [("n/0.json", "x/1.md")] + [(f"n/{k}{side}.json", f"x/{k}.md") for k in range(1, 6) for side in "ab"]
+    papers[1] = (1, "s1", "x/1.md", "n/1a.json")
+    papers += [(10 + k, f"t{k}", "", f"n/{k}a.json") for k in range(2, 4)]
+    got = {r.stem: (r.file, r.error) for r in R.bind(spark.createDataFrame(papers, "seq int, stem string, path string, annotation string"), spark.createDataFrame(notes, "file string, source string")).collect()}
+    assert got["s0"] == ("n/0.json", None) and got["s1"] == ("n/1a.json", None) and got["t2"] == ("n/2a.json", None)
+    assert got["s2"] == (None, "ambiguous_annotation_fallback")  # the paper that takes one of its two files comes later
