@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.python import per_value
+from ..sources.shared import materialise
 from . import repair as P
 from . import risks as R
 from .records import blank, is_json, is_object, parsed
@@ -93,6 +94,7 @@ def review_proposals(proposals: DataFrame, cases: DataFrame, files: DataFrame, s
         "by_spans": F.col("spans").isNotNull(),
         "after": F.coalesce("replacement", per_value(P.apply_spans)(F.col("before"), F.col("spans"))),
     })
+    rows = materialise(rows)  # what follows looks at these columns many times
     names = F.concat(
         F.when(F.col("says.evidence_mode") == "vision-assisted", F.transform("shown.vision.pages", lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"), F.lit("page").alias("kind")))).otherwise(F.array()),
         F.when(F.col("says.evidence_mode") == "ocr-assisted", F.array(F.struct(F.col("shown.ocr.path").alias("path"), F.col("shown.ocr.sha256").alias("sha256"), F.lit("ocr").alias("kind")))).otherwise(F.array()),
@@ -108,7 +110,8 @@ def review_proposals(proposals: DataFrame, cases: DataFrame, files: DataFrame, s
     })
     found = F.concat(F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(code)) for code, test in _rules().items()))), F.coalesce("broken", F.array().cast("array<string>")))
     unread = F.col("after").isNull() & F.col("target_path").isNotNull()
-    coded = rows.select("id", F.explode(F.when(unread, F.array(F.lit("proposal-marker-invalid"))).otherwise(F.array_distinct(found))).alias("code"))
+    # outer, as the optimizer would otherwise work out all rules once more, to leave out empty arrays before
+    coded = rows.select("id", F.explode_outer(F.when(unread, F.array(F.lit("proposal-marker-invalid"))).otherwise(F.array_distinct(found))).alias("code")).where(F.col("code").isNotNull())
     governed = rows.where("after is not null").select(F.col("id").alias("doc_id"), F.coalesce("target", F.lit("")).alias("path"), P.govern(F.col("after"), F.lit(True)).alias("md"))
     left = R.detect(governed).select(F.col("doc_id").alias("id"), F.concat(F.lit("remaining-"), "code").alias("code")).distinct()
     mild = F.col("code").isin(*WARNINGS) | (F.startswith("code", F.lit("remaining-")) & ~F.substring("code", 11, 100).isin(*R.BLOCKING))

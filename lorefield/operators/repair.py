@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.python import per_value
-from ..functions.text import front_matter
+from ..functions.text import front_matter, let
 from .mathscan import clean_noise
 
 #: Ordered (pattern, replacement) rules (fixed values); a broken marker of n signs becomes n signs together.
@@ -54,23 +54,36 @@ def _line_at(line: Column, block: Column) -> Column:
     return F.position(F.concat(F.lit("\n"), line), F.concat(F.lit("\n"), block))
 
 
+def _in_block(text: Column, change) -> Column:
+    """A text whose front matter is changed by a function of the block; one without any stays."""
+    put = lambda front: F.overlay(text, change(front), F.position(front, text), F.char_length(front))
+    return let(front_matter(text), lambda front: F.when(front.isNull(), text).otherwise(put(front)))
+
+
+def _set(front: Column, name: str, value: Column) -> Column:
+    new = F.concat(F.lit(f"{name}: "), value)
+    changed = lambda line: F.when(line == "", F.concat(front, F.lit("\n"), new)).otherwise(F.overlay(front, new, _line_at(line, front), F.char_length(line)))
+    return let(F.regexp_extract(front, f"(?md)^{name}:.*$", 0), changed)
+
+
+def _drop(front: Column, name: str) -> Column:
+    block = F.concat(front, F.lit("\n"))
+
+    def without(line: Column) -> Column:
+        less = F.overlay(block, F.lit(""), _line_at(line, block), F.char_length(line))
+        return F.when(line == "", front).otherwise(let(less, lambda v: F.left(v, F.char_length(v) - 1)))
+
+    return let(F.regexp_extract(block, f"(?md)^{name}:[^\n]*\n", 0), without)
+
+
 def set_field(text: Column, name: str, value: Column) -> Column:
     """Sets ``name`` in the front matter: its first line there is replaced, or one is added at the end of the block."""
-    front = front_matter(text)
-    line = F.regexp_extract(front, f"(?md)^{name}:.*$", 0)
-    new = F.concat(F.lit(f"{name}: "), value)
-    changed = F.when(line == "", F.concat(front, F.lit("\n"), new)).otherwise(F.overlay(front, new, _line_at(line, front), F.char_length(line)))
-    return F.when(front.isNull(), text).otherwise(F.overlay(text, changed, F.position(front, text), F.char_length(front)))
+    return _in_block(text, lambda front: _set(front, name, value))
 
 
 def drop_field(text: Column, name: str) -> Column:
     """Takes the first ``name`` line out of the front matter."""
-    front = front_matter(text)
-    block = F.concat(front, F.lit("\n"))
-    line = F.regexp_extract(block, f"(?md)^{name}:[^\n]*\n", 0)
-    less = F.overlay(block, F.lit(""), _line_at(line, block), F.char_length(line))
-    held = F.left(less, F.char_length(less) - 1)
-    return F.when(front.isNull() | (line == ""), text).otherwise(F.overlay(text, held, F.position(front, text), F.char_length(front)))
+    return _in_block(text, lambda front: _drop(front, name))
 
 
 SOURCE_STATUS = r"(?mds)(^## Source[ \t]*$(?:(?!^## ).)*?^- Repair status:)[ \t]*(?:raw|repaired)?[ \t]*$"
@@ -78,10 +91,14 @@ SOURCE_STATUS = r"(?mds)(^## Source[ \t]*$(?:(?!^## ).)*?^- Repair status:)[ \t]
 
 def govern(text: Column, needs_review: Column) -> Column:
     """Marks a machine repair: not verified, with a risk where a person has to look; the risk goes where none has."""
-    told = F.regexp_replace(set_field(text, "repair_status", F.lit("auto-repaired")), SOURCE_STATUS, "$1 auto-repaired")
-    marked = set_field(told, "verify_status", F.lit("unverified"))
-    risk = F.regexp_extract(front_matter(text), r"(?md)^repair_risk:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)
-    return F.when(needs_review, set_field(marked, "repair_risk", F.lit("needs-human-review"))).when(risk == "needs-human-review", drop_field(marked, "repair_risk")).otherwise(marked)
+    asked = "needs-human-review"
+
+    def block(front: Column) -> Column:
+        risk = F.regexp_extract(front, r"(?md)^repair_risk:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)
+        marked = let(_set(front, "repair_status", F.lit("auto-repaired")), lambda f: _set(f, "verify_status", F.lit("unverified")))
+        return let(marked, lambda f: F.when(needs_review, _set(f, "repair_risk", F.lit(asked))).when(risk == asked, _drop(f, "repair_risk")).otherwise(f))
+
+    return F.regexp_replace(_in_block(text, block), SOURCE_STATUS, "$1 auto-repaired")
 
 
 # --------------------------------------------------------------------------
