@@ -30,11 +30,6 @@ def cls_source_evidence(spark, sf_dir):
     return _side(spark, sf_dir).select("doc_id", F.when(has, F.when(X.field(_md(), "repair_status") == "auto-repaired", "raw").otherwise("source")).otherwise("none").alias("evidence"))
 
 
-@register("sel_sections", f"with {LINES_CTE} select doc_id, string_agg(line, chr(10) order by line_no) body from lines where line_no between 2 and 4 group by 1")
-def sel_sections(spark, sf_dir):
-    return _side(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.split("md", "\n"), 2, 3), "\n").alias("body"))
-
-
 @register("explode_baseline", "select conv_id, unnest(string_split(text, '. ')) sentence from conversations")
 def explode_baseline(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", r"\. ")).alias("sentence"))

@@ -152,9 +152,63 @@ def fmt_task_line(spark, sf_dir):
     return tasks(spark, sf_dir).select("id", F.concat(F.lit("- ["), "course", F.lit("] "), F.col("id").cast("string"), F.lit(" due "), due, F.lit(" ("), "priority", F.lit(")")).alias("line"))
 
 
-@register("sink_week_plan", f"with {TASKS}, l as (select course, concat('- ', cast(due as string), ' ', cast(id as string)) line, due, id from tasks where status = 'active' and due between date '{TODAY}' and date '{TODAY}' + {DAYS}) select course, concat('## ', course, chr(10), string_agg(line, chr(10) order by due, id)) page from l group by course")
+# --------------------------------------------------------------------------
+# pages: a plan and a dashboard for each customer
+
+#: Customers' tasks with the sections that they belong to; a task without a priority is in the inbox.
+OWN_TASKS = f"""own as (select o_custkey who, o_orderkey id, cast(o_orderdate as date) due, o_orderpriority priority from orders where o_orderstatus = 'O'),
+ placed as (select *, due < date '{TODAY}' overdue, due between date '{TODAY}' and date '{TODAY}' + {DAYS} upcoming, contains(priority, 'NOT SPECIFIED') inbox, contains(priority, 'URGENT') and due <= date '{TODAY}' + {DAYS} exam from own)"""
+HEAD = f"---\ntype: weekly-dashboard\nstatus: active\ncreated: {TODAY}\nupdated: {TODAY}\ntags: [planning, weekly, dashboard]\n---\n\n# Weekly Dashboard - "
+
+
+def placed_tasks(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("due"), F.col("o_orderpriority").alias("priority"))
+    exam = F.contains("priority", F.lit("URGENT")) & (F.col("due") <= _horizon())
+    return own.select("*", (F.col("due") < _today()).alias("overdue"), F.col("due").between(_today(), _horizon()).alias("upcoming"), F.contains("priority", F.lit("NOT SPECIFIED")).alias("inbox"), exam.alias("exam"))
+
+
+def _top(name: str, prefix: str) -> str:
+    return f"(select who, string_agg(concat('- {prefix}', 'task ', cast(id as string), ' :: tasks/', cast(id as string), '.md'), chr(10) order by due, id) body from (select *, row_number() over (partition by who order by due, id) nth from placed where {name}) where nth <= 5 group by who)"
+
+
+@register("sink_dashboard", f"""with {OWN_TASKS}, n as (select who, count(*) filter (overdue) o, count(*) filter (upcoming) u, count(*) filter (inbox) i, count(*) filter (exam) e from placed group by who)
+select n.who, concat({", chr(10), ".join(f"'{line}'" for line in HEAD.split(chr(10)))}, cast(n.who as string), chr(10), chr(10), '## Snapshot', chr(10), chr(10), '- Overdue tasks: ', cast(o as string), chr(10), '- Upcoming deadlines: ', cast(u as string), chr(10), '- Inbox items: ', cast(i as string), chr(10), '- Exams in range: ', cast(e as string), chr(10), chr(10),
+ '## Immediate Focus', chr(10), chr(10), coalesce(a.body, b.body, '- No urgent deadlines.'), chr(10), chr(10), '## Inbox Queue', chr(10), chr(10), coalesce(c.body, '- Inbox is clear.'), chr(10)) page
+from n left join {_top("overdue", "Overdue -> ")} a using (who) left join {_top("upcoming", "Upcoming -> ")} b using (who) left join {_top("inbox", "")} c using (who)""")
+def sink_dashboard(spark, sf_dir):
+    """A page for each customer: counts, then the five most urgent tasks and the first of the inbox, or that there are none.
+
+    Sections are ranked in one pass, where the window keeps five rows of each before it
+    moves any; a page is then put together from fifteen lines at most.
+    """
+    rows = placed_tasks(spark, sf_dir)
+    kinds = ("overdue", "upcoming", "inbox")
+    counts = rows.groupBy("who").agg(*(F.count_if(k).alias(k) for k in (*kinds, "exam")))
+    sections = rows.select("who", "id", "due", F.explode(F.array_compact(F.array(*(F.when(F.col(k), k) for k in kinds)))).alias("kind"))
+    best = sections.withColumn("nth", F.row_number().over(W.partitionBy("who", "kind").orderBy("due", "id"))).where("nth <= 5")
+    said = F.when(F.col("kind") == "overdue", "Overdue -> ").when(F.col("kind") == "upcoming", "Upcoming -> ").otherwise("")
+    line = F.concat(F.lit("- "), said, F.lit("task "), F.col("id").cast("string"), F.lit(" :: tasks/"), F.col("id").cast("string"), F.lit(".md"))
+    body = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", line.alias("line"))))), lambda r: r["line"]), "\n").alias(f"{k}_lines")
+    pages = counts.join(best.groupBy("who").agg(*map(body, kinds)), "who", "left")
+    told = lambda *names, none: F.coalesce(*(F.nullif(F.col(f"{k}_lines"), F.lit("")) for k in names), F.lit(none))
+    number = lambda label, k: F.concat(F.lit(f"- {label}: "), F.col(k).cast("string"), F.lit("\n"))
+    return pages.select("who", F.concat(
+        F.lit(HEAD), F.col("who").cast("string"), F.lit("\n\n## Snapshot\n\n"), number("Overdue tasks", "overdue"), number("Upcoming deadlines", "upcoming"), number("Inbox items", "inbox"), number("Exams in range", "exam"),
+        F.lit("\n## Immediate Focus\n\n"), told("overdue", "upcoming", none="- No urgent deadlines."), F.lit("\n\n## Inbox Queue\n\n"), told("inbox", none="- Inbox is clear."), F.lit("\n"),
+    ).alias("page"))
+
+
+#: Sections of a plan, with what stands for an empty one.
+PLAN = {"overdue": ("Overdue Carryover", "- None"), "upcoming": ("Deadlines This Week", "- None"), "exam": ("Exams And Countdowns", "- No exam signals found"), "inbox": ("Inbox To Triage", "- Inbox is clear")}
+
+
+@register("sink_week_plan", f"with {OWN_TASKS} select who, concat(" + ", chr(10), ".join(
+    f"'## {title}', chr(10), chr(10), coalesce(string_agg(concat('- [ ] ', cast(due as string), ' task ', cast(id as string), ' (', priority, ')'), chr(10) order by due, id) filter ({kind}), '{none}'), chr(10)" for kind, (title, none) in PLAN.items()
+) + ") page from placed group by who")
 def sink_week_plan(spark, sf_dir):
-    due = actionable(tasks(spark, sf_dir)).where(F.col("due").between(_today(), _horizon()))
-    line = F.concat(F.lit("- "), F.col("due").cast("string"), F.lit(" "), F.col("id").cast("string"))
-    rows = due.groupBy("course").agg(F.sort_array(F.collect_list(F.struct("due", "id", line.alias("line")))).alias("rows"))
-    return rows.select("course", F.concat(F.lit("## "), "course", F.lit("\n"), F.array_join("rows.line", "\n")).alias("page"))
+    """All open tasks of a customer by section, each in the order of its days; one grouping makes the page."""
+    line = F.concat(F.lit("- [ ] "), F.col("due").cast("string"), F.lit(" task "), F.col("id").cast("string"), F.lit(" ("), "priority", F.lit(")"))
+    ordered = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(kind), F.struct("due", "id", line.alias("line"))))), lambda r: r["line"]), "\n")
+    grouped = placed_tasks(spark, sf_dir).groupBy("who").agg(*(ordered(kind).alias(kind) for kind in PLAN))
+    part = lambda kind, title, none: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(F.nullif(F.col(kind), F.lit("")), F.lit(none)), F.lit("\n"))
+    return grouped.select("who", F.concat_ws("\n", *(part(kind, *told) for kind, told in PLAN.items())).alias("page"))

@@ -59,14 +59,6 @@ def src_feedback(spark, sf_dir):
     return sidecars(spark, sf_dir).where(X.front_matter(_md()).isNotNull()).select("doc_id", X.field(_md(), "repair_status").alias("status"))
 
 
-@register("sink_dashboard", "with t as (select c_mktsegment course, count(*) n, count(*) filter (o_orderstatus = 'O') open from orders join customer on o_custkey = c_custkey group by 1) select string_agg(concat('- ', course, ': ', cast(open as string), '/', cast(n as string)), chr(10) order by course) page from t")
-def sink_dashboard(spark, sf_dir):
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    stats = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy(F.col("c_mktsegment").alias("course")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
-    line = F.concat(F.lit("- "), "course", F.lit(": "), F.col("open").cast("string"), F.lit("/"), F.col("n").cast("string"))
-    return stats.agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("page"))  # a line for each course
-
-
 @register("fm_quality", f"with {SIDECARS_CTE} select doc_id, array_to_string(regexp_extract_all(string_split(md, concat(chr(10), '---', chr(10)))[1], '(?m)^([A-Za-z_]\\w*):', 1), ',') names from sidecars")
 def fm_quality(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.array_join(F.regexp_extract_all(X.front_matter(_md()), F.lit(r"(?md)^([A-Za-z_]\w*):"), F.lit(1)), ",").alias("names"))
@@ -100,15 +92,6 @@ def fn_table_cols(spark, sf_dir):
     return rows.select("doc_id", "line_no", (X.count_of(F.col("line"), r"(?<!\\)\|") - 1).cast("bigint").alias("n_cols"))
 
 
-@register("inc_baseline", "select case when a.k is null then 'cleared' when b.k is null then 'new' else 'unchanged' end state, count(*) n from (select distinct source || lang k from documents where doc_id % 2 = 0) b full join (select distinct source || lang k from documents where doc_id % 3 = 0) a on a.k = b.k group by 1")
-def inc_baseline(spark, sf_dir):
-    keyed = _docs(spark, sf_dir).select("doc_id", F.concat("source", "lang").alias("k"))
-    b = keyed.where("doc_id % 2 = 0").select("k").distinct().withColumn("b", F.lit(1))
-    a = keyed.where("doc_id % 3 = 0").select("k").distinct().withColumn("a", F.lit(1))
-    state = F.when(F.col("a").isNull(), "cleared").when(F.col("b").isNull(), "new").otherwise("unchanged")
-    return b.join(a, "k", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
-
-
 @register("inc_repair_one", "select doc_id from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0")
 def inc_repair_one(spark, sf_dir):
     side = sidecars(spark, sf_dir)
@@ -150,11 +133,6 @@ def sample_limits(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").select("source", "doc_id")
 
 
-@register("lkp_queue_item", "select doc_id from documents where doc_id in (7, 11) or concat('imports/', source, '/', cast(doc_id as string), '.pdf.md') = 'imports/src1/1.pdf.md'")
-def lkp_queue_item(spark, sf_dir):
-    return sidecars(spark, sf_dir).where(F.col("doc_id").isin(7, 11) | (F.col("path") == "imports/src1/1.pdf.md")).select("doc_id")
-
-
 @register("qc_cross", "select coalesce(l.doc_id, d.doc_id) doc_id, d.doc_id is not null has_doc, l.doc_id is not null has_label from documents d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
 def qc_cross(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.lit(True).alias("has_doc"))
