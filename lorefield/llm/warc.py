@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .shared import lookup, materialise, shared_folder
 
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
+#: What a revisit of an equal payload names as its profile (a fixed value of the format).
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _header(name: str, value: Column) -> Column:
@@ -24,13 +28,17 @@ def deduplicate_payloads(pages: DataFrame, path: str, min_bytes: int, id_col: st
     return lookup(rows, pages.sparkSession.read.parquet(path), ["digest"], "copies", F.col(id_col))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 4096, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, records_per_file: int = 4096, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: datetime | None = None) -> None:
     """Writes one record for each row to files of at most ``records_per_file`` records.
 
     Blocks end with a blank line, which is the sink's row separator, so records are
     written by Spark's own text writer, where the rows are.  Copies of a response are
-    revisit records without a block that refer to it.  A null payload is empty.
+    revisit records without a block that refer to it.  A null payload is empty.  ``date``
+    is when the pages were taken, for all of them the time of writing if none is given.
+    The block of a response is the payload alone, without a message around it, and its
+    type is that of the payload.
     """
+    at = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("body"))
     found = deduplicate_payloads(rows, f"{path}-copies", min_bytes, "id", "body")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("id"))
@@ -39,7 +47,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 100, records_per_fi
         F.lit(MAGIC),
         F.when(revisit, F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
         _header("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))),
+        F.lit(f"WARC-Date: {at}\r\n"),
         _header("WARC-Target-URI", F.col("url")),
+        F.when(revisit, F.lit(f"WARC-Profile: {SAME_PAYLOAD}\r\n")).otherwise(F.lit("")),
         F.when(revisit, _header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))).otherwise(F.lit("")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.lit("Content-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(BLANK), block,

@@ -405,3 +405,15 @@ def test_a_chain_that_ends_early_is_an_error(spark, tmp_path):
     (tmp_path / "cut" / "part-0").write_bytes(data.replace(b"Content-Length: 5", b"Content-Length: 6"))
     with pytest.raises(ValueError, match="1 of the files"):
         read_warc(spark, f"file://{tmp_path}/cut")
+
+
+def test_records_have_their_date_and_revisits_a_profile(spark, tmp_path):
+    from datetime import UTC, datetime
+
+    from lorefield.llm.warc import SAME_PAYLOAD, write_warc
+
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", "x" * 200), (3, "http://c/", "")], "page_id bigint, url string, html string")
+    write_warc(pages, f"file://{tmp_path}/w", date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC))
+    heads = [r.split("\r\n\r\n")[0] for f in (tmp_path / "w").glob("*.txt") for r in f.read_bytes().decode().split("WARC/1.1\r\n")[1:]]
+    assert len(heads) == 3 and all("WARC-Date: 2024-05-06T07:08:09Z" in h for h in heads)
+    assert [f"WARC-Profile: {SAME_PAYLOAD}" in h for h in sorted(heads, key=lambda h: "<urn:page:2>" in h.split("WARC-Date")[0])] == [False, False, True]
