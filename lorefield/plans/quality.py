@@ -31,12 +31,6 @@ def _checked(spark, sf_dir):
     return gate_columns(sidecars(spark, sf_dir), _checks(), "doc_id")
 
 
-@register("qc_stage_ready", f"with {SIDECARS_CTE}, {CHECK_SQL} select source, bool_and(front_matter) front_matter_ready, bool_and(due) due_ready, bool_or(verified) any_verified from checks join documents using (doc_id) group by 1")
-def qc_stage_ready(spark, sf_dir):
-    joined = _checked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    return joined.groupBy("source").agg(F.bool_and("front_matter").alias("front_matter_ready"), F.bool_and("due").alias("due_ready"), F.bool_or("verified").alias("any_verified"))
-
-
 @register("qc_validate", f"with {SIDECARS_CTE}, {CHECK_SQL}, i as ({UNPIVOT}) select code, count(*) failures from i group by 1")
 def qc_validate(spark, sf_dir):
     return issues(_checked(spark, sf_dir), NAMES, "doc_id").groupBy("code").agg(F.count("*").alias("failures"))

@@ -133,13 +133,6 @@ def sample_limits(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("rn", rn).where("rn <= 8").select("source", "doc_id")
 
 
-@register("qc_cross", "select coalesce(l.doc_id, d.doc_id) doc_id, d.doc_id is not null has_doc, l.doc_id is not null has_label from documents d full join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
-def qc_cross(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.lit(True).alias("has_doc"))
-    lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has_label", F.lit(True))
-    return d.join(lab, "doc_id", "full_outer").select("doc_id", F.coalesce("has_doc", F.lit(False)).alias("has_doc"), F.coalesce("has_label", F.lit(False)).alias("has_label"))
-
-
 @register("plan_output_path", f"with {SIDECARS_CTE} select doc_id, concat('out/', regexp_replace(path, '\\.pdf\\.md$', ''), '.md') target from sidecars")
 def plan_output_path(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.concat(F.lit("out/"), F.regexp_replace("path", r"\.pdf\.md$", ""), F.lit(".md")).alias("target"))
