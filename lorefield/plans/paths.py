@@ -85,13 +85,6 @@ def fn_norm_path(spark, sf_dir):
     return inventory(spark, sf_dir).select("doc_id", F.regexp_replace(F.replace(odd, F.lit("\\"), F.lit("/")), r"^(\./)+", "").alias("norm"))
 
 
-@register("join_sidecar_pair", f"with {PATHS}, k as (select doc_id, path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(-repair-summary|\\.sync-conflict-1)?\\.[A-Za-z.]+$', '') stem from paths) select a.doc_id, b.doc_id other from k a join k b on a.stem = b.stem and a.doc_id <> b.doc_id")
-def join_sidecar_pair(spark, sf_dir):
-    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"(-repair-summary|\.sync-conflict-1)?\.[A-Za-z.]+$", "")
-    keyed = inventory(spark, sf_dir).select("doc_id", stem.alias("stem"))
-    return keyed.join(keyed.select(F.col("doc_id").alias("other"), "stem"), "stem").where("doc_id <> other").select("doc_id", "other")
-
-
 @register("list_children", f"with {PATHS} select regexp_replace(path, '/[^/]*$', '') dir, count(*) n, min(path) first_child from paths group by 1")
 def list_children(spark, sf_dir):
     return inventory(spark, sf_dir).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("n"), F.min("path").alias("first_child"))

@@ -36,17 +36,6 @@ def qc_validate(spark, sf_dir):
     return issues(_checked(spark, sf_dir), NAMES, "doc_id").groupBy("code").agg(F.count("*").alias("failures"))
 
 
-@register("agg_check_totals", f"with {SIDECARS_CTE}, {CHECK_SQL} select count(*) filter (not verified) checked, count(*) filter (verified) skipped, count(*) filter (not verified and not due) errors, count(*) filter (not verified and not sections) warnings from checks")
-def agg_check_totals(spark, sf_dir):
-    v = F.col("verified")
-    return _checked(spark, sf_dir).agg(F.count_if(~v).alias("checked"), F.count_if(v).alias("skipped"), F.count_if(~v & ~F.col("due")).alias("errors"), F.count_if(~v & ~F.col("sections")).alias("warnings"))
-
-
-@register("topk_recommended_file", f"with {SIDECARS_CTE}, {CHECK_SQL}, i as ({UNPIVOT}), n as (select doc_id, count(*) n from i group by 1) select doc_id, n from n order by n desc, doc_id limit 1")
-def topk_recommended_file(spark, sf_dir):
-    return issues(_checked(spark, sf_dir), NAMES, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id").limit(1)
-
-
 @register("join_paper_refs", "select l_orderkey, bool_and(l_suppkey between 1 and 5) covered from lineitem group by 1")
 def join_paper_refs(spark, sf_dir):
     refs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("refs"))

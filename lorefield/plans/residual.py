@@ -121,12 +121,6 @@ def fn_risk_summary(spark, sf_dir):
     return stats.select("quality", "toxic", F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="), F.col("toxic").cast("string"), F.lit(" x"), F.col("n").cast("string")).alias("summary"))
 
 
-@register("out_compact_queue", "select user_id, count(*) total, array_to_string(list_sort(list(event_id))[1:8], ',') sample, count(*) > 8 truncated from events group by 1")
-def out_compact_queue(spark, sf_dir):
-    stats = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.slice(F.sort_array(F.collect_list("event_id")), 1, 8).alias("s"))
-    return stats.select("user_id", "total", F.array_join(F.col("s").cast("array<string>"), ",").alias("sample"), (F.col("total") > 8).alias("truncated"))
-
-
 @register("sample_limits", "with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) rn from documents) select source, doc_id from r where rn <= 8")
 def sample_limits(spark, sf_dir):
     rn = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
