@@ -106,13 +106,6 @@ def join_known_types(spark, sf_dir):
     return line.join(known, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.when(F.col("hit"), "known").otherwise("unknown").alias("state"))
 
 
-@register("join_source_mismatch", "select a.l_orderkey, a.l_linenumber, a.l_suppkey from lineitem a join (select l_orderkey, min(l_suppkey) s from lineitem group by 1) b on a.l_orderkey = b.l_orderkey and a.l_suppkey <> b.s")
-def join_source_mismatch(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    first = line.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"))
-    return line.join(first, "l_orderkey").where("l_suppkey <> s").select("l_orderkey", "l_linenumber", "l_suppkey")
-
-
 @register("join_type_instances", f"with {PRES} select type_id, stem, cast(unnest(range(1, n + 1)) as int) question from pres")
 def join_type_instances(spark, sf_dir):
     return presence(spark, sf_dir).select("type_id", "stem", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("question"))

@@ -35,11 +35,6 @@ def explode_baseline(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.split("text", r"\. ")).alias("sentence"))
 
 
-@register("fm_type_fields", f"with {SIDECARS_CTE} select doc_id, regexp_extract(md, '(?m)^repair_status: (.*)$', 1) page_type, cast(doc_id as string) type_id from sidecars")
-def fm_type_fields(spark, sf_dir):
-    return _side(spark, sf_dir).select("doc_id", X.field(_md(), "repair_status").alias("page_type"), F.regexp_extract("md", "(?md)^# Doc ([0-9]+)$", 1).alias("type_id"))
-
-
 @register("fm_proposal_meta", "select doc_id, source s, lang l from documents")
 def fm_proposal_meta(spark, sf_dir):
     made = F.concat(F.lit("<!-- s="), "source", F.lit(" l="), "lang", F.lit(" -->"))

@@ -67,9 +67,3 @@ def sink_type_skeleton(spark, sf_dir):
 @register("sink_import_sidecar", f"with {SIDECARS_CTE} select doc_id, path, sha256(md) digest from sidecars")
 def sink_import_sidecar(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", "path", F.sha2("md", 256).alias("digest"))
-
-
-@register("agg_frontmatter_actions", f"with {SIDECARS_CTE} select case when doc_id % 5 = 0 then 'skipped' when doc_id % 6 = 0 then 'error' else 'would_update' end act, count(*) n from sidecars group by 1")
-def agg_frontmatter_actions(spark, sf_dir):
-    verified, risky = X.field(F.col("md"), "verify_status") == "verified", X.field(F.col("md"), "repair_risk") != ""
-    return sidecars(spark, sf_dir).groupBy(F.when(verified, "skipped").when(risky, "error").otherwise("would_update").alias("act")).agg(F.count("*").alias("n"))

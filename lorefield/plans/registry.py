@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import casebook, census, checks, coverage, diffing, documents, files, governance, lookups, paths, planning, privacy, proposals, quality, reports, residual, risks, scalars, scraps, teaching  # noqa: F401
+    from . import casebook, census, checks, coverage, diffing, documents, files, governance, imports, lookups, paths, planning, privacy, proposals, quality, reports, residual, risks, scalars, scraps, teaching  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -92,18 +92,6 @@ def fn_table_cols(spark, sf_dir):
     return rows.select("doc_id", "line_no", (X.count_of(F.col("line"), r"(?<!\\)\|") - 1).cast("bigint").alias("n_cols"))
 
 
-@register("inc_repair_one", "select doc_id from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0")
-def inc_repair_one(spark, sf_dir):
-    side = sidecars(spark, sf_dir)
-    done = side.where("doc_id % 3 = 0").select("doc_id")
-    return side.where(X.field(_md(), "verify_status") != "verified").select("doc_id").join(done, "doc_id", "left_anti")
-
-
-@register("idx_skeletons_by_type", "select lang, min(doc_id) first_page, count(*) pages from documents group by 1")
-def idx_skeletons_by_type(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.min("doc_id").alias("first_page"), F.count("*").alias("pages"))
-
-
 @register("lkp_skeleton", "select d.doc_id, f.first_page from documents d join (select lang, min(doc_id) first_page from documents group by 1) f on d.lang = f.lang")
 def lkp_skeleton(spark, sf_dir):
     first = _docs(spark, sf_dir).groupBy("lang").agg(F.min("doc_id").alias("first_page"))  # a row for each type
@@ -115,12 +103,6 @@ def fn_infer_source(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.regexp_extract("md", "(?md)^source_file: src/([^/]*)/", 1).alias("inferred"), F.when(_md().contains("mineru"), "ocr").otherwise("local").alias("method"))
 
 
-@register("fn_risk_summary", "select quality, toxic, concat('quality=', cast(quality as string), ' toxic=', cast(toxic as string), ' x', cast(count(*) as string)) summary from labels group by 1, 2")
-def fn_risk_summary(spark, sf_dir):
-    stats = table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
-    return stats.select("quality", "toxic", F.concat(F.lit("quality="), F.col("quality").cast("string"), F.lit(" toxic="), F.col("toxic").cast("string"), F.lit(" x"), F.col("n").cast("string")).alias("summary"))
-
-
 @register("sample_limits", "with r as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) rn from documents) select source, doc_id from r where rn <= 8")
 def sample_limits(spark, sf_dir):
     rn = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
@@ -132,12 +114,6 @@ def plan_output_path(spark, sf_dir):
     return sidecars(spark, sf_dir).select("doc_id", F.concat(F.lit("out/"), F.regexp_replace("path", r"\.pdf\.md$", ""), F.lit(".md")).alias("target"))
 
 
-@register("agg_doc_text_len", "select lang, cast(sum(length(text)) as bigint) chars, max(length(text)) longest from documents group by 1")
-def agg_doc_text_len(spark, sf_dir):
-    n = F.char_length("text").cast("bigint")
-    return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(n).alias("chars"), F.max(n).alias("longest"))
-
-
 @register("fmt_exam_line", "select o_orderkey, concat('- ', cast(cast(o_orderdate as date) as string), ' exam ', o_orderpriority) line from orders")
 def fmt_exam_line(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("- "), F.col("o_orderdate").cast("date").cast("string"), F.lit(" exam "), "o_orderpriority").alias("line"))
