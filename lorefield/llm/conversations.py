@@ -143,29 +143,26 @@ def counts_of(s: dict, cost: int) -> dict:
     return {"gaps": gaps, "blank": s["blank"], "duplicate": s["duplicate"], "truncated": s["truncated"], "illegal": s["illegal"], "cost": cost}
 
 
-def runs(batches: Iterator[pa.RecordBatch], before: dict[int, tuple]) -> Iterator[Run]:
-    """The runs of a sorted partition; ``before`` has the last row of the partition before each."""
-    run, last = None, None
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    """The runs of a sorted partition, with the marks of a run's rows to know those that come again."""
+    run, seen = None, set()
     for batch in batches:
-        for part, key, conv, turn, role, text, kind, later, tie, mark, gone in zip(*(batch.column(c).to_pylist() for c in STREAM)):
-            if run is None:
-                last = before.get(part)
+        for part, key, conv, turn, role, text, kind, mark, later, gone in zip(*(batch.column(c).to_pylist() for c in STREAM)):
             if run is None or (run.key, run.part) != (key, part):
                 if run is not None:
                     yield run
-                run = Run(part, key, conv)
+                run, seen = Run(part, key, conv), set()
             if not gone:
-                repeated = later or tie and last == (key, turn, mark)
                 run.roles.append(role)
                 run.texts.append(text)
                 run.turns.append(turn)
-                run.faults.append(kind if kind == BLANK or not repeated else DUPLICATE)
-            last = key, turn, mark
+                run.faults.append(kind if kind == BLANK or not (later or mark in seen) else DUPLICATE)
+                seen.add(mark)
     if run is not None:
         yield run
 
 
-STREAM = ("part", "key", "conv", "turn", "role", "text", "kind", "later", "tie", "mark", "gone")
+STREAM = ("part", "key", "conv", "turn", "role", "text", "kind", "mark", "later", "gone")
 TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
@@ -227,8 +224,10 @@ def repair_conversations(df: DataFrame, gone: Column | None = None, conv_col: st
     but their conversations are returned, if need be without turns.  Equal rows are
     duplicates but for one.  An empty table gives none.  Other columns are not read.
 
-    Rows are sorted by range over conversation, turn and a row number, so a conversation
-    with a third of all rows spreads over tasks: each then works out costs from every
+    Rows are sorted by range over conversation, turn and a row number, once, with their
+    texts.  A conversation with a third of all rows spreads over tasks: what is told again
+    in a later one is found by an aggregate and a join of those conversations alone; each
+    task then works out costs from every
     state to every state of the grammar across its run (16 numbers), the driver chains
     those of the runs that continue in another partition, and each run is walked from
     the state it is entered in.  What the driver gets is bounded by the number of partitions.
@@ -242,28 +241,26 @@ def repair_conversations(df: DataFrame, gone: Column | None = None, conv_col: st
     body = F.rtrim(F.col("text"), F.lit(WHITE))
     state = F.when(body == "", BLANK).when(F.right(body, F.lit(1)).isin(".", "!", "?"), SOUND).otherwise(TRUNCATED)
     mark = F.unhex(F.sha2(F.encode(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), "UTF-8"), 256))
-    rows = rows.withColumn("mark", mark).withColumn("at_turn", F.struct(F.col("turn").isNotNull().alias("known"), "turn"))
-    firsts = materialise(rows.where(~F.col("gone")).groupBy("key", "mark").agg(F.count("*").alias("n"), F.min("at_turn").alias("first")).where(F.col("n") > 1))
-    marked = lookup(rows, firsts, ["key", "mark"], "n", F.xxhash64("turn"))
-    marked = marked.select(
-        "key", "conv", "turn", "role", F.when(~F.col("gone"), F.col("text")).alias("text"), F.when(~F.col("gone"), state).alias("kind"), F.coalesce(F.col("at_turn") > F.col("first"), F.lit(False)).alias("later"),
-        F.coalesce(F.col("at_turn") == F.col("first"), F.lit(False)).alias("tie"), "mark", "gone", F.left("text", F.lit(64)).alias("start"), F.monotonically_increasing_id().alias("row"),
+    marked = rows.select(
+        "key", "conv", "turn", "role", F.when(~F.col("gone"), F.col("text")).alias("text"), F.when(~F.col("gone"), state).alias("kind"), mark.alias("mark"), "gone",
+        F.left("text", F.lit(64)).alias("start"), F.monotonically_increasing_id().alias("row"),
     )
     order = ["key", "turn", "role", "start", "mark", "row"]
-    stream = materialise(marked.repartitionByRange(*order).sortWithinPartitions(*order).drop("start", "row").withColumn("part", F.spark_partition_id())).select(*STREAM)
+    placed = marked.repartitionByRange(*order).sortWithinPartitions(*order).drop("start", "row").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    stream = materialise(placed)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        part = first = last = None
         for batch in batches:
             if batch.num_rows:
-                first = first or batch.slice(0, 1).to_pylist()[0]
-                last = batch.slice(batch.num_rows - 1, 1).to_pylist()[0]
-        if first:
-            yield pa.RecordBatch.from_pylist([{"part": first["part"], "first": first["key"], **{k: last[k] for k in ("key", "turn", "mark")}}], pa.schema([("part", pa.int32()), ("first", pa.string()), ("key", pa.string()), ("turn", pa.int64()), ("mark", pa.binary())]))
-
-    ends = sorted(stream.select("part", "key", "turn", "mark").mapInArrow(edges, "part int, first string, key string, turn bigint, mark binary").collect())  # a row for each partition
-    before = {b.part: (a.key, a.turn, bytes(a.mark)) for a, b in zip(ends, ends[1:])}
-    crossing = {b.first for a, b in zip(ends, ends[1:]) if a.key == b.first}  # fewer than partitions
+                if part is None:
+                    part, first = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+                last = batch.column(1)[batch.num_rows - 1].as_py()
+        if part is not None:
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([first]), pa.array([last])], ["part", "first", "last"])
+
+    ends = sorted(stream.select("part", "key").mapInArrow(edges, "part int, first string, last string").collect())  # a row for each partition
+    crossing = {b.first for a, b in zip(ends, ends[1:]) if a.last == b.first}  # fewer than partitions
     schema = f"conv {kind}, part int, piece int, is_whole boolean, {', '.join(f'{c} bigint' for c in COUNTS)}, audit string, turns array<struct<role: string, text: string>>"
     arrow = pa.schema([("conv", pa.null()), ("part", pa.int32()), ("piece", pa.int32()), ("is_whole", pa.bool_()), *((c, pa.int64()) for c in COUNTS), ("audit", pa.string()), ("turns", TURNS)])
 
@@ -275,19 +272,19 @@ def repair_conversations(df: DataFrame, gone: Column | None = None, conv_col: st
             yield from _batched(results(b for bs in ([first], batches) for b in bs), out)
 
     def mended(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for run in runs(batches, {}):
+        for run in runs(batches):
             cost = dial(run.initials, run.faults, ENDING)
             letters, states = _ended(*walk(run.initials, run.faults, cost, 0))
             yield from pieces(run, counts_of(run.summary(), cost[0]), letters, states, True)
 
     span = F.col("key").isin(*crossing) if crossing else F.lit(False)
-    out = stream.where(~span).mapInArrow(lambda batches: typed(batches, mended), schema)
+    out = stream.where(~span).withColumn("later", F.lit(False)).select(*STREAM).mapInArrow(lambda batches: typed(batches, mended), schema)
     if crossing:
-        parts = stream.where(span)
-        found = _chained(parts, before)
+        parts = _told_again(stream.where(span))
+        found = _chained(parts)
 
         def continued(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-            for run in runs(batches, before):
+            for run in runs(batches):
                 counts, seeds, entry, is_last = found[run.key, run.part]
                 letters, states, state = walk(run.initials, run.faults, dial(run.initials, run.faults, seeds), entry)
                 if is_last:
@@ -298,12 +295,21 @@ def repair_conversations(df: DataFrame, gone: Column | None = None, conv_col: st
     return out.withColumnRenamed("conv", conv_col)
 
 
-def _chained(parts: DataFrame, before: dict[int, tuple]) -> dict[tuple[str, int], tuple]:
+def _told_again(rows: DataFrame) -> DataFrame:
+    """Rows of conversations that cross partitions, in their order, with whether role and text were there in a partition before."""
+    told = rows.where(~F.col("gone")).groupBy("key", "mark").agg(F.min("part").alias("first"), F.max("part").alias("final"), F.count("*").alias("n"))
+    firsts = materialise(told.where("final > first").drop("final"))
+    marked = lookup(rows, firsts, ["key", "mark"], "n", F.col("at"))
+    later = F.coalesce(F.col("part") > F.col("first"), F.lit(False))
+    return materialise(marked.withColumn("later", later).repartition("part").sortWithinPartitions("at").select(*STREAM))
+
+
+def _chained(parts: DataFrame) -> dict[tuple[str, int], tuple]:
     """For each run of a conversation that crosses partitions: counts, costs after it, the state it is entered in, whether it is the last."""
     alone = [[0 if q == p else FAR for q in range(4)] for p in range(4)]
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, before):
+        for run in runs(batches):
             ways = [dial(run.initials, run.faults, seeds)[:4] for seeds in alone]  # by exit, then entry
             s = run.summary()
             yield pa.record_batch([pa.array([run.key]), pa.array([run.part], pa.int32()), pa.array([[w for way in ways for w in way]], pa.list_(pa.int64())), *(pa.array([s[c]], t) for c, t in SUMMARY.items())], ["key", "part", "ways", *SUMMARY])
@@ -325,7 +331,7 @@ def _chained(parts: DataFrame, before: dict[int, tuple]) -> dict[tuple[str, int]
         counts[key] = counts_of(total, seeds[0])
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, before):
+        for run in runs(batches):
             cost = dial(run.initials, run.faults, after[run.key, run.part])
             to = [walk(run.initials, run.faults, cost, p)[2] if cost[p] < FAR else p for p in range(4)]
             yield pa.record_batch([pa.array([run.key]), pa.array([run.part], pa.int32()), pa.array([to], pa.list_(pa.int32()))], ["key", "part", "to"])
