@@ -132,11 +132,18 @@ def _canonical(files):
     return C.canonical_groups(docs, "grp", "path", rank(C.PROBLEM_ORDER), rank(C.ANSWER_ORDER), "role")
 
 
-@register("agg_canonical_anchor", "select * from (values ('2024-final', 'p/2024-final答案复习版.pdf.md', 'p/2024-final答案复习版.pdf.md', 2, 'answer_review,unknown', false), ('2025-final', 'p/2025-final.pdf.md', 'p/2025-final.pdf.md', 1, 'unknown', false), ('甲', 'p/甲试卷.pdf.md', 'p/甲试卷.pdf.md', 2, 'problem', true)) v(grp, problem_source, answer_source, source_count, roles, ambiguous)")
+ANCHORED = ["2024-final", "2024-final答案复习版", "2025-final", "甲试卷", "甲试题"]
+
+
+@register("agg_canonical_anchor", """with d as (select cast(doc_id // 5 as string) g, doc_id % 5 r from documents),
+ f as (select g, case r when 0 then '2024-final' when 1 then '2024-final' when 2 then '2025-final' else '甲' end k, r, concat('p/', g, '-', case r when 0 then '2024-final' when 1 then '2024-final答案复习版' when 2 then '2025-final' when 3 then '甲试卷' else '甲试题' end, '.pdf.md') path from d)
+select concat(g, '-', k) grp, arg_min(path, case r when 1 then 0 when 3 then 0 else 1 end) problem_source, arg_min(path, case r when 1 then 0 when 3 then 0 else 1 end) answer_source, count(*) source_count,
+ case k when '2024-final' then 'answer_review,unknown' when '2025-final' then 'unknown' else 'problem' end roles, k = '甲' ambiguous from f group by g, k""")
 def agg_canonical_anchor(spark, sf_dir):
-    """Three sources that are two examinations, and one with two problem sheets."""
-    names = ["2024-final", "2024-final答案复习版", "2025-final", "甲试卷", "甲试题"]
-    return _canonical(spark.createDataFrame([(f"p/{n}.pdf.md",) for n in names], "path string")).withColumn("source_count", F.col("source_count").cast("int"))
+    """For every five documents three sources that are two examinations, and one with two problem sheets."""
+    n = F.col("doc_id")
+    name = F.element_at(F.array(*map(F.lit, ANCHORED)), (n % 5 + 1).cast("int"))
+    return _canonical(table(spark, sf_dir, "documents").select(F.concat(F.lit("p/"), F.floor(n / 5).cast("string"), F.lit("-"), name, F.lit(".pdf.md")).alias("path")))
 
 
 @register("batch_chunk", "with d as (select doc_id, row_number() over (partition by source order by doc_id) rn from documents) select doc_id, cast((rn - 1) // 6 as bigint) batch from d")
