@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.quality import gate_columns, issues
+from ..operators.typepages import ranked_types, type_page
 from ..sources.sidecars import SIDECARS_CTE, sidecars
 from ..sources.tables import table
 from .registry import register
@@ -55,13 +56,16 @@ def join_solution(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", name("o_orderkey").alias("file")).join(solutions, "file", "left").select("o_orderkey", F.col("l_linenumber").isNotNull().alias("has_solution"))
 
 
-@register("sink_type_skeleton", "select p_brand, concat(lpad(cast(row_number() over (order by p_brand) as string), 2, '0'), '-', trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-'), '.md') file from (select distinct p_brand from part)")
+@register("sink_type_skeleton", f"""with q as (select p_brand type_id, p_size paper from part), t as (select count(distinct paper) total from q), g as (select type_id, count(distinct paper) pc, count(*) qc, list_sort(list(distinct paper)) papers from q group by 1),
+ r as (select *, row_number() over (order by pc desc, qc desc, type_id) nth, pc / total rate, trim(regexp_replace(lower(type_id), '[^a-z0-9]+', '-', 'g'), '-') slug, concat('共 ', cast(pc as string), ' 份试卷；详见 题型频率统计.md') said from g, t)
+select concat('analysis/', lpad(cast(nth as string), 2, '0'), '-', slug, '.md') path, concat_ws(chr(10), '---', 'type: exam-type-analysis', 'course: "线代"', 'exam_scope: "期末"', concat('exam_type_id: "', slug, '"'), concat('exam_type_name: "', type_id, '"'), concat('rank: ', cast(nth as string)), concat('paper_count: ', cast(pc as string)),
+ concat('must_know: ', cast(rate >= 0.8 as string)), 'quality: draft', 'status: active', concat('source_summary: "', said, '"'), '---', '', concat('# ', lpad(cast(nth as string), 2, '0'), ' · ', type_id), '', '## 普查信号', '',
+ concat('- 出现率：', cast(cast(round_even(100.0 * pc / (select total from t), 0) as int) as string), '%（', cast(pc as string), ' 份试卷）'), concat('- 标注题量：', cast(qc as string)), concat('- 必掌握：', case when rate >= 0.8 then '是' else '否' end), '', '## 来源依据', '', concat('- ', said), '',
+ array_to_string(list_transform(papers, lambda p: concat('- [卷 ', cast(p as string), '](../papers/', cast(p as string), '.md)')), chr(10)), '', '## 方法提纲', '', '- _(fill by review-coach)_', '', '## 易错点', '', '- _(fill by review-coach)_', '', '## 练习目标', '', '- [ ] 重做一道高频真题', '- [ ] 不看笔记复述核心方法', '') page from r""")
 def sink_type_skeleton(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    rn = F.row_number().over(W.orderBy("p_brand"))  # over types, a dimension
-    return brands.select("p_brand", F.concat(F.lpad(rn.cast("string"), 2, "0"), F.lit("-"), X.slug(F.col("p_brand")), F.lit(".md")).alias("file"))
+    """The page of each brand as a type, whose sizes are papers and whose parts are questions."""
+    types = ranked_types(table(spark, sf_dir, "part").select(F.col("p_brand").alias("type_id"), F.col("p_size").alias("paper")), 0.8)
+    return types.select("path", type_page("线代", "期末").alias("page"))
 
 
 @register("sink_import_sidecar", f"with {SIDECARS_CTE} select doc_id, path, sha256(md) digest from sidecars")
