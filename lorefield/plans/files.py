@@ -6,10 +6,11 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.python import pieces, small_batches
 from ..sources.office import SHEET_ROWS, convert
 from ..sources.pdf import make_pdf, pdf_pages
 from ..sources.shared import shared_root
@@ -33,11 +34,13 @@ def _made(spark, sf_dir, suffix: str, build) -> DataFrame:
     """``path, content``: a file for each document with a line, from its lines."""
 
     def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"path": [f"{i}{suffix}" for i in batch["doc_id"]], "content": [build(i, list(ls)) for i, ls in zip(batch["doc_id"], batch["l"])]})
+        for piece in pieces(batches):
+            ids, lines = (c.to_pylist() for c in piece.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}{suffix}" for i in ids]), pa.array([build(i, ls) for i, ls in zip(ids, lines)], pa.binary())], ["path", "content"])
 
+    small_batches(spark)
     rows = table(spark, sf_dir, "documents").select("doc_id", _lines().alias("l")).where(F.size("l") > 0)
-    return rows.mapInPandas(run, "path string, content binary")
+    return rows.mapInArrow(run, "path string, content binary")
 
 
 def _pdf(doc_id: int, lines: list[str]) -> bytes:
