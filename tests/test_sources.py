@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,39 @@ def test_a_batch_that_is_done_again_adds_nothing(spark, tmp_path):
         (tmp_path / "progress/commits" / name).unlink(missing_ok=True)  # as after a failure before the commit
     assert [tuple(r) for r in run().select("k", "v").collect()] == [(1, "a")]
     shutil.rmtree(out)
+
+
+def _large_files(spark, suffix: str):
+    """256 files of 1 MB in one task, in a session that allows large batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    return spark.range(0, 256, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(suffix)).alias("path"), F.repeat(F.lit("a"), 1 << 20).cast("binary").alias("content"))
+
+
+def _own_mb() -> str:
+    with open("/proc/self/smaps_rollup") as f:
+        return str(int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) >> 10)
+
+
+def test_office_reader_holds_little_at_a_time(spark, monkeypatch):
+    from lorefield.sources import office
+
+    own_mb = _own_mb
+    monkeypatch.setitem(office.READERS, ".held", lambda data: own_mb())
+    got = [int(r.md) for r in office.convert(_large_files(spark, ".held")).collect()]
+    assert len(got) == 256 and max(got) < 150
+
+
+def test_pdf_reader_holds_little_at_a_time(spark, monkeypatch):
+    from lorefield.sources import pdf
+
+    own_mb = _own_mb
+
+    class Held:
+        size, pages, title, text = 1, lambda self: [b""], lambda self: "", lambda self, page: own_mb()
+
+        def __init__(self, data):
+            pass
+
+    monkeypatch.setattr(pdf, "Pdf", Held)
+    got = [int(r.text) for r in pdf.pdf_pages(_large_files(spark, ".pdf")).collect()]
+    assert len(got) == 256 and max(got) < 150
