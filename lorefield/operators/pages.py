@@ -58,7 +58,7 @@ def section_of(parts: Column, title: Column, anywhere: Column) -> Column:
     ``anywhere``: a line that is no heading counts too, with the level of a second one.
     """
     heads = lambda b: (b["level"] > 0) & F.contains(F.substring_index(b["part"], "\n", 1), title)
-    at = F.array_position(F.transform(parts, lambda b: F.contains(b["part"], title) & (anywhere | heads(b))), True).cast("int")
+    at = F.array_position(F.transform(parts, lambda b: F.when(anywhere, F.contains(b["part"], title)).otherwise(heads(b))), True).cast("int")
 
     def found(place: Column) -> Column:
         first, later = place["part"], place["later"]
@@ -128,7 +128,7 @@ RULE = re.compile(r"\|[\s\-:|]+\|?")
 
 def table_faults(text: str) -> str:
     """Numbers of the lines whose cells do not match the header of their table, joined by commas."""
-    lines = [(n, line, _row_width(line)) for n, line in enumerate(text.splitlines(), 1)]
+    lines = [(n, line, _row_width(line) if "|" in line else None) for n, line in enumerate(text.splitlines(), 1)]
     faults, at = [], 0
     while at + 1 < len(lines):
         (_, _, width), (number, line, below) = lines[at], lines[at + 1]
@@ -344,7 +344,7 @@ def with_structure(df: DataFrame, text_col: str) -> DataFrame:
         "short": evidence_short(text), "apart": answers_apart(text), "examples": examples(text), "tests": _numbered(F.when(F.btrim(cut("自测题")) != "", cut("自测题")).otherwise(text), TEST_HEAD),
         "numbers": answered(_numbered(cut("自测答案"), ANSWER_HEAD)), "errors": either("易错点与检查清单", "易错点", anywhere=False), "meta": F.coalesce(F.nullif(cut("元信息", True), F.lit("")), text),
     }.items()})
-    checked = F.array_join(F.filter(F.split(text, "\n"), lambda v: holds(v, ("验证", "校验", "验算")) | F.contains(F.lower(v), F.lit("verify"))), "\n")
+    checked = F.array_join(F.filter(F.split(text, "\n"), lambda v: v.rlike(r"(?=[vV\u4e00-\u9fff])(?:验证|校验|验算|(?i:verify))")), "\n")
     decision = F.coalesce(F.nullif(either("方法选择", "决策"), F.lit("")), F.substring(text, F.position(F.lit("├"), text), F.lit(160)))
     wanted = {  # bodies, and the characters that make substance of them
         **{m: (cut(m, True), 6) for m in ENTRY}, "badge": (F.substring(col("meta"), 1, 240), 6), "lookup": (cut("一眼先记住", True), 6), "symbols": (F.concat(cut("符号", True), F.lit("\n"), cut("术语", True)), 6),
@@ -408,24 +408,25 @@ def report_codes(text: Column) -> Column:
 # mechanical gates of a preparation pack
 
 # Phrases that are no teaching, citations, routes.
-PLACEHOLDER = r"(?imd)\{\{[^}]+\}\}|TODO|TBD|待 AI|待整理|^\|\s*\|\s*\|"
-MACHINE_REF = r"(?i)[\w.-]+\.json#[^\s,，;；)）\]}】、。]+|paper-card|机器可读题目卡引用"
-BROKEN_PROSE = r"(?i)\\end\*\*Transfer|无\*\*Transfer|\*\*Answer\*\*：?\s*\$[^\n]{0,80}>\s*\*\*Check|验\*\*Transfer|\*\*(?:First look|Answer|Check|Transfer)\*\*[^\n]{0,2}\*\*(?:First look|Answer|Check|Transfer)\*\*"
-LOW_QUALITY = r"(?i)答案以.*为准|调用对应方法卡|矩阵或公式|先圈出对象|不要急着代数展开|自测答案?以.*来源|同型变式通常只换|详见来源|见原题答案|复核时对照\s*paper-card|题目较长.*关键条件"
+# Patterns with branches look at the character that each may begin with first: whole texts are searched, and nearly all places fail there.
+PLACEHOLDER = r"(?imd)(?=[{T待|])(?:\{\{[^}]+\}\}|TODO|TBD|待 AI|待整理|^\|\s*\|\s*\|)"
+MACHINE_REF = r"(?i)(?=[.p机])(?:(?<=[\w.-])\.json#[^\s,，;；)）\]}】、。]|paper-card|机器可读题目卡引用)"
+BROKEN_PROSE = r"(?i)(?=[\\*\u4e00-\u9fff])(?:\\end\*\*Transfer|无\*\*Transfer|\*\*Answer\*\*：?\s*\$[^\n]{0,80}>\s*\*\*Check|验\*\*Transfer|\*\*(?:First look|Answer|Check|Transfer)\*\*[^\n]{0,2}\*\*(?:First look|Answer|Check|Transfer)\*\*)"
+LOW_QUALITY = r"(?i)(?=[\u4e00-\u9fff])(?:答案以.*为准|调用对应方法卡|矩阵或公式|先圈出对象|不要急着代数展开|自测答案?以.*来源|同型变式通常只换|详见来源|见原题答案|复核时对照\s*paper-card|题目较长.*关键条件)"
 UNIVERSAL = r"(?i)看到题干后先判入口|根据关键词确定本题属于本题型|使用本页核心方法中最匹配的一条|把题目给出的矩阵、向量或参数代入|按本页模板核算|同卷答案区核算"
 GENERIC_ANSWER = r"(?is)答案\s*[：:].{0,80}(?:按本页模板|同卷答案区|核算最终数值|以来源为准|对照\s*paper-card|自行计算)"
 HEADING_ONLY = r"(?i)(?:\*\*)?题目(?:\*\*)?\s*[：:]\s*(?:\n\s*){0,2}#{1,6}\s*[一二三四五六七八九十\d]+[.、．][^\n]{0,40}(?:题|分|共|简答|计算)"
 RAW_DUMP = r"(?:\*\*)?题目(?:\*\*)?\s*[：:][^\n]{240,}(?:解\s*[：:]|答案\s*[：:]|\\\\begin\{array\})"
 SELF_QUESTION = r"(?md)^#{1,6}\s*\d+(?:\.\d+)*\s*为什么"
-GROUNDING = r"(?:课本|教材|讲义).{0,24}(?:§\s*\d+(?:\.\d+)+|图\s*\d+(?:\.\d+)+|题图\s*\d+(?:\.\d+)+|第\s*\d+\s*章)"
-OVERBROAD = r"(?:课本|教材|讲义).{0,16}§\s*\d+(?:\.\d+)?(?:\s|[，,、。；;]|$)"
+GROUNDING = r"(?=[\u4e00-\u9fff])(?:课本|教材|讲义).{0,24}(?:§\s*\d+(?:\.\d+)+|图\s*\d+(?:\.\d+)+|题图\s*\d+(?:\.\d+)+|第\s*\d+\s*章)"
+OVERBROAD = r"(?=[\u4e00-\u9fff])(?:课本|教材|讲义).{0,16}§\s*\d+(?:\.\d+)?(?:\s|[，,、。；;]|$)"
 FULL_PROBLEM = r"(?:\*\*)?题目(?:\*\*)?\s*[：:]"
 WEAK_PROBLEM = r"题目摘录\s*[：:]|题目摘要\s*[：:]|题目\s*[：:].{0,30}(?:往年题|自测)\s*\d+"
 SOLUTION_STEP = r"完整解析|解析|第\s*\d+\s*步|先判|再写|代入|验算|检查"
 ANSWER = r"(?md)自测.*答案|(?:\*\*)?答案(?:\*\*)?\s*[：:]"
 QUESTION_REF = r"第?\s*[一二三四五六七八九十\d]+\s*题|Q\d+|一、|二、|三、|四、|五、|六、|七、"
 HUMAN_SOURCE = r"(?:\d{4}\s*[-—]\s*\d{4}|20\d{2}|19\d{2}).{0,24}(?:学期|期中|期末|真题|试卷|卷).{0,24}(?:[一二三四五六七八九十]+[.、．]?\d*|第\s*\d+\s*题|\d+\s*[.、．])"
-FABRICATED = "自编题|模拟题|改编题|原创题"
+FABRICATED = r"(?=[\u4e00-\u9fff])(?:自编题|模拟题|改编题|原创题)"
 CITED = r"来源\s*(?:\*\*)?\s*[：:]"
 LABEL = r"(?:\*\*)?来源(?:\*\*)?\s*[：:]\s*([^\n。；;]+)"
 BLOCKS = {
@@ -464,8 +465,8 @@ def markdown_rules(text: Column, kind: str | None = None, for_people: bool = Fal
     rules["placeholder-content"] = text.rlike(PLACEHOLDER)
     if for_people:
         rules |= {"human-markdown-machine-ref-leak": text.rlike(MACHINE_REF), "human-markdown-broken-prose-join": text.rlike(BROKEN_PROSE)}
-    displayed = F.exists(F.transform(F.split(text, "\n"), lambda v: F.btrim(v)), lambda x: x.contains("$$") & (x != "$$"))
-    return rules | {"markdown-table": broken_tables(text) != "", "render-risk": displayed | loose_inline(text)}
+    displayed = F.contains(text, F.lit("$$")) & F.exists(F.transform(F.split(text, "\n"), lambda v: F.btrim(v)), lambda x: x.contains("$$") & (x != "$$"))
+    return rules | {"markdown-table": broken_tables(text) != "", "render-risk": displayed | (F.contains(text, F.lit("$")) & loose_inline(text))}
 
 
 def human_sources(text: Column) -> Column:
@@ -487,18 +488,11 @@ def insufficient(text: Column) -> Column:
     return holds(text, ("证据不足", "需人工补充", "needs-review"))
 
 
-def type_page_rules(text: Column, known_types: Column, grounded_types: Column) -> dict[str, Column]:
-    """The 33 page codes; most need a type with a dossier, without which only the first are told."""
-    part = lambda name, stops: outline_section(text, PARTS[name], stops)
-    shown = part("例题", PARTS["自测题"] + PARTS["自测答案"] + LATER)
-    tests = part("自测题", PARTS["自测答案"] + LATER)
-    given = part("自测答案", LATER)
-    kind = page_field(text, "exam_type_id")
+def _type_page_rules(text: Column, cut: Callable[[str], Column], known_types: Column) -> dict[str, Column]:
+    """The 33 page codes, of a page and what ``cut`` names of it; most need a type with a dossier, without which only the first are told."""
+    shown, tests, given, kind, of_shown, of_tests, generic = map(cut, ("shown", "tests", "given", "kind", "of_shown", "of_tests", "generic"))
     known = (kind != "") & F.array_contains(known_types, kind)
-    of_shown, of_tests = human_sources(shown), human_sources(tests)
-    few = (page_field(text, "quality") != "needs-review") & ~insufficient(text)
-    generic = F.regexp_count(given, F.lit(GENERIC_ANSWER))
-    grounded = text.rlike(GROUNDING) | F.array_contains(grounded_types, kind)
+    few, grounded = cut("few"), cut("grounded")
     first = {
         "type-analysis-missing-block": any_of(~holds(text, names) for names in BLOCKS.values()),
         "type-analysis-missing-source-question": ~text.rlike(CITED) | ~(text.rlike(QUESTION_REF) | text.rlike(HUMAN_SOURCE)),
@@ -539,8 +533,25 @@ def type_page_rules(text: Column, known_types: Column, grounded_types: Column) -
     return first | {code: known & test for code, test in rest.items()}
 
 
-def type_page_codes(text: Column, known_types: Column, grounded_types: Column) -> Column:
-    return codes(markdown_rules(text, "exam-type-analysis", True) | type_page_rules(text, known_types, grounded_types))
+def with_type_page(df: DataFrame, text_col: str, known_types: Column, grounded_types: Column) -> DataFrame:
+    """``df`` with ``codes``, the page codes of a type page.
+
+    The parts of a page are cut once, as columns of their own, and so is what several rules
+    ask of them; a page is one row all the time, and nothing is worked out for rows to leave out.
+    """
+    text, kept = F.col(text_col), df.columns
+    cut = lambda name: F.col(f"_{name}")
+    part = lambda name, stops: outline_section(text, PARTS[name], stops)
+    df = df.withColumns({
+        "_shown": part("例题", PARTS["自测题"] + PARTS["自测答案"] + LATER), "_tests": part("自测题", PARTS["自测答案"] + LATER), "_given": part("自测答案", LATER), "_kind": page_field(text, "exam_type_id"),
+        "_few": (page_field(text, "quality") != "needs-review") & ~insufficient(text),
+    })
+    df = df.withColumns({
+        "_of_shown": human_sources(cut("shown")), "_of_tests": human_sources(cut("tests")), "_generic": F.regexp_count(cut("given"), F.lit(GENERIC_ANSWER)),
+        "_grounded": text.rlike(GROUNDING) | F.array_contains(grounded_types, cut("kind")),
+    })
+    found = codes(markdown_rules(text, "exam-type-analysis", True) | _type_page_rules(text, cut, known_types))
+    return df.withColumn("codes", found).select(*kept, "codes")
 
 
 def standard_codes(text: Column) -> Column:

@@ -313,7 +313,9 @@ CODES: list[tuple[str, list[str]]] = [
 @register("qc_type_page", f"select doc_id, code from ({_known(CODES)})")
 def qc_type_page(spark, sf_dir):
     known, grounded = F.array(F.lit("matrix-rank")), F.array().cast("array<string>")
-    return type_pages(spark, sf_dir, [p for p, _ in CODES]).select("doc_id", F.explode(G.type_page_codes(F.col("md"), known, grounded)).alias("code"))
+    pages = G.with_type_page(type_pages(spark, sf_dir, [p for p, _ in CODES]), "md", known, grounded)
+    # outer, as the optimizer would otherwise work out the codes twice, to leave out empty arrays before
+    return pages.select("doc_id", F.explode_outer("codes").alias("code")).where(F.col("code").isNotNull())
 
 
 @register("agg_check_flags", f"""with e as (select doc_id, list(code) codes from ({_known(CODES)}) where code not like '%transfer' and code not like '%method-link' group by 1)
