@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 def front_matter(text: Column) -> Column:
     """The block between the fences at the start, null without one (BOM and CRLF allowed)."""
-    block = F.regexp_extract(text, "(?s)^\\x{FEFF}?---\\r?\\n(.*?)\\r?\\n---(?:\\r?\\n|$)", 1)
+    block = _block(text)
     return F.when(block != "", block)
 
 
+def _block(text: Column) -> Column:
+    return F.regexp_extract(text, "(?s)^\\x{FEFF}?---\\r?\\n(.*?)\\r?\\n---(?:\\r?\\n|$)", 1)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -26,10 +30,11 @@ def body(text: Column) -> Column:
 
 def front_matter_map(text: Column) -> Column:
     """Keys and values of unindented ``key: value`` lines; quotes and trailing comments go, the last of equal keys stays."""
-    rows = F.filter(F.split(F.coalesce(front_matter(text), F.lit("")), "\\r?\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*:"))
-    keys = F.transform(rows, lambda x: F.substring_index(x, ":", 1))
-    last = F.filter(F.transform(rows, lambda x, i: F.struct(F.substring_index(x, ":", 1).alias("k"), scalar(x).alias("v"), i.alias("i"))), lambda s: F.array_size(F.filter(F.slice(keys, s["i"] + 2, F.size(keys)), lambda k: k == s["k"])) == 0)
-    return F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"])))
+    rows = F.filter(F.split(F.coalesce(_block(text), F.lit("")), "\\r?\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_]*:"))
+    pairs = F.transform(rows, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), scalar(x).alias("v")))
+    later = lambda all_, i: F.slice(all_, i + 2, F.size(all_))
+    # bound once: each look at the rows would cut them out of the whole text again
+    return let(pairs, lambda all_: F.map_from_entries(F.filter(all_, lambda s, i: ~F.exists(later(all_, i), lambda other: other["k"] == s["k"]))))
 
 
 def scalar(row: Column) -> Column:

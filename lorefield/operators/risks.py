@@ -58,7 +58,8 @@ LINE_PATTERNS = {
     "control-character": r"[\x00-\x08\x0b\x0c\x0e-\x1f]",
     "ocr-symbol-garbage": r"\\boxplus|\\neg\s*\\neg|\\\s+Y(?:\s+Y)+",
 }
-CJK_LANGUAGES = ["ch", "cn", "zh", "zh-cn", "zh_hans", "zh-hans", "cjk", "中文"]
+#: Whatever the case; the sign of Kelvin has a k as its small letter.
+CJK_LANGUAGES = r"(?i)\A(?:ch|cn|zh|zh-cn|zh_hans|zh-hans|cj[k\u212A]|中文)\z"
 LANGUAGE_KEYS = ["language", "source_language", "document_language", "ocr_language", "import_language"]
 SOLUTION_LEAD = r"(?md)^\s*(?:解|证明|答)[:：]"
 STEMS = [
@@ -78,7 +79,7 @@ def has_question_stem(md: Column) -> Column:
 
 def low_cjk(md: Column, front: Column) -> Column:
     """A long import that is said to be Chinese and holds no Chinese character."""
-    said = reduce(lambda a, b: a | b, (F.coalesce(F.lower(F.try_element_at(front, F.lit(k))).isin(*CJK_LANGUAGES), F.lit(False)) for k in LANGUAGE_KEYS))
+    said = reduce(lambda a, b: a | b, (F.coalesce(F.try_element_at(front, F.lit(k)).rlike(CJK_LANGUAGES), F.lit(False)) for k in LANGUAGE_KEYS))
     marked = F.split(md, r"(?md)^## Imported Content\s*$", 2)
     body = F.when(F.size(marked) > 1, F.element_at(marked, 2)).otherwise(X.body(md))
     return said & (F.char_length(body) > 2000) & ~body.rlike("[\u4e00-\u9fff]") & md.rlike(r"import_method:\s*(?:mineru|pdf|pymupdf)")
@@ -89,12 +90,12 @@ def document_codes(path: Column, md: Column, not_utf8: Column) -> Column:
     name = F.regexp_extract(path, "([^/]*)$", 1)
 
     def told(front: Column) -> Column:
-        value = lambda k: F.coalesce(F.lower(F.try_element_at(front, F.lit(k))), F.lit(""))
+        says = lambda k, v: F.coalesce(F.try_element_at(front, F.lit(k)).rlike(rf"(?i)\A{v}\z"), F.lit(False))  # noqa: E731  whatever the case
         rules = {
             "low-cjk-density": low_cjk(md, front),
             "non-utf8-import": not_utf8,
-            "legacy-repaired-unverified": (value("repair_status") == "repaired") & (value("verify_status") != "verified"),
-            "frontmatter-repair-risk": value("repair_risk") == "needs-human-review",
+            "legacy-repaired-unverified": says("repair_status", "repaired") & ~says("verify_status", "verified"),
+            "frontmatter-repair-risk": says("repair_risk", "needs-human-review"),
             "answer-missing-question-stem": name.rlike(ANSWER_NAMES) & md.rlike(SOLUTION_LEAD) & ~has_question_stem(md),
             "lossy-ocr-placeholder": F.contains(md, F.lit("\\")) & md.rlike(r"\\texttt\s*\{\s*\\textbf\s*\{\s*#\s*\}\s*:?\s*\}|(?<!\\)\\sharp(?!\w)"),
         }
@@ -111,7 +112,7 @@ def detect(docs: DataFrame, not_utf8: Column | None = None) -> DataFrame:
     """
     flags = F.lit(False) if not_utf8 is None else not_utf8
     whole = docs.select("doc_id", F.explode_outer(document_codes(F.col("path"), F.col("md"), flags)).alias("code"), F.lit(None).cast("int").alias("line_no")).where(F.col("code").isNotNull())
-    any_line = "(?md)" + "|".join(f"(?:{p})" for p in LINE_PATTERNS.values())
+    any_line = r"(?md)(?=[#\\\x00-\x1f])(?:" + "|".join(f"(?:{p})" for p in LINE_PATTERNS.values()) + ")"  # what they begin with comes first, as nearly all places fail there
     rows = docs.where(F.col("md").rlike(any_line)).select("doc_id", F.posexplode(F.split("md", "\n")).alias("at", "line"))
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.lit(code)) for code, p in LINE_PATTERNS.items())))
     by_line = rows.select("doc_id", F.explode(hits).alias("code"), (F.col("at") + 1).alias("line_no"))
