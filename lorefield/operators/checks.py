@@ -18,10 +18,11 @@ def file_results(docs: DataFrame, risks: DataFrame, skipped: Column, limit: int
     known = risks.join(F.broadcast(metadata(docs.sparkSession).select("code", "severity")), "code")  # a row for each code
     told = known.select("doc_id", F.when(F.col("severity") == "error", "error").otherwise("warning").alias("level"), F.concat_ws(":", "code", F.col("line_no").cast("string")).alias("named"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "level").orderBy("named"))
-    counts = told.groupBy("doc_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
-    sample = lambda level: F.array_join(F.sort_array(F.collect_list(F.when(F.col("level") == level, F.col("named")))), ",").alias(f"{level}_sample")
-    samples = told.withColumn("nth", nth).where(F.col("nth") <= limit).groupBy("doc_id").agg(sample("error"), sample("warning"))
-    joined = files.join(counts, "doc_id", "left").join(samples, "doc_id", "left")
+    counted = lambda level: F.count_if(F.col("level") == level).alias(f"{level}s")
+    sample = lambda level: F.array_join(F.sort_array(F.collect_list(F.when((F.col("level") == level) & (F.col("nth") <= limit), F.col("named")))), ",").alias(f"{level}_sample")
+    # counts and samples in one grouping: risks that are asked for twice are found twice
+    grouped = told.withColumn("nth", nth).groupBy("doc_id").agg(counted("error"), counted("warning"), sample("error"), sample("warning"))
+    joined = files.join(grouped, "doc_id", "left")
     number = lambda c: F.when(F.col("skipped"), 0).otherwise(F.coalesce(c, F.lit(0))).alias(c)
     text = lambda c: F.when(F.col("skipped"), "").otherwise(F.coalesce(c, F.lit(""))).alias(c)
     return joined.select("doc_id", "path", "skipped", number("errors"), number("warnings"), text("error_sample"), text("warning_sample"))
