@@ -55,8 +55,9 @@ def agg_affected_lines(spark, sf_dir):
 @register("agg_merge_risks", f"with {RISKS}, twice as (select *, 'scan' told_by from risks union all select *, 'import' from risks where doc_id % 3 = 0) select doc_id, code, count(*) n, max(told_by) told_by from twice group by 1, 2")
 def agg_merge_risks(spark, sf_dir):
     """Records of two scanners merged by code: counts add up, what the first one said stays."""
-    risks = _risks(spark, sf_dir)
-    both = risks.select("doc_id", "code", F.lit(0).alias("seq"), F.lit("scan").alias("told_by")).union(risks.where("doc_id % 3 = 0").select("doc_id", "code", F.lit(1), F.lit("import")))
+    scanned, imported = (F.struct(F.lit(k).alias("seq"), F.lit(name).alias("told_by")) for k, name in enumerate(("scan", "import")))
+    told = F.when(F.col("doc_id") % 3 == 0, F.array(scanned, imported)).otherwise(F.array(scanned))
+    both = _risks(spark, sf_dir).select("doc_id", "code", F.inline(told))  # texts are read once for both
     return both.groupBy("doc_id", "code").agg(F.count("*").alias("n"), F.min_by("told_by", "seq").alias("told_by"))
 
 
@@ -99,9 +100,8 @@ def agg_primary_of_equals(spark, sf_dir):
 def agg_blocking(spark, sf_dir):
     """Blocking defects, and the lines they are on; for a defect of a whole document its first telling line."""
     blocking = _records(spark, sf_dir).where(F.col("code").isin(*R.BLOCKING))
-    found = snippets(blocking.select("doc_id", "code"), risky_sidecars(spark, sf_dir)).select("doc_id", "code", F.col("line").alias("told"))
-    lines = F.array_union("sample", F.array_compact(F.array("told")))
-    rows = blocking.join(found, ["doc_id", "code"], "left").select("doc_id", "count", lines.alias("lines"))
+    lines = F.array_union("sample", F.array_compact(F.array(F.col("at") + 1)))
+    rows = placed(blocking.select("doc_id", "code", "count", "sample"), risky_sidecars(spark, sf_dir)).select("doc_id", "count", lines.alias("lines"))
     return rows.groupBy("doc_id").agg(F.sum("count").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("lines")))).cast("bigint").alias("n_lines"))
 
 
@@ -118,16 +118,23 @@ TELLING = {
 }
 
 
-def snippets(codes, docs):
-    """``doc_id, code, line, excerpt``: the first line that tells of a defect, with two lines before and after."""
+def placed(codes, docs):
+    """``codes`` (``doc_id, code`` and others) with the text and ``at``, the place of the first line that tells of the defect; null without one."""
     rows = F.split("md", "\n")
     first_line = lambda pattern: F.get(F.array_compact(F.transform(rows, lambda x, i: F.when(x.rlike(pattern), i))), F.lit(0))
     first = F.lit(None).cast("int")
     for code, pattern in TELLING.items():
         first = F.when(F.col("code") == code, first_line(pattern)).otherwise(first)
-    placed = codes.join(docs.select("doc_id", "md"), "doc_id").withColumn("at", first).where("at is not null")
+    return codes.join(docs.select("doc_id", "md"), "doc_id", "left").withColumn("at", first)
+
+
+def snippets(codes, docs):
+    """``doc_id, code, line, excerpt``: the first line that tells of a defect, with two lines before and after."""
     begin = F.greatest(F.col("at") - 2, F.lit(0))
-    return placed.select("doc_id", "code", (F.col("at") + 1).alias("line"), F.array_join(F.slice(rows, begin + 1, F.col("at") + 3 - begin), "\n").alias("excerpt"))
+    excerpt = F.array_join(F.slice(F.split("md", "\n"), begin + 1, F.col("at") + 3 - begin), "\n")
+    found = F.when(F.col("at").isNotNull(), F.struct((F.col("at") + 1).alias("line"), excerpt.alias("excerpt")))
+    # outer, as the optimizer would otherwise look for the lines twice, to leave out what has none before
+    return placed(codes, docs).select("doc_id", "code", F.explode_outer(F.array(found)).alias("f")).where("f is not null").select("doc_id", "code", "f.line", "f.excerpt")
 
 
 @register("risk_snippets", f"""with {RISKS}, told as (select doc_id, code, case code when 'latex-left-right-unbalanced' then l1 + 1 when 'legacy-repaired-unverified' then 5 when 'frontmatter-repair-risk' then 7 else l1 end line from risks join m using (doc_id) where code <> 'low-cjk-density')
