@@ -49,4 +49,9 @@ def per_value(f: Callable, kind: str = "string"):
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return run(a, b, c)
 
-    return lambda *columns: pandas_udf((one, two, three)[len(columns) - 1], kind)(*columns)
+    def applied(*columns):
+        if session := SparkSession.getActiveSession():
+            small_batches(session)
+        return pandas_udf((one, two, three)[len(columns) - 1], kind)(*columns)
+
+    return applied
