@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .arrow import small_batches
 from .graph import components
 from .shared import HOT_SHARE, lookup, materialise, shared_folder
-from .shingles import set_blocks, set_digests
+from .shingles import parity_gap, set_blocks, set_digests, set_parity
 
 #: A region of more rows is split by Voronoi cells of its own pivots, and so on.
 LEAF_ROWS = 4096
@@ -55,7 +55,7 @@ def _coded(counts: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, bits: int, path: str) -> tuple[DataFrame, np.ndarray]:
-    """Sizes and digests of all sets, and coded counts of their shingles in a table of ``2 ** bits`` counters."""
+    """Sizes, digests and parities of all sets, and coded counts of their shingles in a table of ``2 ** bits`` counters."""
 
     def run(batches):
         seen = np.zeros(1 << bits, np.uint32)
@@ -63,14 +63,14 @@ def _describe(docs: DataFrame, bits: int, path: str) -> tuple[DataFrame, np.ndar
             digest = set_digests(sets)
             for s in sets:
                 seen[s >> np.uint64(64 - bits)] += 1  # a slot that two shingles of one text share counts once
-            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys]
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys, pa.array(map(set_parity, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], _DESCRIBED)
         part = 1 << 16
         for k in range(0, 1 << bits, part):
             if seen[k : k + part].any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 5 + [pa.array([k // part], pa.int32()), pa.array([seen[k : k + part].tobytes()])], _DESCRIBED)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 5 + [pa.nulls(1, pa.binary()), pa.array([k // part], pa.int32()), pa.array([seen[k : k + part].tobytes()])], _DESCRIBED)
 
-    docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, text_key bigint, part int, counts binary").write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, text_key bigint, parity binary, part int, counts binary").write.option("compression", "zstd").parquet(path)
     both = docs.sparkSession.read.parquet(path)
 
     def add(batches):
@@ -86,10 +86,10 @@ def _describe(docs: DataFrame, bits: int, path: str) -> tuple[DataFrame, np.ndar
     parts = both.where("part is not null").select("part", "counts").repartition("part")
     for r in parts.mapInArrow(add, "part int, counts binary").collect():  # 2 ** bits counters in all
         table[r.part << 16 : (r.part + 1) << 16] = np.frombuffer(r.counts, np.uint16)
-    return both.where("part is null").select("id", "n", "h1", "h2", "text_key"), table
+    return both.where("part is null").select("id", "n", "h1", "h2", "text_key", "parity"), table
 
 
-_DESCRIBED = ["id", "n", "h1", "h2", "text_key", "part", "counts"]
+_DESCRIBED = ["id", "n", "h1", "h2", "text_key", "parity", "part", "counts"]
 
 
 def _entries(docs: DataFrame, counts: np.ndarray, copies: dict[tuple[int, int], int], num: int, den: int) -> DataFrame:
@@ -205,14 +205,15 @@ FILTER_BITS = 27
 def _named_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
     """``id, text`` of the ids in ``named``, which is read twice.
 
-    A filter with eight bits or more for each name, sized by their number, lets hardly
-    any other text leave its task; names beyond what FILTER_BITS can tell apart are not
-    filtered but joined at once.
+    A filter with 32 bits or more for each name (eight where FILTER_BITS allows no more), sized
+    by their number, lets hardly any other text leave its task; names beyond what FILTER_BITS
+    can tell apart are not filtered but joined at once.
     """
     spark = docs.sparkSession
     texts, count = docs.select("id", "text"), named.count()
-    bits = max(16, int(np.ceil(np.log2(max(count, 1)))) + 3)
-    if bits <= FILTER_BITS:
+    least = max(16, int(np.ceil(np.log2(max(count, 1)))) + 3)
+    if least <= FILTER_BITS:
+        bits = min(FILTER_BITS, least + 2)
         slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits) + 1
         maps = named.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()  # 2 ** bits bits in all
         shared = spark.sparkContext.broadcast({r.k: bytes(r.bits) for r in maps})
@@ -236,11 +237,32 @@ def _named_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b, inter, na, nb, linked`` by the whole sets of both texts.
+def _near_parities(sizes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` that the parities of their sets leave open, so that few texts move that are not linked.
+
+    Two sets differ in as many elements as their parities differ in bits, or in more; those that
+    are linked differ in ``na + nb - 2 need`` elements at most, so no linked pair is left out.
+    """
+    sets = sizes.select("id", "n", "parity").dropDuplicates(["id"])
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+    need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / (num + den))
+    asked = pairs.select("a", "b", (F.col("na") + F.col("nb") - 2 * need).alias("most"), "pa", "pb")
+
+    def run(batches):
+        for batch in batches:
+            most, left, right = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            yield batch.select([0, 1]).filter(pa.array([parity_gap(x, y) <= m for m, x, y in zip(most, left, right)], pa.bool_()))
+
+    return asked.mapInArrow(run, "a bigint, b bigint")
+
+
+def _verify(docs: DataFrame, sizes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, inter, na, nb, linked`` by the whole sets of both texts, for the pairs that parities leave open.
 
     A pivot with many partners is copied to one group for each HUB_ROWS.
     """
+    pairs = materialise(_near_parities(sizes, pairs, num, den))
     texts = _named_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     partners = pairs.groupBy("a").agg(F.count("*").alias("m")).withColumn("groups", F.ceil(F.col("m") / HUB_ROWS))
     dealt = pairs.join(partners, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")))
@@ -378,11 +400,12 @@ def jaccard_components(df: DataFrame, num: int = 75, den: int = 100, digest: boo
        so whole texts would be pivots that tell nothing apart at this level.  Each set
        goes to its own cell and, as a boundary document, to those in its window.
     2. Inside a region the most central text is the next pivot.  Members that sizes and
-       places let be within the radius are measured against it by their whole sets.
+       places let be within the radius, and whose parities do not tell them apart
+       (``_near_parities``), are measured against it by their whole sets.
     3. Regions that still hold several components are joined again.  Those over LEAF_ROWS
        are split by Voronoi cells of their own texts, with windows for boundary documents,
        level by level (``_split``); in what is left, pairs that the triangle inequality,
-       sizes, places and components leave open are measured by their whole sets.
+       sizes, places, components and parities leave open are measured by their whole sets.
 
     Returns ``id, n_shingles, component_id`` (the least id reachable by links) for each
     row, and with ``digest`` ``text_key``, the xxhash64 of the text (null: empty), by which
@@ -423,7 +446,7 @@ def _joined(docs: DataFrame, sizes: DataFrame, counts: np.ndarray, root: str, ro
     need = F.ceil(F.lit(num) * (F.col("n") + F.col("pn")) / (num + den))
     fits = (F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp")) >= need) & (F.least("n", "pn") * den >= F.greatest("n", "pn") * num)
     stars = materialise(regions.where("id <> pivot").join(centres, "s").where(fits).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    checked = _verify(docs, stars, num, den)
+    checked = _verify(docs, sizes, stars, num, den)
     links = checked.where("linked").select("a", "b")
     labels = components(links)
     mixed = materialise(_mixed(_labelled(regions, labels)))
@@ -436,7 +459,7 @@ def _joined(docs: DataFrame, sizes: DataFrame, counts: np.ndarray, root: str, ro
         leaves = leaves.union(more)
     left = materialise(_open_pairs(leaves, labels, num, den))
     if not left.isEmpty():
-        more = _verify(docs, left, num, den).where("linked").select("a", "b")
+        more = _verify(docs, sizes, left, num, den).where("linked").select("a", "b")
         labels = components(links.union(more))
     return _with_labels(sizes, classes, labels)
 

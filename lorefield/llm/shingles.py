@@ -91,3 +91,20 @@ def set_digests(sets: list[np.ndarray]) -> np.ndarray:
         out[i, 0] = (mix(s ^ SEEDS[1]) * SEEDS[2]).sum(dtype=np.uint64)
         out[i, 1] = mix(s + SEEDS[3]).sum(dtype=np.uint64)
     return mix(out).view(np.int64)
+
+
+def set_parity(s: np.ndarray) -> bytes:
+    """A bit for each residue of shingles, set where an odd number of them has it; 64 bits or more, about one or two for each shingle."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_gap(a: bytes, b: bytes) -> int:
+    """In how many bits two parities differ, the longer one folded to the other's length; the sets differ in as many elements or more."""
+    short, long = sorted((a, b), key=len)
+    x, n = int.from_bytes(long, "little"), 8 * len(long)
+    while n > 8 * len(short):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(short, "little")).bit_count()

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from lorefield.llm.graph import components
 from lorefield.llm.jaccard import jaccard_components
 from lorefield.llm.sharding import hilbert_index, hilbert_shards, write_shards
 from lorefield.llm.shared import lookup
+from lorefield.llm.shingles import parity_gap, set_parity
 from lorefield.llm.warc import MAGIC, archive_round_trip, read_warc, write_warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, label string, norm string, size string"
@@ -107,6 +109,30 @@ def test_jaccard_join_of_a_spread_group(spark, monkeypatch):
     assert len(levels) >= 3  # stars, a level of cells at least, and what was left open
 
 
+def test_jaccard_join_moves_hardly_any_text_that_is_not_linked(spark, monkeypatch):
+    """Rare passages before more frequent ones make many pairs that share half of their texts, and no links."""
+    moved, named = [], jaccard._named_texts
+    monkeypatch.setattr(jaccard, "_named_texts", lambda docs, ids: moved.append(ids.count()) or named(docs, ids))
+    rnd = random.Random(3)
+    words = lambda n: " ".join(f"w{rnd.randrange(10**7)}" for _ in range(n))
+    rare, frequent, own = [words(100) for _ in range(10)], [words(100) for _ in range(8)], words(100)
+    texts = [f"{p} {q}" for p in rare for q in frequent] + [f"{own} tail", f"{own} other tail"]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(table(spark, texts)).collect())
+    assert got == [(i, i) for i in range(81)] + [(81, 80)]
+    assert sum(moved) < 20  # without a look at parities, 152
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_elements():
+    rnd = random.Random(4)
+    for sizes in [(0, 0), (1, 1), (3, 70), (64, 65), (100, 130), (300, 300), (700, 5000)]:
+        for share in (0, 0.5, 1):
+            a = {rnd.getrandbits(64) for _ in range(sizes[0])}
+            b = set(sorted(a)[: int(share * len(a))]) | {rnd.getrandbits(64) for _ in range(sizes[1] - int(share * len(a)))}
+            x, y = (set_parity(np.array(sorted(s), np.uint64)) for s in (a, b))
+            assert parity_gap(x, y) == parity_gap(y, x) <= len(a ^ b)
+            assert parity_gap(x, x) == 0
+
+
 def test_jaccard_join_of_repeated_and_null_ids(spark):
     rnd = random.Random(6)
     long = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
