@@ -47,34 +47,57 @@ def _rest(match: Column) -> Column:
 
 
 def outline(text: Column) -> Column:
-    """The text cut before each heading: ``level`` (0 for what stands above the first) and ``part``, heading included."""
+    """The text cut before each heading.
+
+    ``parts`` (heading included) and their ``levels`` (0 for what stands above the first); ``heads`` and
+    ``flat`` have a line for each part, of its heading and of all of it, for titles to be found in.
+    """
     signs = lambda b: F.char_length(F.regexp_extract(b, r"(?U)\A(#{1,6})(?!#)\s", 1))
-    return F.transform(F.split(text, ANY + r"^(?=#{1,6}(?!#)\s)"), lambda b: F.struct(signs(b).alias("level"), b.alias("part")))
+    head = lambda b, level: F.when(level > 0, F.substring_index(b, "\n", 1)).otherwise(F.lit(""))
+    one_line = lambda b: F.replace(b, F.lit("\n"), F.lit(LINE_END))
+
+    def cut(parts: Column) -> Column:
+        joined = lambda levels: F.struct(parts.alias("parts"), levels.alias("levels"), F.array_join(F.zip_with(parts, levels, head), "\n").alias("heads"), F.array_join(F.transform(parts, one_line), "\n").alias("flat"))
+        return X.let(F.transform(parts, signs), joined)
+
+    return X.let(F.split(text, ANY + r"^(?=#{1,6}(?!#)\s)"), cut)
+
+
+#: What stands for the end of a line inside a part that is a line itself; no title holds it.
+LINE_END = "\x01"
 
 
-def section_of(parts: Column, title: Column, anywhere: Column) -> Column:
+def _line_with(lines: Column, title: Column) -> Column:
+    """The number of the first line that holds ``title``, 0 without one."""
+    ends = lambda b: F.octet_length(b) - F.octet_length(F.replace(b, F.lit("\n"), F.lit("")))
+    return X.let(_before(lines, title), lambda b: F.when(F.octet_length(b) < F.octet_length(lines), ends(b) + 1).otherwise(0))
+
+
+def _before(text: Column, marker: Column) -> Column:
+    """What stands before the first ``marker``, all of it without one; looks at bytes, where ``position`` counts characters."""
+    return F.call_function("substring_index", text, marker, F.lit(1))
+
+
+def section_of(cut: Column, title: Column, anywhere: Column) -> Column:
     """What follows the first heading of an outline that holds ``title`` up to one of its level or above.
 
     ``anywhere``: a line that is no heading counts too, with the level of a second one.
     """
-    heads = lambda b: (b["level"] > 0) & F.contains(F.substring_index(b["part"], "\n", 1), title)
-    at = F.array_position(F.transform(parts, lambda b: F.when(anywhere, F.contains(b["part"], title)).otherwise(heads(b))), True).cast("int")
 
-    def found(place: Column) -> Column:
-        first, later = place["part"], place["later"]
-        in_head = heads(first)
-        level = F.when(in_head, first["level"]).otherwise(2)
-        line = F.when(in_head, first["part"]).otherwise(F.substring(first["part"], F.position(title, first["part"]), F.char_length(first["part"])))
-        stop = F.array_position(F.transform(later, lambda b: b["level"] <= level), True).cast("int")
-        below = F.transform(F.when(stop > 0, F.slice(later, 1, stop - 1)).otherwise(later), lambda b: b["part"])
-        return F.concat(_rest(line), F.array_join(below, ""))
+    def found(at: Column) -> Column:
+        first, own = F.get(cut["parts"], at - 1), F.get(cut["levels"], at - 1)
+        in_head = (own > 0) & F.contains(F.substring_index(first, "\n", 1), title)
+        below = lambda level: F.array_position(F.transform(F.slice(cut["levels"], at + 1, F.lit(1 << 20)), lambda v: v <= level), True).cast("int")
+        line = F.when(in_head, first).otherwise(F.substring(first, F.position(title, first), F.char_length(first)))
+        stop = X.let(F.when(in_head, own).otherwise(2), below)
+        return F.concat(_rest(line), F.array_join(F.slice(cut["parts"], at + 1, X.let(stop, lambda n: F.when(n > 0, n - 1).otherwise(1 << 20))), ""))
 
-    place = lambda i: F.struct(F.get(parts, i - 1).alias("part"), F.slice(parts, i + 1, F.lit(1 << 20)).alias("later"))
-    return F.coalesce(X.let(at, lambda i: F.when(i > 0, X.let(place(i), found))), F.lit(""))
+    at = _line_with(F.when(anywhere, cut["flat"]).otherwise(cut["heads"]), title)
+    return X.let(at, lambda i: F.when(i > 0, found(i)).otherwise(F.lit("")))
 
 
 def section(text: Column, title: str, anywhere: bool = False) -> Column:
-    return F.when(F.contains(text, F.lit(title)), X.let(outline(text), lambda parts: section_of(parts, F.lit(title), F.lit(anywhere)))).otherwise(F.substring(text, 1, 0))
+    return F.when(F.contains(text, F.lit(title)), X.let(outline(text), lambda cut: section_of(cut, F.lit(title), F.lit(anywhere)))).otherwise(F.substring(text, 1, 0))
 
 
 def outline_section(text: Column, titles: tuple[str, ...], stops: tuple[str, ...]) -> Column:
@@ -85,21 +108,21 @@ def outline_section(text: Column, titles: tuple[str, ...], stops: tuple[str, ...
 
 def plain(text: Column) -> Column:
     """Text without headings, links' targets and signs of markup, white space as one blank."""
-    text = F.regexp_replace(text, ANY + r"^#{1,6}\s+.*$", " ")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[|>`*_#\-\[\]()]", " "), r"(?U)\s+", " "))
+    text = F.when(F.contains(text, F.lit("#")), F.regexp_replace(text, ANY + r"^#{1,6}\s+.*$", " ")).otherwise(text)
+    linked = lambda t: F.when(F.contains(t, F.lit("](")), F.regexp_replace(t, r"\[([^\]]*)\]\([^)]*\)", "$1")).otherwise(t)
+    return F.btrim(F.regexp_replace(X.let(text, linked), r"(?U)[\s|>`*_#\-\[\]()]+", " "))
 
 
 def has_substance(text: Column, least: int | Column) -> Column:
-    told = lambda body: (F.char_length(body) >= least) & ~body.rlike(r"\A[|:\- ]*\z") & ~body.rlike(r"\{\{[^}]+\}\}")
-    return (F.char_length(text) >= least) & X.let(plain(text), told)
+    told = lambda body: (F.char_length(body) >= least) & ~body.rlike(r"\A[|:\- ]*\z") & ~(F.contains(body, F.lit("{{")) & body.rlike(r"\{\{[^}]+\}\}"))
+    return X.let(text, lambda t: (F.char_length(t) >= least) & X.let(plain(t), told))
 
 
 def after(text: Column, marker: str | Column, n: int) -> Column:
     """``n`` characters after the first ``marker``; null without one."""
     marker = F.lit(marker) if isinstance(marker, str) else marker
-    at = F.position(marker, text)
-    return F.when(at > 0, F.substring(text, at + F.char_length(marker), F.lit(n)))
+    at = F.char_length(_before(text, marker)) + 1
+    return F.when(F.contains(text, marker), F.substring(text, at + F.char_length(marker), F.lit(n)))
 
 
 def _substance_after(text: Column, markers: tuple[str, ...], n: int, least: int) -> Column:
@@ -159,7 +182,7 @@ TABLE_HEADS = ["时间情况", "策略", "大约可省", "易错点", "错误做
 RESIDUE = r"Seeded from|^\|\s*Paper\s*\|\s*(?:Reliability|Difficulty|Format)\s*\||^\|\s*[^|\n]*\|\s*unspecified\s*\||^#{1,6}\s+Common Pitfalls\b"
 TEACHING = "为什么这么做|先做什么，为什么|为什么|验算|易错点对比|错法|正法"
 METHOD_REF = r"【方法引用】[^\S\r\n]*\S+"
-VAGUE_SOURCE = r"(?i)来源\s*[：:]\s*(真题|待补|待补充|TBD|TODO)?\s*$"
+VAGUE_SOURCE = r"来源(?i:\s*[：:]\s*(真题|待补|待补充|TBD|TODO)?\s*$)"
 EMPTY_SOURCES = ["真题", "待补", "待补充", "TBD", "TODO"]
 SOURCE_SAMPLES = ["YYYY", "第X学期", "第X题"]
 EXAMPLE_HEAD = r"^###\s*(?:例题|Example)\b"
@@ -207,7 +230,7 @@ def examples(text: Column) -> Column:
 def filled_example(block: Column, known: Column) -> Column:
     prompt = _substance_after(block, ("题目原文", "题目：", "题目"), 400, 6) | has_substance(F.substring(block, 1, 500), 40)
     solved = _substance_after(block, ("完整解析", "解析", "Solution"), 600, 12)
-    method = ~holds(block, ("步骤 _", "步骤 X")) & block.rlike(METHOD_REF)
+    method = ~holds(block, ("步骤 _", "步骤 X")) & F.contains(block, F.lit("【方法引用】")) & block.rlike(METHOD_REF)
     return holds(block, TEACHING.split("|")) & method & known & solved & prompt
 
 
@@ -245,17 +268,23 @@ def filled_test(block: Column, known: Column, apart: Column, numbers: Column) ->
 
 
 def answers_apart(text: Column) -> Column:
-    return F.contains(text, F.lit("自测答案")) & text.rlike(ANY + r"^#{1,6}\s+自测答案\b")
+    return has_heading(text, "自测答案")
+
+
+def has_heading(text: Column, title: str) -> Column:
+    """A heading that begins with ``title`` and a boundary; the usual form is a plain search."""
+    return F.contains(text, F.lit(f"\n## {title}\n")) | (F.contains(text, F.lit(title)) & text.rlike(rf"{ANY}^#{{1,6}}\s+{title}\b"))
 
 
 def starred(block: Column) -> Column:
     head = F.array_join(F.slice(F.split(block, "\n", 13), 1, 12), "\n")
-    return head.rlike(r"⭐{2,}|难度\s*[：:].*⭐") | head.rlike(r"(?md)^\*\*难度\*\*\s*[：:].*⭐")
+    graded = lambda h: F.contains(h, F.lit("⭐⭐")) | (F.contains(h, F.lit("⭐")) & F.contains(h, F.lit("难度")) & (h.rlike(r"难度\s*[：:].*⭐") | h.rlike(r"(?md)^\*\*难度\*\*\s*[：:].*⭐")))
+    return F.contains(block, F.lit("⭐")) & X.let(head, graded)
 
 
 def ungrounded_block(block: Column, known: Column) -> Column:
     """Without a source that names a paper, or made up."""
-    made_up = block.rlike("自编题|模拟题") & ~holds(block, ("改编", "原题"))
+    made_up = holds(block, ("自编题", "模拟题")) & ~holds(block, ("改编", "原题"))
     vague = F.contains(block, F.lit("来源")) & block.rlike(ANY + VAGUE_SOURCE)
     return ~known | made_up | vague
 
@@ -344,7 +373,8 @@ def with_structure(df: DataFrame, text_col: str) -> DataFrame:
         "short": evidence_short(text), "apart": answers_apart(text), "examples": examples(text), "tests": _numbered(F.when(F.btrim(cut("自测题")) != "", cut("自测题")).otherwise(text), TEST_HEAD),
         "numbers": answered(_numbered(cut("自测答案"), ANSWER_HEAD)), "errors": either("易错点与检查清单", "易错点", anywhere=False), "meta": F.coalesce(F.nullif(cut("元信息", True), F.lit("")), text),
     }.items()})
-    checked = F.array_join(F.filter(F.split(text, "\n"), lambda v: v.rlike(r"(?=[vV\u4e00-\u9fff])(?:验证|校验|验算|(?i:verify))")), "\n")
+    verified = lambda t: t.rlike("[vV](?i:erify)")
+    checked = X.let(verified(text), lambda english: F.array_join(F.filter(F.split(text, "\n"), lambda v: holds(v, ("验证", "校验", "验算")) | (english & verified(v))), "\n"))
     decision = F.coalesce(F.nullif(either("方法选择", "决策"), F.lit("")), F.substring(text, F.position(F.lit("├"), text), F.lit(160)))
     wanted = {  # bodies, and the characters that make substance of them
         **{m: (cut(m, True), 6) for m in ENTRY}, "badge": (F.substring(col("meta"), 1, 240), 6), "lookup": (cut("一眼先记住", True), 6), "symbols": (F.concat(cut("符号", True), F.lit("\n"), cut("术语", True)), 6),
@@ -361,7 +391,7 @@ def with_structure(df: DataFrame, text_col: str) -> DataFrame:
     })
     counted = lambda blocks, name: F.size(F.filter(blocks, lambda b: b[name]))
     least = lambda usual: F.when(col("short"), 1).otherwise(usual)
-    meta, heading = col("meta"), lambda title: F.contains(text, F.lit(title)) & text.rlike(ANY + rf"^#{{1,6}}\s+{title}\b")
+    meta, heading = col("meta"), lambda title: has_heading(text, title)
     template = F.coalesce(F.nullif(either("填空式答题模板", "2分钟下笔模板", anywhere=False), F.lit("")), text)
     faulty = {
         "required_sections": ~reduce(lambda a, b: a & b, (F.contains(text, F.lit(s)) for s in SECTIONS)),
@@ -381,7 +411,7 @@ def with_structure(df: DataFrame, text_col: str) -> DataFrame:
         "markdown_tables": broken_tables(text) != "",
         "chinese_user_facing": residue(text),
         "source_grounding": (F.size(col("shown")) + F.size(col("tried")) == 0) | (counted(col("shown"), "ungrounded") + counted(col("tried"), "ungrounded") > 0),
-        "render_safe_markdown": text.rlike(r"(?md)^>\s*\|") | F.exists(F.regexp_extract_all(text, F.lit(r"(?is)<details\b[^>]*>.*?</details>"), F.lit(0)), lambda d: d.contains("$$")),
+        "render_safe_markdown": ((text.startswith(">") | F.contains(text, F.lit("\n>"))) & text.rlike(r"(?md)^>\s*\|")) | F.contains(text, F.lit("$$")) & F.exists(F.regexp_extract_all(text, F.lit(r"(?is)<details\b[^>]*>.*?</details>"), F.lit(0)), lambda d: d.contains("$$")),
         "teaching_scaffolding": ~holds(text, ("方法选择树", "决策流程", "├", "方法选择")) | ~holds(text, TEACHING.split("|")) | ~holds(text, ("易错点", "错法", "正法", "最容易混", "错误做法")) | ~holds(text, ("验算", "校验", "验证", "检查方式")) | ~holds(text, [ENTRY[3]]),
         "concept_explanation": ~heading("核心概念") | ~has("concepts") | ~concepts_told(cut("核心概念")),
         "core_methods": ~heading("核心方法") | ~has("methods") | ~holds(cut("核心方法"), ("适用场景", "方法选择")),

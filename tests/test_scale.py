@@ -78,3 +78,15 @@ def test_markers_are_found_once(spark):
     df = spark.createDataFrame([("<!-- a: 1 -->\n<!-- b: 2 -->\n<!-- a: 3 -->",), ("none",)], "text string").select(markers(F.col("text")).alias("m"))
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 2
     assert [r.m for r in df.collect()] == [{"a": "3", "b": "2"}, {}]
+
+
+def test_what_follows_a_marker_is_cut_once(spark):
+    df = spark.createDataFrame([("题目 # 答案：[前](x) 两列 {{y}}",), ("答案：[前](x) 两列 | 无关组",), ("none",)], "text string").select(G.has_substance(G.after(F.col("text"), "答案：", 50), 8).alias("told"))
+    assert df._jdf.queryExecution().analyzed().toString().count("答案：") == 3  # whether it is there, what stands before, its length
+    assert [r.told for r in df.collect()] == [False, True, None]
+
+
+def test_sections_by_heading_and_anywhere(spark):
+    text = "x 秩 y\nabove\n## 一\nin 秩\nmore\n### 秩的\nown\n#### low\nbelow\n### next\nout\n## 秩"
+    rows = spark.createDataFrame([(text,), ("## a\n秩",), ("none",), ("# 秩\n# b",)], "text string").select(*(G.section(F.col("text"), "秩", anywhere).alias(f"a{anywhere:d}") for anywhere in (False, True)))
+    assert [tuple(r) for r in rows.collect()] == [("own\n#### low\nbelow\n", "above\n"), ("", ""), ("", ""), ("", "")]
