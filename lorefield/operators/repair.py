@@ -6,6 +6,7 @@ import difflib
 import hashlib
 import json
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,38 +150,46 @@ MARKUP = [r"(?s)<!--.*?-->", r"(?is)<(script|style)\b.*?</\1>"]
 def visible(text: str) -> str:
     """Characters that a reader sees, without white space."""
     text = re.sub(r"(?s)\A\ufeff?---\r?\n.*?\r?\n---(?:\r?\n|\Z)", "", text)
-    for pattern in MARKUP:
+    for pattern in MARKUP if "<" in text else ():
         text = re.sub(pattern, "", text)
-    text = re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", re.sub(r"!\[([^\]]*)\]\([^)]+\)", r"\1", text))
-    return re.sub(r"(?s)<[^>]+>|\s+", "", text)
-
-
-def lost_separators(before: str, after: str) -> list[int]:
-    """Lines of ``after`` with a question that had a blank line before it and has none any more."""
-
-    def questions(text: str):
-        lines = re.split(r"\r\n|\r|\n", text)
-        for k in range(1, len(lines)):
-            if m := QUESTION.match(lines[k].strip()):
-                yield k + 1, (m[1], lines[k].strip()[:80]), not lines[k - 1].strip()
-
-    apart = {key for _, key, blank in questions(before) if blank}
-    return [line for line, key, blank in questions(after) if key in apart and not blank]
+    if "](" in text:
+        text = re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", re.sub(r"!\[([^\]]*)\]\([^)]+\)", r"\1", text))
+    return "".join(re.sub(r"(?s)<[^>]+>", "", text).split())
+
+
+def _questions(text: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Questions below the first line, by number and beginning: those after a blank line, and those after another."""
+    lines = [line.strip() for line in re.split(r"\r\n|\r|\n", text)]
+    apart, joined = {}, {}
+    for above, line in zip(lines, lines[1:]):
+        if m := QUESTION.match(line):
+            (joined if above else apart)[m[1], line[:80]] = None
+    return list(apart), list(joined)
+
+
+@lru_cache(maxsize=1)  # copies of a file often follow each other
+def shape(text: str) -> str:
+    """What a review compares of a text, as JSON; far smaller than the text, so that this moves and not the text."""
+    apart, joined = _questions(text)
+    return json.dumps({
+        "visible": len(visible(text)), "numbers": QUESTION.findall(text), "apart": apart, "joined": joined,
+        "unbalanced": any(text.count(f"\\begin{{{e}}}") != text.count(f"\\end{{{e}}}") for e in ENVIRONMENTS),
+    }, ensure_ascii=False)
+
+
+def compared(before: str, after: str) -> str:
+    """Codes of what a replacement breaks, by the shapes of both texts; sorted and joined by commas."""
+    was, now = json.loads(before), json.loads(after)
+    codes = {
+        "replacement-body-erased": was["visible"] and now["visible"] < max(1, was["visible"] // 5),
+        "question-number-count-decreased": len(now["numbers"]) < len(was["numbers"]),
+        "question-number-missing": set(was["numbers"]) - set(now["numbers"]),
+        "latex-environment-unbalanced": now["unbalanced"],
+        "markdown-paragraph-boundary-regression": set(map(tuple, was["apart"])) & set(map(tuple, now["joined"])),
+    }
+    return ",".join(sorted(code for code, broken in codes.items() if broken))
 
 
 def review(before: str, after: str) -> str:
     """Codes of what a replacement breaks, sorted and joined by commas."""
-    codes = set()
-    seen, left = visible(before), visible(after)
-    if seen and len(left) < max(1, len(seen) // 5):
-        codes.add("replacement-body-erased")
-    had, has = QUESTION.findall(before), QUESTION.findall(after)
-    if len(has) < len(had):
-        codes.add("question-number-count-decreased")
-    if set(had) - set(has):
-        codes.add("question-number-missing")
-    if any(after.count(f"\\begin{{{e}}}") != after.count(f"\\end{{{e}}}") for e in ENVIRONMENTS):
-        codes.add("latex-environment-unbalanced")
-    if lost_separators(before, after):
-        codes.add("markdown-paragraph-boundary-regression")
-    return ",".join(sorted(codes))
+    return compared(shape(before), shape(after))

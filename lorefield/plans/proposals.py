@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import proposals as Q
-from ..sources.shared import materialise
 from ..sources.tables import dealt_table
 from .cases import sql_literal
 from .registry import register
@@ -83,7 +82,7 @@ FAULTS: list[tuple[dict[str, object], list[str]]] = [
 
 def proposals(spark, sf_dir):
     """Proposals, cases and files of the documents."""
-    docs = dealt_table(spark, sf_dir, "documents", "doc_id")
+    docs = dealt_table(spark, sf_dir, "documents", "doc_id", once=True)  # the three tables are made of it, and each is read more than once
     k = F.pmod("doc_id", F.lit(len(FAULTS)))
 
     def of(name: str, default: Column | object, also: dict[str, Column] | None = None) -> Column:
@@ -124,7 +123,6 @@ def proposals(spark, sf_dir):
         of("vision", none, {"PAGE": pages(SHA(page)), "STALE": pages(F.lit("0"))}).alias("vision"), of("ocr", none, {"OCR": F.struct(F.lit(True).alias("ok"), read.alias("path"), SHA(read).alias("sha256"))}).alias("ocr"),
     ))
     rows = rows.withColumns({"after": after, "spans": spans, "target": target, "payload": of("payload", payload), "evidence": of("evidence", shown), "state": state})
-    rows = materialise(rows)  # the three tables are made of it
     case_path = of("case_path", F.concat("state", F.lit("/case.json")), {"OUTSIDE": F.concat(F.lit("/tmp/"), F.col("doc_id").cast("string"), F.lit(".json"))})
     said = {
         "proposal-schema": Q.PROPOSAL_SCHEMA, "evidence-mode": "text-only", "model-capability": "text-only", "changed-sections": "Part one", "remaining-risks": "none", "case-json": case_path,
@@ -136,7 +134,7 @@ def proposals(spark, sf_dir):
     other = F.concat(F.lit("/elsewhere/"), F.col("doc_id").cast("string"), F.lit(".md"))
     own = rows.select(F.explode(F.array(F.struct(md.alias("path"), F.col("before").alias("text"), F.col("current").alias("digest")), F.struct(other.alias("path"), F.col("before").alias("text"), F.col("current").alias("digest")))).alias("f")).select("f.*")
     proofs = rows.where(k.isin(*(i for i, (c, _) in enumerate(FAULTS) if "vision" in c or "ocr" in c))).select(F.explode(F.array(page, read)).alias("path")).select("path", F.lit("").alias("text"), SHA("path").alias("digest"))
-    return materialise(made), materialise(cases), materialise(own.unionByName(proofs))
+    return made, cases, own.unionByName(proofs)
 
 
 def _is_mild(code: str) -> bool:

@@ -30,3 +30,10 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder once, with its lineage cut."""
     _root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once, as compressed columns whose size a later join knows."""
+    path = f"{shared_root(df.sparkSession)}/rows.parquet"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,3 +90,20 @@ def test_sections_by_heading_and_anywhere(spark):
     text = "x 秩 y\nabove\n## 一\nin 秩\nmore\n### 秩的\nown\n#### low\nbelow\n### next\nout\n## 秩"
     rows = spark.createDataFrame([(text,), ("## a\n秩",), ("none",), ("# 秩\n# b",)], "text string").select(*(G.section(F.col("text"), "秩", anywhere).alias(f"a{anywhere:d}") for anywhere in (False, True)))
     assert [tuple(r) for r in rows.collect()] == [("own\n#### low\nbelow\n", "above\n"), ("", ""), ("", ""), ("", "")]
+
+
+def test_texts_of_a_review_stay_where_they_are(spark):
+    import random
+
+    from lorefield.operators import proposals as Q
+
+    rnd = random.Random(1)
+    texts = [f"---\nsource_file: a.pdf\n---\n\n1. first\n\n{rnd.randbytes(20000).hex()}\n" for _ in range(64)]
+    made = spark.createDataFrame([(k, "<!-- case-json: none -->", f"/vault/{k}.md", t + "more\n", None) for k, t in enumerate(texts)], "id long, text string, target string, replacement string, spans string")
+    files = spark.createDataFrame([(f"/vault/{k}.md", t, "0") for k, t in enumerate(texts)], "path string, text string, digest string")
+    cases = spark.createDataFrame([], "path string, payload string, case_sha256 string, evidence string, evidence_sha256 string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    found = {r.code for r in Q.review_proposals(made, cases, files).select("code").distinct().collect()}
+    assert {"proposal-case-json-unavailable", "proposal-target-sha256-missing"} <= found and "question-number-missing" not in found
+    assert written() - before < sum(map(len, texts)) // 10
