@@ -125,10 +125,10 @@ def metadata(spark: SparkSession) -> DataFrame:
 
 
 def records(risks: DataFrame, samples: int = 8) -> DataFrame:
-    """A record for each document and code: lines counted once, some of them, and what is known of the code."""
+    """A record for each document and code: lines counted once, all and some of them, and what is known of the code."""
     lines = F.sort_array(F.collect_set("line_no"))
-    rolled = risks.groupBy("doc_id", "code").agg(lines.alias("all"), F.count_if(F.col("line_no").isNull()).alias("whole"))
-    rolled = rolled.select("doc_id", "code", (F.size("all") + F.col("whole")).cast("int").alias("count"), F.slice("all", 1, samples).alias("sample"), (F.size("all") > samples).alias("truncated"))
+    rolled = risks.groupBy("doc_id", "code").agg(lines.alias("lines"), F.count_if(F.col("line_no").isNull()).alias("whole"))
+    rolled = rolled.select("doc_id", "code", (F.size("lines") + F.col("whole")).cast("int").alias("count"), "lines", F.slice("lines", 1, samples).alias("sample"), (F.size("lines") > samples).alias("truncated"))
     return rolled.join(F.broadcast(metadata(risks.sparkSession)), "code")  # a row for each code
 
 

@@ -98,10 +98,15 @@ def agg_primary_of_equals(spark, sf_dir):
 
 @register("agg_blocking", f"with {RISKS} select doc_id, count(*) n, count(*) n_lines from risks where code in ('inline-math-delimiter-space', 'math-dollar-odd-line', 'latex-left-right-unbalanced') group by 1")
 def agg_blocking(spark, sf_dir):
-    """Blocking defects, and the lines they are on; for a defect of a whole document its first telling line."""
-    blocking = _records(spark, sf_dir).where(F.col("code").isin(*R.BLOCKING))
-    lines = F.array_union("sample", F.array_compact(F.array(F.col("at") + 1)))
-    rows = placed(blocking.select("doc_id", "code", "count", "sample"), risky_sidecars(spark, sf_dir)).select("doc_id", "count", lines.alias("lines"))
+    docs = risky_sidecars(spark, sf_dir)
+    return blocking_lines(R.detect(docs), docs)
+
+
+def blocking_lines(risks, docs):
+    """Blocking defects, and all lines they are on; for a defect of a whole document its first telling line."""
+    blocking = R.records(risks).where(F.col("code").isin(*R.BLOCKING))
+    lines = F.array_union("lines", F.array_compact(F.array(F.col("at") + 1)))
+    rows = placed(blocking.select("doc_id", "code", "count", "lines"), docs).select("doc_id", "count", lines.alias("lines"))
     return rows.groupBy("doc_id").agg(F.sum("count").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("lines")))).cast("bigint").alias("n_lines"))
 
 
@@ -147,7 +152,7 @@ def risk_snippets(spark, sf_dir):
 @register("agg_repair_scope", f"with {RISKS} select doc_id, 'single-section' scope from documents")
 def agg_repair_scope(spark, sf_dir):
     docs = risky_sidecars(spark, sf_dir)
-    blocking = _records(spark, sf_dir).where(F.col("code").isin(*R.BLOCKING)).groupBy("doc_id").agg(F.sum("count").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sample")))).alias("lines"))
+    blocking = _records(spark, sf_dir).where(F.col("code").isin(*R.BLOCKING)).groupBy("doc_id").agg(F.sum("count").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     rows = docs.join(blocking, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lines", F.array().cast("array<int>")).alias("lines"), R.section_starts(F.col("md")).alias("starts"))
     sections = F.transform("lines", lambda x: R.section_of(F.col("starts"), x))
     return rows.select("doc_id", R.scope(F.col("n"), F.col("lines"), sections).alias("scope"))

@@ -190,3 +190,11 @@ def test_bindings_free_each_other_along_a_chain(spark):
     got = {r.stem: (r.file, r.error) for r in R.bind(spark.createDataFrame(papers, "seq int, stem string, path string, annotation string"), spark.createDataFrame(notes, "file string, source string")).collect()}
     assert got["s0"] == ("n/0.json", None) and got["s1"] == ("n/1a.json", None) and got["t2"] == ("n/2a.json", None)
     assert got["s2"] == (None, "ambiguous_annotation_fallback")  # the paper that takes one of its two files comes later
+
+
+def test_blocking_lines_are_all_counted(spark):
+    from lorefield.operators import risks as R
+    from lorefield.plans.risks import blocking_lines
+
+    docs = spark.createDataFrame([(1, "a.md", "$ x = 1 $\n" * 20), (2, "b.md", "$ x = 1 $\n" * 3), (3, "c.md", "plain\n")], "doc_id int, path string, md string")
+    assert sorted(tuple(r) for r in blocking_lines(R.detect(docs), docs).collect()) == [(1, 20, 20), (2, 3, 3)]
