@@ -198,3 +198,10 @@ def test_blocking_lines_are_all_counted(spark):
 
     docs = spark.createDataFrame([(1, "a.md", "$ x = 1 $\n" * 20), (2, "b.md", "$ x = 1 $\n" * 3), (3, "c.md", "plain\n")], "doc_id int, path string, md string")
     assert sorted(tuple(r) for r in blocking_lines(R.detect(docs), docs).collect()) == [(1, 20, 20), (2, 3, 3)]
+
+
+def test_reports_that_fail_are_to_revise(spark):
+    from lorefield.plans import registry
+
+    n = {(r.kind, r.needs_revision): r.n for r in registry.queries()["agg_review_totals"](spark, "/root/testdata/sf0.001").collect()}
+    assert n["analysis-report", True] > 0 and n["analysis-report", False] > 0
